@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.decontam import contamination_report
 from millrace.llm.langid import identify_languages
+from millrace.llm.pieces import encode_documents
+from millrace.llm.pii import find_documents
 from millrace.llm.sharding import shard_documents
+from millrace.llm.wordpiece import count_tokens
 
 SHARDS = 24
 
@@ -17,6 +21,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-piece tokens of every document."""
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return find_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, with parity and the round trip."""
+    return encode_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows not held out."""
     return identify_languages(_table(spark, sf_dir, "documents"))
@@ -28,7 +52,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_language_id": op9_language_id, "op10_sharding": op10_sharding}
+    return {
+        "op3_token_counts": op3_token_counts,
+        "op5_decontamination": op5_decontamination,
+        "op6_pii": op6_pii,
+        "op8_sentencepiece": op8_sentencepiece,
+        "op9_language_id": op9_language_id,
+        "op10_sharding": op10_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
