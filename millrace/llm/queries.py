@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.decontam import contamination_report
 from millrace.llm.langid import identify_languages
+from millrace.llm.near_dups import near_duplicate_classes
 from millrace.llm.pieces import encode_documents
 from millrace.llm.pii import find_documents
 from millrace.llm.sharding import shard_documents
@@ -26,6 +27,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -54,6 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
+        "op4_minhash_dedup": op4_minhash_dedup,
         "op5_decontamination": op5_decontamination,
         "op6_pii": op6_pii,
         "op8_sentencepiece": op8_sentencepiece,
