@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from millrace.llm.decontam import contamination_report
 from millrace.llm.langid import identify_languages
 from millrace.llm.near_dups import near_duplicate_classes
+from millrace.llm.neighbours import nearest
+from millrace.llm.pages import extract_pages
 from millrace.llm.pieces import encode_documents
 from millrace.llm.pii import find_documents
 from millrace.llm.sharding import shard_documents
@@ -22,6 +24,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors.where(F.col("vec_id") % 100 == 0), vectors, 10)
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-piece tokens of every document."""
     return count_tokens(_table(spark, sf_dir, "documents"))
@@ -59,6 +72,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": op1_ann,
+        "op2_html_extraction": op2_html_extraction,
         "op3_token_counts": op3_token_counts,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_decontamination": op5_decontamination,
