@@ -12,6 +12,7 @@ from millrace.llm.langid import identify_languages
 from millrace.llm.near_dups import near_duplicate_classes
 from millrace.llm.neighbours import nearest
 from millrace.llm.pages import extract_pages
+from millrace.llm.passages import repeated_passages
 from millrace.llm.pieces import encode_documents
 from millrace.llm.pii import find_documents
 from millrace.llm.sharding import shard_documents
@@ -55,6 +56,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that repeat across documents."""
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, with parity and the round trip."""
     return encode_documents(_table(spark, sf_dir, "documents"))
@@ -78,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_decontamination": op5_decontamination,
         "op6_pii": op6_pii,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_language_id": op9_language_id,
         "op10_sharding": op10_sharding,
