@@ -14,6 +14,8 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words remembered by a task.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 #: Words longer than this are encoded anew each time, so that what is remembered stays small.
 LONG_WORD = 200
 
@@ -126,62 +128,68 @@ def build_tokenizer(model: PieceModel):
 
 
 class PieceCodec:
-    """Encodes and decodes lists of texts; made once in each task."""
+    """Encodes and decodes lists of texts; one in each Python process."""
 
-    def __init__(self, model: PieceModel):
+    def __init__(self, raw: bytes):
         import sentencepiece
 
-        self.model, self.tok = model, build_tokenizer(model)
-        self.other = sentencepiece.SentencePieceProcessor(model_proto=model.raw)
-        self.known: dict[str, tuple[list[int], bool]] = {}
+        self.model = parse_model(raw)
+        self.tok, self.by_word = build_tokenizer(self.model), self.model.by_word
+        self.other = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.differing: set[str] = set()
         self.split = re.compile(f"{MARK}*[^{MARK}]*")
-        self.control = {i for i, (_, _, kind) in enumerate(model.pieces) if kind == CONTROL}
-        self.byte = {i: bytes([int(p[3:5], 16)]) for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
-        self.shown = ["" if kind == CONTROL else " ⁇ " if kind == UNKNOWN else p.replace(MARK, " ") for p, _, kind in model.pieces]
-
-    def _words(self, words: list[str]) -> list[tuple[list[int], bool]]:
-        """(ids, whether the sentencepiece library agrees) of words that start with the marker."""
-        ids = [e.ids for e in self.tok.encode_batch(words, add_special_tokens=False)]
-        plain = self.other.encode([w[1:].replace(MARK, " ") for w in words], num_threads=1)
-        return [(a, a == b) for a, b in zip(ids, plain)]
-
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], bool]]:
+        pieces = self.model.pieces
+        self.byte = {i: bytes([int(p[3:5], 16)]) for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
+        self.is_byte = np.zeros(len(pieces), bool)
+        self.is_byte[list(self.byte)] = True
+        self.shown = ["" if kind == CONTROL else " ⁇ " if kind == UNKNOWN else p.replace(MARK, " ") for p, _, kind in pieces]
+
+    def _words(self, text: str) -> list[str]:
+        """Words, each without the marker in front of it; more markers stay."""
+        if "  " in text or text[0] == " " or MARK in text:
+            # a marker in the text is a space to the model
+            return [w[1:] for w in self.split.findall(MARK + text.replace(" ", MARK))[:-1]]
+        return text.split(" ")
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode words and compare them with the sentencepiece library."""
+        ids = [tuple(e.ids) for e in self.tok.encode_batch_fast([MARK + w for w in new], add_special_tokens=False)]
+        plain = self.other.encode([w.replace(MARK, " ") for w in new], num_threads=1)
+        self.known.update(zip(new, ids))
+        # the marker alone ends a text; by itself it can't be said to the library
+        self.differing.update(w for w, a, b in zip(new, ids, plain) if w and a != tuple(b))
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool]]:
         """(ids, parity) of each text; no ids for a null or empty one."""
-        if not self.model.by_word:
+        if not self.by_word:
             marked = [(MARK if self.model.dummy_prefix and t else "") + t for t in (t or "" for t in texts)]
             ids = [e.ids for e in self.tok.encode_batch(marked, add_special_tokens=False)]
             plain = self.other.encode([t or "" for t in texts], num_threads=1)
-            return [(a, a == b) for a, b in zip(ids, plain)]
-        # a marker that the text holds itself is a space to the model
-        cut = [self.split.findall(MARK + t.replace(" ", MARK))[:-1] if t else [] for t in texts]
+            return [(np.array(a, np.int32), a == b) for a, b in zip(ids, plain)]
+        cut = [self._words(t) if t else [] for t in texts]
         known = self.known
-        new = list({w for ws in cut for w in ws if w not in known})
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) > REMEMBERED:
             known.clear()
-            new = list({w for ws in cut for w in ws})
-        found = dict(zip(new, self._words(new))) if new else {}
-        for w, r in found.items():
-            if len(w) <= LONG_WORD:
-                known[w] = r
-        out = []
-        for ws in cut:
-            ids, same = [], True
-            for w in ws:
-                i, s = known[w] if w in known else found[w]
-                ids += i
-                same = same and s
-            out.append((ids, same))
+            self.differing.clear()
+        new = list(set(chain.from_iterable(cut)).difference(known))
+        if new:
+            self._learn(new)
+        out = [(np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), np.int32), self.differing.isdisjoint(ws)) for ws in cut]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del known[w]
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids: markers are spaces, runs of bytes are UTF-8 (a wrong byte is U+FFFD), and
         the space that encoding put in front goes."""
-        byte, shown = self.byte, self.shown
-        if byte.keys().isdisjoint(ids):
-            text = "".join([shown[i] for i in ids])
+        shown = self.shown
+        if not self.is_byte[ids].any():
+            text = "".join([shown[i] for i in ids.tolist()])
         else:
-            parts, run = [], b""
-            for i in [*ids, None]:
+            byte, parts, run = self.byte, [], b""
+            for i in [*ids.tolist(), None]:
                 if i in byte:
                     run += byte[i]
                     continue
@@ -194,6 +202,12 @@ class PieceCodec:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
+@lru_cache(2)
+def codec(raw: bytes) -> PieceCodec:
+    """The process's codec of a model file's content."""
+    return PieceCodec(raw)
+
+
 def _utf8(run: bytes) -> str:
     """UTF-8 with one U+FFFD for each byte that isn't part of a character."""
     try:
@@ -221,20 +235,21 @@ def encoded(text: Column, model: PieceModel) -> Column:
     """
     fields = [("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("parity", pa.bool_()), ("round_trip", pa.bool_())]
 
+    raw = model.raw
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = PieceCodec(model)
+        own = codec(raw)
         for batch in batches:
             pieces = []
             for lo in range(0, len(batch), 128):
                 texts = batch.slice(lo, 128).to_pylist()
                 flat, ends, hashes, same, back = [], [0], [], [], []
-                for text, (ids, parity) in zip(texts, codec.encode(texts)):
-                    values = np.array(ids, np.int32)
+                for text, (values, parity) in zip(texts, own.encode(texts)):
                     flat.append(values)
                     ends.append(ends[-1] + len(values))
                     hashes.append(hashlib.sha256(values.astype("<i4").tobytes()).hexdigest())
                     same.append(parity)
-                    back.append(codec.decode(ids) == (text or "").replace(MARK, " "))
+                    back.append(own.decode(values) == (text or "").replace(MARK, " "))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
                 pieces.append(pa.StructArray.from_arrays(
                     [lists, pa.array(np.diff(ends), pa.int64()), pa.array(hashes), pa.array(same), pa.array(back)], fields=[pa.field(*f) for f in fields]))
@@ -248,10 +263,12 @@ def encoded(text: Column, model: PieceModel) -> Column:
 def decoded(ids: Column, model: PieceModel) -> Column:
     """The text of each list of ids; null for a null list."""
 
+    raw = model.raw
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = PieceCodec(model)
+        own = codec(raw)
         for batch in batches:
-            yield pa.array([None if x is None else codec.decode(x) for x in batch.to_pylist()], pa.string())
+            yield pa.array([None if x is None else own.decode(np.array(x, np.int32)) for x in batch.to_pylist()], pa.string())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "string").asNondeterministic()(ids)
