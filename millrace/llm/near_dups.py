@@ -24,6 +24,8 @@ from millrace.llm.durable import cut
 from millrace.llm.words import SHINGLE, WordHashes, jaccard, mix, shingle_hashes, words
 
 SIMILARITY = 0.8
+#: Members of a bucket in a block.
+BLOCK = 192
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
@@ -124,7 +126,7 @@ def _signatures(settings: DartSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, bands = [], []
+            ids, bands, prints = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = shingle_hashes(hashes.of(words(text.as_py())), settings.shingle)
                 if len(found):
@@ -132,9 +134,10 @@ def _signatures(settings: DartSettings):
                     sig = signature(elements, counts.astype(np.float64) if settings.weighted else None, settings)
                     ids.append(key)
                     bands.append(band_keys(sig, settings))
+                    prints.append(sig.astype(np.uint16).tobytes())
             flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * settings.bands, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["node", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists, pa.array(prints, pa.binary())], names=["node", "bands", "sig"])
 
     return run
 
@@ -162,6 +165,91 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, n: int) ->
     )
 
 
+def _least_agreement(similarity: float, k: int) -> int:
+    """Coordinates of ``k`` in which signatures of that similarity agree but for one time in 10,000."""
+    return max(0, int(similarity * k - 3.72 * (similarity * (1 - similarity) * k) ** 0.5))
+
+
+def _across(rows: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float, settings: DartSettings) -> DataFrame:
+    """(a, b) pairs of nodes that join classes in the buckets of ``rows`` (band, pos, node, m, label).
+
+    A bucket's members are dealt into blocks of about ``BLOCK``, and each block meets itself and
+    every later one. Shingles are compared by 32 bits of their hashes, and what comes near the
+    similarity is handed on to be verified.
+    """
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [np.unique(shingle_set(t.as_py(), hashes, settings.shingle).astype(np.uint32)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    nodes = rows.select("node").distinct()
+    profiles = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(profile, "node long, shingles binary")
+    full = rows.join(profiles, "node").join(signed.select("node", "sig"), "node")
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / F.lit(BLOCK))).cast("int")
+    blocks = full.select("band", "pos", block.alias("block"), F.struct("node", "label", "sig", "shingles").alias("member")).groupBy("band", "pos", "block").agg(F.collect_list("member").alias("members"))
+    blocks = cut(blocks)
+    own = blocks.select("pos", "members", F.lit(None).cast(blocks.schema["members"].dataType).alias("others"))
+    cross = blocks.join(blocks.select("band", F.col("block").alias("later"), F.col("members").alias("others")), "band").where("block < later").select("pos", "members", "others")
+    least = _least_agreement(similarity, settings.coordinates)
+
+    def read(values: pa.Array) -> tuple:
+        nodes, labels, sigs, sets = (values.field(i).to_pylist() for i in range(4))
+        return np.array(nodes), np.array(labels), np.stack([np.frombuffer(x, np.uint16) for x in sigs]), [np.frombuffer(x, np.uint32) for x in sets]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i, pos in enumerate(batch.column(0).to_pylist()):
+                left = read(batch.column(1)[i].values)
+                right = left if not batch.column(2)[i].is_valid else read(batch.column(2)[i].values)
+                found += links_between(left, right, pos, similarity, least, settings)
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
+
+    return own.unionByName(cross).mapInArrow(compare, "a long, b long").distinct()
+
+
+def links_between(left: tuple, right: tuple, pos: int, similarity: float, least: int, settings: DartSettings) -> list[tuple[int, int]]:
+    """Pairs of members of two blocks that join their classes: for each pair of classes the first that
+    surely has the similarity, and all that are within the error of the short hashes.
+
+    A block is (nodes, labels, 16-bit signatures, sorted shingle sets). Classes joined here count as
+    one from then on. ``pos`` is the bucket's band; pairs that share an earlier one are left to it.
+    """
+    nodes_a, labels_a, sig_a, sets_a = left
+    nodes_b, labels_b, sig_b, sets_b = right
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i in range(len(nodes_a)):
+        equal = sig_b == sig_a[i]
+        agree = equal.sum(axis=1)
+        near = np.flatnonzero((agree >= least) & (labels_b != labels_a[i]))
+        first = equal[near].reshape(len(near), settings.bands, settings.rows).all(axis=2).argmax(axis=1)
+        near = near[first == pos]
+        for j in near[np.argsort(-agree[near], kind="stable")].tolist():
+            a, b = int(nodes_a[i]), int(nodes_b[j])
+            one, two = find(int(labels_a[i])), find(int(labels_b[j]))
+            pair = (a, b) if a < b else (b, a)
+            if one == two:
+                continue
+            x, y = sets_a[i], sets_b[j]
+            if min(len(x), len(y)) < (similarity - 0.01) * max(len(x), len(y)):
+                continue
+            same = jaccard(x, y)
+            if same >= similarity - 0.005:
+                out.append(pair)
+                if same >= similarity + 0.005:
+                    root[max(one, two)] = min(one, two)
+    return out
+
+
 def near_duplicate_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
     settings: DartSettings = DartSettings(),
@@ -173,10 +261,11 @@ def near_duplicate_classes(
     ``similarity`` or more. ``keep`` marks the class's first document.
 
     Candidates share a band of their DartMinHash signatures. In a bucket, all members are first
-    compared with its smallest id. Buckets that still hold several classes go on in rounds: 8, 64,
-    512, ... further members, by hash order, are compared with the members of other classes, until
-    the bucket is one class or every such pair was compared. So work follows the number of
-    members, unless texts keep meeting that aren't similar, and no candidate is lost.
+    compared with its most central one. Members of a bucket that still holds several classes are
+    then compared across these, in blocks: a task gets two blocks and hands on the links that it
+    finds, not the pairs. A pair is looked at if its signatures agree in as many
+    coordinates as they would at this similarity but for one time in 10,000; then, in
+    the first band that the two share, its shingle sets are compared. No bucket and no member has a cap.
 
     Null and empty texts are alone in their class; texts without words, and texts equal in their
     words only, are handled as any other (a text of under five words is one shingle, one without
@@ -189,34 +278,29 @@ def near_duplicate_classes(
     firsts = rows.where(F.col("text_key").isNotNull()).groupBy("text_key").agg(F.min("id").alias("node"))
     nodes = firsts.where(F.col("node").isNotNull()).select("node").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    signed = cut(texts.mapInArrow(_signatures(settings), "node long, bands array<long>").join(nodes, "node"))
-    members = signed.select("node", F.explode("bands").alias("band")).distinct()
-
-    heads = members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("m"))
-    heads = heads.where(F.col("a") < F.col("z")).drop("z")
-    shared = cut(members.join(heads, "band").select("band", "a", F.col("node").alias("b"), "m"))
-    pairs = shared.where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    named = shared.select(F.col("b").alias("node")).distinct()
+    signed = cut(texts.mapInArrow(_signatures(settings), "node long, bands array<long>, sig binary").join(nodes, "node"))
+    members = signed.select("node", F.posexplode("bands").alias("pos", "band")).distinct()
+
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
+    shared = cut(members.join(sizes, "band").select("band", "pos", "node", "m"))
+    # who meets many others is likely the text that they were copied from
+    met = shared.groupBy("node").agg(F.sum("m").alias("met"))
+    placed = shared.join(met, "node").select("band", "node", F.struct((-F.col("met")).alias("x"), F.col("node").alias("head")).alias("rank"))
+    heads = placed.groupBy("band").agg(F.min("rank").alias("rank")).select("band", F.col("rank.head").alias("head"))
+    pairs = shared.join(heads, "band").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    named = shared.select("node").distinct()
     wanted = cut(texts.join(named, "node", "left_semi"))
     links = cut(_verified(pairs, wanted, similarity, settings.shingle))
     labels = components(links)
 
-    pivots, reached = 8, 2
-    while True:
-        placed = shared.join(labels.withColumnRenamed("node", "b"), "b", "left").select(
-            "band", "b", "m", F.coalesce("label", "b").alias("c"))
-        mixed = placed.where(F.col("m") > reached).groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
-        mixed = mixed.where(F.col("c0") < F.col("c1")).select("band")
-        open_rows = cut(placed.join(mixed, "band"))
-        if open_rows.isEmpty():
-            break
-        chance = F.pmod(F.xxhash64("b"), F.lit(1 << 30)) / float(1 << 30)
-        chosen = open_rows.where(chance * F.col("m") < pivots).select("band", F.col("b").alias("p"), F.col("c").alias("pc"))
-        more = open_rows.join(chosen, "band").where(F.col("c") != F.col("pc")).select(
-            F.least("b", "p").alias("a"), F.greatest("b", "p").alias("b")).distinct()
-        links = cut(links.unionByName(_verified(more, wanted, similarity, settings.shingle)).distinct())
+    rows_of = shared.join(labels, "node", "left").select("band", "pos", "node", "m", F.coalesce("label", "node").alias("label"))
+    # a bucket of two was its head and the other
+    mixed = rows_of.where("m > 2").groupBy("band").agg(F.min("label").alias("c0"), F.max("label").alias("c1")).where("c0 < c1").select("band")
+    mixed_rows = cut(rows_of.join(mixed, "band"))
+    if not mixed_rows.isEmpty():
+        more = _across(mixed_rows, signed, wanted, similarity, settings)
+        links = cut(links.unionByName(_verified(more, wanted, similarity, settings.shingle)))
         labels = components(links)
-        pivots, reached = pivots * 8, pivots
 
     classes = firsts.join(labels, "node", "left").select("text_key", "node", F.coalesce("label", "node").alias("label"))
     return rows.join(classes, "text_key", "left").select(

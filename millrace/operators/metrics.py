@@ -100,7 +100,9 @@ def at_threshold(rows: DataFrame, slices: list[str], threshold: float | Column,
 def best_threshold(table: DataFrame, slices: list[str]) -> DataFrame:
     """(threshold, balanced_accuracy): the observed score of best balanced accuracy, the lowest of equals."""
     value = (F.col("tp") / F.col("p") + 1 - F.col("fp") / F.col("n")) / 2
-    return table.where((F.col("p") > 0) & (F.col("n") > 0)).groupBy(*slices).agg(F.max(F.struct(value.alias("v"), (-F.col("score")).alias("s"))).alias("x")).select(
+    order = F.col("tp") * F.col("n") - F.col("fp") * F.col("p")  # of whole numbers, so that equals are equal
+    return table.where((F.col("p") > 0) & (F.col("n") > 0)).groupBy(*slices).agg(
+        F.max(F.struct(order.alias("o"), (-F.col("score")).alias("s"), value.alias("v"))).alias("x")).select(
         *slices, (-F.col("x.s")).alias("threshold"), F.col("x.v").alias("balanced_accuracy"))
 
 
@@ -162,8 +164,8 @@ def robust_logits(frames: DataFrame, keys: list[str], logit: str) -> DataFrame:
 
 
 def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, mean, sd, low, high, k): over seeds; the standard deviation of one value is 0."""
-    return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("k"))
+    """(keys, mean, sd, low, high, n_seeds): over seeds; the standard deviation of one value is 0."""
+    return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n_seeds"))
 
 
 def robustness(rows: DataFrame, slices: list[str], corruption: str, clean: str, label: str = "label", score: str = "score") -> DataFrame:

@@ -455,7 +455,7 @@ def q_f1_bacc(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CURVE}, v AS (SELECT *, (tp / p + 1 - fp / n) / 2 AS v FROM curve)
-SELECT domain, slice_method, round(score, 6) AS threshold, round(v, 6) AS balanced_accuracy FROM v QUALIFY row_number() OVER (PARTITION BY domain, slice_method ORDER BY v DESC, score) = 1""")
+SELECT domain, slice_method, round(score, 6) AS threshold, round(v, 6) AS balanced_accuracy FROM v QUALIFY row_number() OVER (PARTITION BY domain, slice_method ORDER BY tp * n - fp * p DESC, score) = 1""")
 def q_threshold(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.best_threshold(curve_of(spark, d), SLICES), "threshold", "balanced_accuracy")
 
@@ -510,7 +510,7 @@ def q_robustness(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {FRAMES}, seeds AS (SELECT domain, method, k % 3 AS seed, avg(score) AS v FROM frames GROUP BY ALL)
-SELECT domain, method, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS sd, round(min(v), 6) AS low, round(max(v), 6) AS high, count(v) AS k FROM seeds GROUP BY ALL""")
+SELECT domain, method, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS sd, round(min(v), 6) AS low, round(max(v), 6) AS high, count(v) AS n_seeds FROM seeds GROUP BY ALL""")
 def q_seed_spread(spark: SparkSession, d: str) -> DataFrame:
     seeds = frames(spark, d).groupBy("domain", "method", (F.col("k") % 3).alias("seed")).agg(F.avg("score").alias("v"))
     return rounded(metrics.spread(seeds, ["domain", "method"], "v"), "mean", "sd", "low", "high")
