@@ -127,13 +127,13 @@ def _by_join(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
                 found = words(text)
                 cut = [(b" ".join(found[i : i + n]), n, i) for n in lengths for i in range(len(found) - n + 1)]
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array([key] * len(cut), pa.int64()),
+                    "key": pa.array([key] * len(cut), pa.string()),
                     "gram": pa.array([c[0] for c in cut], pa.binary()),
                     "n_gram": pa.array([c[1] for c in cut], pa.int32()),
                     "start": pa.array([c[2] for c in cut], pa.int32()),
                 })
 
-    hits = docs.select("key", "text").mapInArrow(run, "key long, gram binary, n_gram int, start int").join(
+    hits = docs.select("key", "text").mapInArrow(run, "key string, gram binary, n_gram int, start int").join(
         grams, ["gram", "n_gram"]
     )
     items_of = hits.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -170,7 +170,7 @@ def scan_documents(
     if size[0] // 2 + size[1] <= broadcast_words:  # a word and its separator take two bytes at least
         index = index_items([tuple(r) for r in items.collect()], window)
         return docs.withColumn(output, scan_column(F.col(text_col), index))
-    keyed = docs.withColumn("leak_row", F.xxhash64(F.lit(1), F.col(text_col)))
+    keyed = docs.withColumn("leak_row", F.sha2(F.col(text_col).cast("binary"), 256))
     texts = keyed.select(F.col("leak_row").alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
     found = _by_join(texts, items, window).withColumnRenamed("key", "leak_row").withColumnRenamed("items", "leak_items")
     none = index_items([], window)

@@ -173,9 +173,12 @@ def _least_agreement(similarity: float, k: int) -> int:
 def _across(rows: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float, settings: DartSettings) -> DataFrame:
     """(a, b) pairs of nodes that join classes in the buckets of ``rows`` (band, pos, node, m, label).
 
-    A bucket's members are dealt into blocks of about ``BLOCK``, and each block meets itself and
-    every later one. Shingles are compared by 32 bits of their hashes, and what comes near the
-    similarity is handed on to be verified.
+    A class of more than ``BLOCK`` members in a bucket is a team of its own, the smaller ones are one
+    team together; teams are dealt into blocks of about ``BLOCK``. Blocks of different teams meet, and
+    those of the small classes meet each other. A large class never meets itself, so that the blocks
+    of a bucket that one class fills are as many as its members, not their square. Shingles are
+    compared by 32 bits of their hashes, and what comes near the similarity is handed on to be
+    verified.
     """
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +189,21 @@ def _across(rows: DataFrame, signed: DataFrame, texts: DataFrame, similarity: fl
 
     nodes = rows.select("node").distinct()
     profiles = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(profile, "node long, shingles binary")
-    full = rows.join(profiles, "node").join(signed.select("node", "sig"), "node")
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / F.lit(BLOCK))).cast("int")
-    blocks = full.select("band", "pos", block.alias("block"), F.struct("node", "label", "sig", "shingles").alias("member")).groupBy("band", "pos", "block").agg(F.collect_list("member").alias("members"))
+    counted = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    classes = counted.withColumn("team", F.when(F.col("n") > BLOCK, F.col("label").cast("string")).otherwise(""))
+    teams = cut(classes.groupBy("band", "team").agg(F.sum("n").alias("size")))
+    teamed = rows.join(classes.drop("n"), ["band", "label"]).join(teams, ["band", "team"])
+    full = teamed.join(profiles, "node").join(signed.select("node", "sig"), "node")
+    dealt_by = F.when(F.col("team") == "", F.col("label")).otherwise(F.col("node"))  # a small class stays together
+    block = F.pmod(F.xxhash64(dealt_by), F.ceil(F.col("size") / F.lit(BLOCK))).cast("int")
+    blocks = full.select("band", "pos", "team", block.alias("block"), F.struct("node", "label", "sig", "shingles").alias("member")).groupBy(
+        "band", "pos", "team", "block").agg(F.collect_list("member").alias("members"))
     blocks = cut(blocks)
-    own = blocks.select("pos", "members", F.lit(None).cast(blocks.schema["members"].dataType).alias("others"))
-    cross = blocks.join(blocks.select("band", F.col("block").alias("later"), F.col("members").alias("others")), "band").where("block < later").select("pos", "members", "others")
+    others = blocks.select("band", F.col("team").alias("team_b"), F.col("block").alias("block_b"), F.col("members").alias("others"))
+    meets = teams.select("band", "team").join(teams.select("band", F.col("team").alias("team_b")), "band").where(
+        "team < team_b OR team = '' AND team_b = ''")
+    own = blocks.where("team = ''").select("pos", "members", F.lit(None).cast(blocks.schema["members"].dataType).alias("others"))
+    cross = blocks.join(meets, ["band", "team"]).join(others, ["band", "team_b"]).where("team <> team_b OR block < block_b").select("pos", "members", "others")
     least = _least_agreement(similarity, settings.coordinates)
 
     def read(values: pa.Array) -> tuple:

@@ -147,8 +147,10 @@ def test_near_duplicates_against_all_pairs(spark, documents, texts):
     assert got == brute_classes(texts)
 
 
-def test_near_duplicates_of_mixed_buckets(spark):
+@pytest.mark.parametrize("block", [near_dups.BLOCK, 3])
+def test_near_duplicates_of_mixed_buckets(spark, monkeypatch, block):
     """Chains and families whose members are not all similar to the smallest id."""
+    monkeypatch.setattr(near_dups, "BLOCK", block)
     base, texts = prose(3, 300).split(), {}
     for i in range(40):
         family = base[:]
