@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.decontam import drop_contaminated
 from millrace.llm.durable import folder
-from millrace.llm.langid import UNDETERMINED, fit_languages, predict_language
+from millrace.llm.langid import UNDETERMINED, fit_languages, held_out, predict_language
 from millrace.llm.near_dups import keep_first_documents
 from millrace.llm.pieces import encoded, load_model
 from millrace.llm.pii import redact_documents
@@ -24,8 +24,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents in which no learned language is recognised go, that is those of null
-    text or without letters."""
-    model = fit_languages(docs)
+    text or without letters. Rows that are held out teach nothing here either."""
+    model = fit_languages(docs.where(~held_out(F.col("doc_id"))))
     if not model.languages:  # nothing was labelled, so nothing can be told
         return docs.select(COLUMNS)
     found = docs.withColumn("found", predict_language(F.col("text"), model)["lang"])
