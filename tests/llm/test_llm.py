@@ -500,6 +500,21 @@ def test_shared_passages_are_found(spark):
         assert any(r.rep_id == 0 and r.start_word <= 50 + i and r.end_word >= 110 + i for r in found if r.doc_id == i)
 
 
+def test_passages_around_a_frequent_line_across_batches(spark):
+    # triples whose passages have no window in common but those that the line alone has, too
+    picked = (3, 12, 17, 19, 24, 28, 39, 41, 49, 54)
+    first, second = [], []
+    for i in picked:
+        passage = prose(1000 + i, 54).split()
+        around = lambda k, inner: " ".join([*prose(k, 90).split(), *inner, *prose(k + 1, 90).split()])
+        first.append((i, around(5000 + 6 * i, passage), "en", "s", 0))
+        second.append((100 + i, around(5002 + 6 * i, passage[6:49]), "en", "s", 0))  # the line
+        second.append((200 + i, around(5004 + 6 * i, passage), "en", "s", 0))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(first + second, 3), DOCS)
+    found = {(r.doc_id, r.rep_id) for r in passages.repeated_passages(docs).collect()}
+    assert found == {(i, i) for i in picked} | {(200 + i, i) for i in picked}
+
+
 def test_passages_of_odd_rows(spark):
     twice = [(7, prose(20, 80), "en", "s", 0), (8, prose(20, 80), "en", "s", 0), (8, prose(20, 80), "en", "s", 0)]
     found = passages.repeated_passages(odd(spark).unionByName(table(spark, twice, DOCS), allowMissingColumns=True)).collect()
