@@ -1,8 +1,9 @@
 """Main text of web pages from a stream of parser events.
 
 Each block of a page is a line. Its ratio of text to tags, smoothed over its neighbours with a
-Gaussian, is clustered by a threshold; the lines above it say which element holds the article.
-All blocks of that element are its text, save for those inside page furniture.
+Gaussian, is clustered by a threshold; the lines above it say which element holds the article: the
+smallest that has all of them, or all article and main elements. All blocks in it are its text, with
+the headings that lead to it, save for those inside page furniture.
 """
 
 from __future__ import annotations
@@ -31,8 +32,11 @@ MARKS = re.compile(
     r"comments?|commentlist|disqus|replies|respond|pagination|pager|toolbar)(?:$|[\s_-])", re.IGNORECASE)
 #: Elements that an opening tag of the same kind ends.
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
-#: Reach of the smoothing in lines, and the share of the clustered text that an element must hold.
-RADIUS, SHARE = 2, 0.8
+#: Elements that can hold a whole article, and those of headings.
+REGIONS = frozenset("html body div section center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Reach of the smoothing in lines.
+RADIUS = 2
 
 
 @dataclass
@@ -172,20 +176,39 @@ def main_text(page: str | None) -> str:
     lines = parser.read(page)
     if not lines:
         return ""
-    chosen = content_lines(lines)
-    weight: dict[int, int] = {}
-    for line, high in zip(lines, chosen):
-        if high:
-            for n in line.path:
-                weight[n] = weight.get(n, 0) + len(line.text)
-    total = sum(len(x.text) for x, high in zip(lines, chosen) if high)
-    articles = [n for n in weight if parser.names[n] in ("article", "main")]
-    if articles:
-        region = max(articles, key=lambda n: (weight[n], n))  # of equal ones the inner
-    else:
-        held = [n for n in weight if weight[n] >= SHARE * total and parser.names[n] not in ("p", "li", "td", "pre")]
-        region = max(held, key=lambda n: n, default=None)
-    return "\n\n".join(x.text for x in lines if region is None or region in x.path)
+    names, chosen = parser.names, content_lines(lines)
+    articles = {n for x in lines for n in x.path if names[n] in ("article", "main")}
+    if any(high and not articles.isdisjoint(x.path) for x, high in zip(lines, chosen)):
+        inside = [not articles.isdisjoint(x.path) for x in lines]
+        shared = next(x.path for x, held in zip(lines, inside) if held)
+        return joined(lines, inside, shared, names)
+    shared = common_path([x.path for x, high in zip(lines, chosen) if high])
+    while shared and names[shared[-1]] not in REGIONS:
+        shared = shared[:-1]
+    inside = [x.path[: len(shared)] == shared for x in lines]
+    return joined(lines, inside, shared, names)
+
+
+def joined(lines: list[Line], inside: list[bool], region: tuple[int, ...], names: list[str]) -> str:
+    """The text of the lines inside the region and of the headings before it."""
+    first = inside.index(True)
+    return "\n\n".join(x.text for i, x in enumerate(lines) if inside[i] or i < first and leads_to(x.path, region, names))
+
+
+def common_path(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
+    """The elements that all paths begin with."""
+    low, high = min(paths), max(paths)
+    n = 0
+    while n < min(len(low), len(high)) and low[n] == high[n]:
+        n += 1
+    return low[:n]
+
+
+def leads_to(path: tuple[int, ...], region: tuple[int, ...], names: list[str]) -> bool:
+    """Whether a line before the region is its heading: the page's first rank, or beside an element that
+    holds the region."""
+    at = next((i for i, n in enumerate(path) if names[n] in HEADINGS), None)
+    return at is not None and (names[path[at]] == "h1" or path[:at] == region[:at])
 
 
 def extracted(html: Column) -> Column:

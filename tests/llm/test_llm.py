@@ -450,6 +450,22 @@ def test_page_without_an_article_element():
     assert pages.main_text(page) == "\n\n".join(["Title", clean, "Short.", clean])
 
 
+def test_regions_hold_the_whole_article():
+    text = "A sentence of the story that goes on for quite a while, as stories do. " * 3
+    clean = text.strip()
+    menu = "<div><a href=x>Home</a><a href=y>News</a><a href=z>More</a></div>"
+    sections = f"<body>{menu}<div id=content><div class=s1>{f'<p>{text}</p>' * 9}</div><div class=s2><p>{text}</p></div></div></body>"
+    assert pages.main_text(sections).count(clean) == 10
+    quoted = f"<body><div><blockquote>{f'<p>{text}</p>' * 9}</blockquote><p>Short.</p></div></body>"
+    assert pages.main_text(quoted).endswith("\n\nShort.")
+    beside = f"<body>{menu}<div><h1>Title</h1><div class=body>{f'<p>{text}</p>' * 5}</div></div></body>"
+    assert pages.main_text(beside) == "\n\n".join(["Title", *[clean] * 5])
+    articles = f"<body>{menu}<article><p>{text}</p></article><article><p>Other {text}</p></article></body>"
+    assert pages.main_text(articles) == f"{clean}\n\nOther {clean}"
+    inner = f"<body>{menu}<main><h1>Title</h1><article><p>{text}</p></article></main></body>"
+    assert pages.main_text(inner) == f"Title\n\n{clean}"
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<nav>menu</nav>"), (4, "u", "plain  &amp; &#233;&nbsp;text"), (5, "u", "<p>a<p>b<div>c</p>d"),
             (5, "u", "<p>a<p>b<div>c</p>d"), (6, "u", "<div>" * 3000 + "x"), (7, "u", "<p>" + "word " * 200_000)]
