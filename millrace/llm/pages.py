@@ -32,6 +32,12 @@ MARKS = re.compile(
     r"comments?|commentlist|disqus|replies|respond|pagination|pager|toolbar)(?:$|[\s_-])", re.IGNORECASE)
 #: Elements that an opening tag of the same kind ends.
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
+#: An article's own header by class or id.
+OWN_HEADER = re.compile(r"(?:^|(?<=\s))(?:entry|post|article|page|content|story)[_-]+header(?=\s|$)", re.IGNORECASE)
+#: Elements within a line of text, which a mark drops at once; other marked elements are judged when all lines are known.
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time u var".split())
+#: A marked element that holds more than this share of the article's text is a wrapper. If all others together leave less than the second, marks mean nothing.
+BULK, LEFT = 0.5, 0.2
 #: Elements that can hold a whole article, and those of headings.
 REGIONS = frozenset("html body div section center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -41,31 +47,37 @@ RADIUS = 2
 
 @dataclass
 class Line:
-    """A block's text, the tags met in it, and the open elements around it."""
+    """A block's text, the tags met in it, and the open elements around it, also those marked as furniture."""
 
     text: str
     tags: int
     path: tuple[int, ...]
+    marks: tuple[int, ...] = ()
 
 
 class PageLines(HTMLParser):
-    """Turns a page into lines; furniture and silent elements give none."""
+    """Turns a page into lines; furniture and silent elements give none. Elements that only a class or
+    id marks as furniture do, with the mark."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.names: list[str] = []
         self._open: list[tuple[str, int, bool]] = []  # name, number, whether its text is left out
+        self._marked: set[int] = set()
+        self._breaking: set[str] = set()  # names of marked elements, which end a line though they are no blocks
         self._count: dict[str, int] = {}
         self._left_out, self._parts, self._tags = 0, [], 0
         self._path: tuple[int, ...] | None = ()
+        self._marks: tuple[int, ...] = ()
 
     def _break(self) -> None:
         text = " ".join("".join(self._parts).split())
         if text:
             if self._path is None:
                 self._path = tuple(n for name, n, _ in self._open if name in BLOCKS)
-            self.lines.append(Line(text, self._tags, self._path))
+                self._marks = tuple(n for _, n, _ in self._open if n in self._marked) if self._marked else ()
+            self.lines.append(Line(text, self._tags, self._path, self._marks))
             self._tags = 0
         self._parts = []
 
@@ -73,7 +85,7 @@ class PageLines(HTMLParser):
         name, _, out = self._open.pop()
         self._count[name] -= 1
         self._left_out -= out
-        if name in BLOCKS:
+        if name in BLOCKS or name in self._breaking:
             self._path = None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -90,11 +102,19 @@ class PageLines(HTMLParser):
         if tag in VOID:
             return
         out = tag in SILENT or self._is_furniture(tag, attrs)
+        marked = not out and self._is_marked(tag, attrs)
+        if marked and tag in INLINE:
+            out = True
+        elif marked:
+            self._marked.add(len(self.names))
+            if tag not in BLOCKS:
+                self._break()
+                self._breaking.add(tag)
         self.names.append(tag)
         self._open.append((tag, len(self.names) - 1, out))
         self._count[tag] = self._count.get(tag, 0) + 1
         self._left_out += out
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag in self._breaking:
             self._path = None
 
     def _close_to(self, tag: str, stop: frozenset[str] = frozenset()) -> None:
@@ -118,12 +138,16 @@ class PageLines(HTMLParser):
             value = value or ""
             if name == "hidden" or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true":
                 return True
-            if name in ("class", "id") and MARKS.search(value):
-                return True
         return False
 
+    @staticmethod
+    def _is_marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in ("html", "body", "article", "main"):
+            return False
+        return any(value and name in ("class", "id") and MARKS.search(OWN_HEADER.sub(" ", value)) for name, value in attrs)
+
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag in self._breaking:
             self._break()
         self._tags += 1
         if self._count.get(tag):
@@ -168,12 +192,30 @@ def content_lines(lines: list[Line]) -> np.ndarray:
     return values > threshold
 
 
+def unmarked(lines: list[Line], names: list[str]) -> list[Line]:
+    """Lines outside the elements that their marks make furniture: those that don't hold the bulk of
+    the clustered text, or of that in article and main elements if these have any."""
+    if not any(x.marks for x in lines):
+        return lines
+    high = [x for x, chosen in zip(lines, content_lines(lines)) if chosen]
+    high = [x for x in high if any(names[n] in ("article", "main") for n in x.path)] or high
+    weight: dict[int, int] = {}
+    for x in high:
+        for n in x.marks:
+            weight[n] = weight.get(n, 0) + len(x.text)
+    total = sum(len(x.text) for x in high)
+    wrappers = {n for n, w in weight.items() if w > BULK * total}
+    if sum(len(x.text) for x in high if wrappers.issuperset(x.marks)) < LEFT * total:
+        return lines
+    return [x for x in lines if wrappers.issuperset(x.marks)]
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, joined by an empty line; empty if there is none."""
     if not page:
         return ""
     parser = PageLines()
-    lines = parser.read(page)
+    lines = unmarked(parser.read(page), parser.names)
     if not lines:
         return ""
     names, chosen = parser.names, content_lines(lines)

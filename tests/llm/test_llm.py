@@ -466,6 +466,20 @@ def test_regions_hold_the_whole_article():
     assert pages.main_text(inner) == f"Title\n\n{clean}"
 
 
+@pytest.mark.parametrize("mark", ["site has-sidebar", "no-sidebar", "nav-open", "elementor-widget", "related", "social"])
+def test_marked_wrappers_are_not_furniture(mark):
+    text = "A sentence of the story that goes on for quite a while, as stories do. " * 3
+    clean = text.strip()
+    beside = f'<div class="sidebar"><p>{text}</p></div><div class="menu"><a href=x>Home</a></div>'
+    title = '<div class="entry-header"><h1>Title</h1></div>'
+    for opening, closing in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class=post>", "</div>")):
+        page = f'<body><div class="{mark}">{opening}{title}{f"<p>{text}</p>" * 3}{closing}{beside}</div></body>'
+        assert pages.main_text(page) == "\n\n".join(["Title", *[clean] * 3])
+    each = f'<div class="{mark}"><p>{text}</p></div>' * 5
+    assert pages.main_text(f"<body><div>{each}</div></body>") == "\n\n".join([clean] * 5)
+    assert pages.main_text(f'<p>{text} <span class="{mark}">x</span> end</p>') == f"{clean} end"
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<nav>menu</nav>"), (4, "u", "plain  &amp; &#233;&nbsp;text"), (5, "u", "<p>a<p>b<div>c</p>d"),
             (5, "u", "<p>a<p>b<div>c</p>d"), (6, "u", "<div>" * 3000 + "x"), (7, "u", "<p>" + "word " * 200_000)]
