@@ -119,7 +119,8 @@ def bootstrap_difference(videos: DataFrame, base: str, candidate: str, method: s
     bootstrap over lineage clusters.
 
     Rows are never repeated: a cluster's number of draws is their weight. A replicate counts if
-    each method has both classes in it. The interval's ends are order statistics.
+    each method has both classes in it; fewer than half in a domain are an error when its row is
+    read. The interval's ends are order statistics.
     """
     keyed = videos.withColumn("row_key", F.monotonically_increasing_id() if "row_key" not in videos.columns else F.col("row_key"))
     roots = token_components(keyed, "row_key", tokens)
@@ -140,7 +141,10 @@ def bootstrap_difference(videos: DataFrame, base: str, candidate: str, method: s
     ends = good.groupBy("domain").agg(F.array_sort(F.collect_list("diff")).alias("d"), F.count(F.lit(1)).alias("valid"))  # one value for each replicate
     low = F.element_at("d", (F.floor(F.lit(0.025) * (F.col("valid") - 1)) + 1).cast("int"))
     high = F.element_at("d", (F.ceil(F.lit(0.975) * (F.col("valid") - 1)) + 1).cast("int"))
-    return whole.join(ends, "domain").select("domain", "diff", low.alias("low"), high.alias("high"), "valid", ((F.col("diff") >= 0.05) & (low > 0)).alias("clear"))
+    few = F.raise_error(F.concat(F.lit("too few valid bootstrap replicates in "), F.col("domain")))
+    valid = F.coalesce("valid", F.lit(0).cast("long"))
+    ends = whole.join(ends, "domain", "left").withColumn("valid", F.when(valid >= repeats // 2, valid).otherwise(few.cast("long")))
+    return ends.select("domain", "diff", low.alias("low"), high.alias("high"), "valid", ((F.col("diff") >= 0.05) & (low > 0)).alias("clear"))
 
 
 def verdict(pairs: DataFrame, main_domain: str, least: float = -0.01) -> DataFrame:

@@ -293,6 +293,13 @@ def test_bootstrap_of_equal_models_is_zero(spark):
     assert (r.diff, r.low, r.high, r.clear) == (0.0, 0.0, 0.0, False) and r.valid > 0
 
 
+def test_bootstrap_needs_half_of_its_replicates(spark):
+    rows = [(f"{m}{g}", "ff", m, int(m != "real"), [f"{m}{g}"], 0.5, 0.5) for m, g in [("real", 0), *((f"m{i}", 0) for i in range(5))]]
+    df = spark.createDataFrame(rows, "row_key string, domain string, method string, label int, lineage array<string>, base double, candidate double")
+    with pytest.raises(Exception, match="too few valid bootstrap replicates in ff"):
+        fusion.bootstrap_difference(df, "base", "candidate", "method", "domain", "lineage", 30, "s").collect()
+
+
 def test_verdict_is_the_majority(spark):
     df = spark.createDataFrame([(1, "ff", 0.0, -0.1), (1, "cdf", 0.2, 0.1), (2, "ff", -0.2, 0.1), (2, "cdf", 0.1, 0.1), (3, "ff", 0.1, 0.05)], "seed int, domain string, diff double, low double")
     assert tuple(fusion.verdict(df, "ff").first()) == (2, 3, True)
