@@ -1,9 +1,10 @@
 """Main text of web pages from a stream of parser events.
 
-Each block of a page is a line. Its ratio of text to tags, smoothed over its neighbours with a
-Gaussian, is clustered by a threshold; the lines above it say which element holds the article: the
-smallest that has all of them, or all article and main elements. All blocks in it are its text, with
-the headings that lead to it, save for those inside page furniture.
+Each block of a page is a line. Its ratio of text to tags, smoothed over its neighbours with a Gaussian
+and weighed by what the elements around it say of themselves, is clustered by a threshold. The lines
+above it decide which region holds the article (the smallest element that has them all) and which
+elements in it are furniture (those that none of them is in, if they call themselves so or are mostly
+links). No tag and no class drops or keeps a block by itself: they move its ratio.
 """
 
 from __future__ import annotations
@@ -18,134 +19,139 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Elements that end a line, that hold no text, that are page furniture, without end tags.
+#: Elements that end a line, that show no text, that have no end tag, within a line, and of headings.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
     "h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title select datalist textarea button".split())
-FURNITURE = frozenset("nav header footer aside form dialog menu search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-bar|widget\w*|footer|header|masthead|"
-    r"cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|"
-    r"comments?|commentlist|disqus|replies|respond|pagination|pager|toolbar)(?:$|[\s_-])", re.IGNORECASE)
-#: Elements that an opening tag of the same kind ends.
-CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
-#: An article's own header by class or id.
-OWN_HEADER = re.compile(r"(?:^|(?<=\s))(?:entry|post|article|page|content|story)[_-]+header(?=\s|$)", re.IGNORECASE)
-#: Elements within a line of text, which a mark drops at once; other marked elements are judged when all lines are known.
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time u var".split())
-#: A marked element that holds more than this share of the article's text is a wrapper. If all others together leave less than the second, marks mean nothing.
-BULK, LEFT = 0.5, 0.2
-#: Elements that can hold a whole article, and those of headings.
-REGIONS = frozenset("html body div section center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Reach of the smoothing in lines.
-RADIUS = 2
+#: Elements that an opening tag of the same kind ends, and elements that can hold a whole article.
+CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
+REGIONS = frozenset("html body div section center article main form".split())
+#: What elements say of themselves by their tag, their role, and the first or last part of a class or id of at most three parts.
+FURNITURE = frozenset("nav header footer aside form dialog menu search".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner nav navbar navigation menu menus "
+    "breadcrumb breadcrumbs sidebar widget widgets footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter "
+    "subscribe signup login share sharing social related recommended recommendations comment comments commentlist disqus replies respond pagination "
+    "pager toolbar".split())
+#: Headers are named whole: those of an article, such as entry-header, hold its title.
+HEADERS = frozenset("header site-header main-header top-header global-header".split())
+_PARTS = re.compile(r"[-_]+")
+#: A line's ratio is divided by this for each element around it that calls itself furniture, and multiplied by it inside
+#: article and main elements, if these hold the second number's share of the clustered text, weighed alike.
+WEIGHT, ARTICLE_SHARE = 100.0, 0.5
+#: Clusters whose means differ by less than this factor are one.
+ONE_CLUSTER = 3.0
+#: Reach and standard deviation of the smoothing in lines, and the share of links in the text of an element that is mostly links.
+RADIUS, SPREAD, LINKS = 1, 0.7, 0.7
 
 
 @dataclass
 class Line:
-    """A block's text, the tags met in it, and the open elements around it, also those marked as furniture."""
+    """A block's text, the tags met in it, its characters inside links, its links, and the innermost
+    block around it."""
 
     text: str
     tags: int
-    path: tuple[int, ...]
-    marks: tuple[int, ...] = ()
+    linked: int
+    links: int
+    owner: int
 
 
 class PageLines(HTMLParser):
-    """Turns a page into lines; furniture and silent elements give none. Elements that only a class or
-    id marks as furniture do, with the mark."""
+    """Turns a page into lines and a tree of the elements that hold them; element 0 is the page.
+
+    A parent has a smaller number than its children, and each line points to its owner only, so that
+    time and memory grow with the page, however deep it is.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.names: list[str] = []
-        self._open: list[tuple[str, int, bool]] = []  # name, number, whether its text is left out
-        self._marked: set[int] = set()
-        self._breaking: set[str] = set()  # names of marked elements, which end a line though they are no blocks
+        self.names, self.parents, self.cues = ["html"], [0], [False]
+        self._open: list[tuple[str, int, bool, bool]] = []  # name, its or its block's number, left out, an open p that a block ends
+        self._breaking: set[str] = set()  # names of elements that end a line though they are no blocks
         self._count: dict[str, int] = {}
-        self._left_out, self._parts, self._tags = 0, [], 0
-        self._path: tuple[int, ...] | None = ()
-        self._marks: tuple[int, ...] = ()
+        self._left_out, self._links, self._tags, self._linked, self._anchors = 0, 0, 0, 0, 0
+        self._parts: list[str] = []
+
+    @property
+    def _owner(self) -> int:
+        return self._open[-1][1] if self._open else 0
 
     def _break(self) -> None:
         text = " ".join("".join(self._parts).split())
         if text:
-            if self._path is None:
-                self._path = tuple(n for name, n, _ in self._open if name in BLOCKS)
-                self._marks = tuple(n for _, n, _ in self._open if n in self._marked) if self._marked else ()
-            self.lines.append(Line(text, self._tags, self._path, self._marks))
+            self.lines.append(Line(text, self._tags, min(self._linked, len(text)), self._anchors, self._owner))
             self._tags = 0
-        self._parts = []
+        self._parts, self._linked, self._anchors = [], 0, 0
 
     def _close(self) -> None:
-        name, _, out = self._open.pop()
+        name, _, out, _ = self._open.pop()
         self._count[name] -= 1
         self._left_out -= out
-        if name in BLOCKS or name in self._breaking:
-            self._path = None
+        self._links -= name == "a"
+
+    def _close_to(self, tag: str) -> None:
+        while self._open[-1][0] != tag:
+            self._close()
+        self._close()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._break()
-            # an open paragraph ends where another block begins
-            if self._open and self._open[-1][0] in CLOSES_ITSELF and (tag == self._open[-1][0] or self._open[-1][0] == "p"):
+            top = self._open[-1][0] if self._open else ""
+            if top in CLOSES_ITSELF and (tag == top or top == "p"):
                 self._close()
-            elif tag == "p" and self._count.get("p"):
-                self._close_to("p", stop=BLOCKS - {"p"})
+            elif tag == "p" and self._open and self._open[-1][3]:
+                self._close_to("p")
         elif tag == "br":
             self._parts.append(" ")
         self._tags += 1
         if tag in VOID:
             return
-        out = tag in SILENT or self._is_furniture(tag, attrs)
-        marked = not out and self._is_marked(tag, attrs)
-        if marked and tag in INLINE:
-            out = True
-        elif marked:
-            self._marked.add(len(self.names))
+        cue = self._calls_itself_furniture(tag, attrs)
+        out = tag in SILENT or self._is_hidden(attrs) or cue and tag in INLINE
+        number = self._owner
+        if tag in BLOCKS or cue and not out:
             if tag not in BLOCKS:
                 self._break()
                 self._breaking.add(tag)
-        self.names.append(tag)
-        self._open.append((tag, len(self.names) - 1, out))
+            self.names.append(tag)
+            self.parents.append(number)
+            self.cues.append(cue)
+            number = len(self.names) - 1
+        in_p = tag == "p" or tag not in BLOCKS and bool(self._open) and self._open[-1][3]
+        self._open.append((tag, number, out, in_p))
         self._count[tag] = self._count.get(tag, 0) + 1
         self._left_out += out
-        if tag in BLOCKS or tag in self._breaking:
-            self._path = None
-
-    def _close_to(self, tag: str, stop: frozenset[str] = frozenset()) -> None:
-        """End the innermost open ``tag`` and what is in it, unless one of ``stop`` lies between."""
-        for name, _, _ in reversed(self._open):
-            if name == tag:
-                break
-            if name in stop:
-                return
-        while self._open[-1][0] != tag:
-            self._close()
-        self._close()
+        self._links += tag == "a"
+        self._anchors += tag == "a"
+
+    @staticmethod
+    def _is_hidden(attrs: list[tuple[str, str | None]]) -> bool:
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
 
-    def _is_furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _calls_itself_furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in ("html", "body", "article", "main"):
+            return False
         if tag in FURNITURE:
             # an article's own header holds its title
             return not (tag == "header" and (self._count.get("article") or self._count.get("main")))
-        if tag in ("html", "body", "article", "main"):
-            return False
         for name, value in attrs:
-            value = value or ""
-            if name == "hidden" or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true":
+            if name == "role" and (value or "").lower() in ROLES:
                 return True
+            if name in ("class", "id"):
+                for token in (value or "").lower().split():
+                    parts = _PARTS.split(token)
+                    if token in HEADERS or len(parts) <= 3 and (parts[0] in MARKS or parts[-1] in MARKS):
+                        return True
         return False
 
-    @staticmethod
-    def _is_marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in ("html", "body", "article", "main"):
-            return False
-        return any(value and name in ("class", "id") and MARKS.search(OWN_HEADER.sub(" ", value)) for name, value in attrs)
-
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS or tag in self._breaking:
             self._break()
@@ -156,101 +162,116 @@ class PageLines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._left_out:
             self._parts.append(data)
+            if self._links:
+                self._linked += len(data)
 
-    def read(self, page: str) -> list[Line]:
+    def read(self, page: str) -> PageLines:
         self.feed(page)
         self.close()
         self._break()
-        return self.lines
+        return self
 
 
 def smoothed_ratios(lines: list[Line]) -> np.ndarray:
-    """Text-to-tag ratio of each line, averaged over its neighbours with Gaussian weights."""
-    ratio = np.array([len(x.text) / max(1, x.tags) for x in lines])
-    weights = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / (RADIUS / 2)) ** 2)
+    """Logarithm of each line's text-to-tag ratio, averaged over its neighbours with Gaussian weights, so
+    that one very long line doesn't drown those beside it. Text inside links doesn't count."""
+    ratio = np.log1p([(len(x.text) - x.linked) / max(1, x.tags) for x in lines])
+    weights = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SPREAD) ** 2)
     padded = np.pad(ratio, RADIUS)
     inside = np.convolve(np.pad(np.ones(len(ratio)), RADIUS), weights, "valid")
     return np.convolve(padded, weights, "valid") / inside
 
 
-def content_lines(lines: list[Line]) -> np.ndarray:
+def content_lines(lines: list[Line], weights: np.ndarray) -> np.ndarray:
     """Whether each line is in the cluster of high ratios.
 
-    The threshold parts the smoothed ratios into two clusters, each line nearer its own mean; it
-    starts from the standard deviation. Ratios that hardly differ are one cluster.
+    The threshold parts the smoothed ratios, each moved by the logarithm ``weights``, into two clusters, each line nearer its own mean; it starts midway between the extremes. Ratios that
+    hardly differ are one cluster.
     """
-    values = smoothed_ratios(lines)
-    threshold = values.std()
-    for _ in range(20):
+    values = smoothed_ratios(lines) + weights
+    threshold = (values.min() + values.max()) / 2
+    for _ in range(50):
         high = values > threshold
         if high.all() or not high.any():
             return np.ones(len(values), bool)
-        moved = (values[high].mean() + values[~high].mean()) / 2
-        if moved == threshold:
+        means = values[high].mean(), values[~high].mean()
+        if means[0] - means[1] < np.log(ONE_CLUSTER):
+            return np.ones(len(values), bool)
+        if sum(means) / 2 == threshold:
             break
-        threshold = moved
+        threshold = sum(means) / 2
     return values > threshold
 
 
-def unmarked(lines: list[Line], names: list[str]) -> list[Line]:
-    """Lines outside the elements that their marks make furniture: those that don't hold the bulk of
-    the clustered text, or of that in article and main elements if these have any."""
-    if not any(x.marks for x in lines):
-        return lines
-    high = [x for x, chosen in zip(lines, content_lines(lines)) if chosen]
-    high = [x for x in high if any(names[n] in ("article", "main") for n in x.path)] or high
-    weight: dict[int, int] = {}
-    for x in high:
-        for n in x.marks:
-            weight[n] = weight.get(n, 0) + len(x.text)
-    total = sum(len(x.text) for x in high)
-    wrappers = {n for n, w in weight.items() if w > BULK * total}
-    if sum(len(x.text) for x in high if wrappers.issuperset(x.marks)) < LEFT * total:
-        return lines
-    return [x for x in lines if wrappers.issuperset(x.marks)]
+def _totals(parents: list[int], owners: list[int], values: list[int]) -> list[int]:
+    """For each element the sum over the lines inside it."""
+    out = [0] * len(parents)
+    for owner, value in zip(owners, values):
+        out[owner] += value
+    for e in range(len(parents) - 1, 0, -1):
+        out[parents[e]] += out[e]
+    return out
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, joined by an empty line; empty if there is none."""
     if not page:
         return ""
-    parser = PageLines()
-    lines = unmarked(parser.read(page), parser.names)
+    tree = PageLines().read(page)
+    lines, names, parents, n = tree.lines, tree.names, tree.parents, len(tree.names)
     if not lines:
         return ""
-    names, chosen = parser.names, content_lines(lines)
-    articles = {n for x in lines for n in x.path if names[n] in ("article", "main")}
-    if any(high and not articles.isdisjoint(x.path) for x, high in zip(lines, chosen)):
-        inside = [not articles.isdisjoint(x.path) for x in lines]
-        shared = next(x.path for x, held in zip(lines, inside) if held)
-        return joined(lines, inside, shared, names)
-    shared = common_path([x.path for x, high in zip(lines, chosen) if high])
-    while shared and names[shared[-1]] not in REGIONS:
-        shared = shared[:-1]
-    inside = [x.path[: len(shared)] == shared for x in lines]
-    return joined(lines, inside, shared, names)
-
-
-def joined(lines: list[Line], inside: list[bool], region: tuple[int, ...], names: list[str]) -> str:
-    """The text of the lines inside the region and of the headings before it."""
-    first = inside.index(True)
-    return "\n\n".join(x.text for i, x in enumerate(lines) if inside[i] or i < first and leads_to(x.path, region, names))
-
-
-def common_path(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
-    """The elements that all paths begin with."""
-    low, high = min(paths), max(paths)
-    n = 0
-    while n < min(len(low), len(high)) and low[n] == high[n]:
-        n += 1
-    return low[:n]
-
-
-def leads_to(path: tuple[int, ...], region: tuple[int, ...], names: list[str]) -> bool:
-    """Whether a line before the region is its heading: the page's first rank, or beside an element that
-    holds the region."""
-    at = next((i for i, n in enumerate(path) if names[n] in HEADINGS), None)
-    return at is not None and (names[path[at]] == "h1" or path[:at] == region[:at])
+    cued, inside = [0] * n, [False] * n
+    for e in range(1, n):
+        cued[e] = cued[parents[e]] + tree.cues[e]
+        inside[e] = inside[parents[e]] or names[e] in ("article", "main")
+    owners, sizes = [x.owner for x in lines], [len(x.text) for x in lines]
+    weights = -np.log(WEIGHT) * np.array([cued[o] for o in owners])
+    high = content_lines(lines, weights)
+    article = np.array([inside[o] for o in owners])
+    text = np.array(sizes) * high * np.exp(weights)
+    if text[article].sum() >= ARTICLE_SHARE * text.sum() and article.any():
+        high = content_lines(lines, weights + np.log(WEIGHT) * article)
+    if not high.any() or all(cued[o] for o in owners) and _only_furniture(tree):
+        return ""
+    found = _totals(parents, owners, high.tolist())
+    region = 0
+    for e in range(1, n):
+        if parents[e] == region and found[e] == found[0] and names[e] in REGIONS:
+            region = e
+    every, linked = _totals(parents, owners, sizes), _totals(parents, owners, [x.linked for x in lines])
+    links = _totals(parents, owners, [x.links for x in lines])
+    kept = [False] * n
+    kept[region] = True
+    for e in range(region + 1, n):
+        mostly_links = links[e] > 1 and linked[e] > LINKS * every[e] and names[e] != "p"
+        kept[e] = kept[parents[e]] and not (found[e] == 0 and (tree.cues[e] or mostly_links))
+    first = next(i for i, o in enumerate(owners) if kept[o])
+    above = _ancestors(region, parents)
+    return "\n\n".join(
+        x.text for i, x in enumerate(lines) if kept[x.owner] or i < first and not cued[x.owner] and _leads_to(x.owner, above, names, parents))
+
+
+def _only_furniture(tree: PageLines) -> bool:
+    """Whether all text lies in furniture by its tag, so that the page has no article."""
+    by_tag = [False] * len(tree.names)
+    for e in range(1, len(tree.names)):
+        by_tag[e] = by_tag[tree.parents[e]] or tree.cues[e] and tree.names[e] in FURNITURE - {"form"}
+    return all(by_tag[x.owner] for x in tree.lines)
+
+
+def _ancestors(element: int, parents: list[int]) -> set[int]:
+    out = {element, 0}
+    while element:
+        element = parents[element]
+        out.add(element)
+    return out
+
+
+def _leads_to(owner: int, above: set[int], names: list[str], parents: list[int]) -> bool:
+    """Whether a line before the region is its heading: the page's first rank, or beside an element
+    that holds the region."""
+    return names[owner] == "h1" or names[owner] in HEADINGS and parents[owner] in above
 
 
 def extracted(html: Column) -> Column:

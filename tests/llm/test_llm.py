@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -480,6 +481,56 @@ def test_marked_wrappers_are_not_furniture(mark):
     assert pages.main_text(f'<p>{text} <span class="{mark}">x</span> end</p>') == f"{clean} end"
 
 
+def test_clustering_decides_what_a_page_says(spark, monkeypatch):
+    """With every line taken for content, menus and footers come through: the text is the clustering's."""
+    rows = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    text = "A sentence of the story that goes on for quite a while, as stories do. " * 3
+    plain = f"<body><div><a href=x>Home</a><a href=y>News</a></div><div><p>{text}</p><p>Short.</p><p>{text}</p></div><p><a href=z>Imprint</a></p></body>"
+    before = [pages.main_text(r.html) for r in rows]
+    assert pages.main_text(plain) == "\n\n".join([text.strip(), "Short.", text.strip()])
+    monkeypatch.setattr(pages, "content_lines", lambda lines, weights: np.ones(len(lines), bool))
+    assert all(pages.main_text(r.html) != t for r, t in zip(rows, before))
+    assert pages.main_text(plain).endswith("Imprint")
+
+
+def page_parts(seed):
+    """An invented page without article and main elements or telling names, and the blocks of its article."""
+    rng = np.random.default_rng(seed)
+    sentence = lambda n: prose(int(rng.integers(1 << 30)), n).capitalize() + "."
+    links = lambda n: "".join(f"<li><a href=/{i}>{prose(int(rng.integers(1 << 30)), 1)}</a></li>" for i in range(n))
+    blocks = [sentence(6)[:-1], *(sentence(int(rng.integers(2, 90))) for _ in range(int(rng.integers(4, 12)))), sentence(40)]
+    body = f"<h2>{blocks[0]}</h2>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+    page = (f"<html><body><div><ul>{links(int(rng.integers(4, 15)))}</ul></div><div id=x{seed}>{body}</div>"
+            f"<div><ul>{links(int(rng.integers(4, 15)))}</ul></div><div><a href=/a>{prose(1, 2)}</a> <a href=/b>{prose(2, 1)}</a></div></body></html>")
+    return page, blocks
+
+
+def test_pages_without_any_hint():
+    for seed in range(200):
+        page, blocks = page_parts(seed)
+        assert pages.main_text(page) == "\n\n".join(blocks), seed
+
+
+def test_names_weigh_but_do_not_decide():
+    text = "A sentence of the story that goes on for quite a while, as stories do. " * 3
+    clean = text.strip()
+    title = '<article><div class="entry-header"><h1>Title</h1></div><p>Body text.</p></article>'
+    assert pages.main_text(title) == "Title\n\nBody text."
+    war = f'<article><p>{text}</p><p class="notice-of-the-war">The war was noticed by all.</p><p>{text}</p></article>'
+    assert "The war was noticed by all." in pages.main_text(war)
+    form = f"<body><form><div><a href=x>Home</a><a href=y>News</a></div><div><p>{text}</p><p>Short.</p><p>{text}</p></div></form></body>"
+    assert pages.main_text(form) == f"{clean}\n\nShort.\n\n{clean}"
+    aside = f"<article><p>{text}</p><aside><p>{text}</p></aside><p>{text}</p></article>"
+    assert pages.main_text(aside) == f"{clean}\n\n{clean}"
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<div class=related>x", "<b><p>x</p>", "<p><div><b><p></p>", "<ul><li><a href=x>y"])
+def test_deep_pages_take_linear_time(piece):
+    began = time.perf_counter()
+    pages.main_text(piece * 50_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<nav>menu</nav>"), (4, "u", "plain  &amp; &#233;&nbsp;text"), (5, "u", "<p>a<p>b<div>c</p>d"),
             (5, "u", "<p>a<p>b<div>c</p>d"), (6, "u", "<div>" * 3000 + "x"), (7, "u", "<p>" + "word " * 200_000)]
