@@ -561,6 +561,82 @@ def test_compact_windows_are_the_wide_nodes():
             assert list(zip(left.tolist(), centre.tolist(), right.tolist())) == want and keys.tolist() == v[centre].view(np.int64).tolist()
 
 
+def test_windows_of_two_functions_are_joined_by_their_intervals(monkeypatch):
+    """Against the tree's compact windows: a pair of minima rules where both intervals hold a run that has both."""
+    rng, s = np.random.default_rng(8), passages.PassageSettings(min_words=14)
+    texts = [rng.integers(0, int(rng.integers(2, 400)), int(rng.integers(0, 150))).astype(np.uint64) for _ in range(60)]
+    want, joined = [set() for _ in texts], passages.meeting_windows(texts, s)
+    for i, t in enumerate(texts):
+        nodes = [list(zip(*(x.tolist() for x in rest))) for _, *rest in passages.compact_windows(t, s.width, s.functions)]
+        for no, (f, g) in enumerate(s.pairs) if nodes else ():
+            for k, l, c, r in nodes[f]:
+                for k2, l2, c2, r2 in nodes[g]:
+                    lo, hi = max(l, l2, c - s.width + 1, c2 - s.width + 1), min(r - s.width + 1, r2 - s.width + 1, c, c2)
+                    if lo <= hi:
+                        one, two = (np.array([x], np.int64).view(np.uint64) for x in (k, k2))
+                        key = passages.mix(one ^ passages.mix(two + np.uint64((no + 1) * passages._STEP % 2**64))).view(np.int64)[0]
+                        want[i] |= {(int(key), x) for x in range(lo, hi + s.width)}
+    got = [set() for _ in texts]
+    for i, k, lo, hi in zip(*(x.tolist() for x in joined)):
+        got[i] |= {(k, x) for x in range(lo, hi + 1)}
+    assert got == want
+    monkeypatch.setattr(passages, "PART", 40)  # texts in overlapping parts
+    assert all(np.array_equal(x, y) for x, y in zip(joined, passages.meeting_windows(texts, s)))
+
+
+def changed_passages(words_long, pairs, seed):
+    """Share of passages with one word changed anywhere that have a key in common, in texts that share nothing else."""
+    rng, s, hashes, met = np.random.default_rng(seed), passages.PassageSettings(), WordHashes(), 0
+    for i in range(pairs):
+        shared = prose(seed + 10 * i, words_long).split()
+        other = shared[:]
+        other[int(rng.integers(words_long))] = "changed"
+        sides = [prose(seed + 10 * i + k, 80).split() + x + prose(seed + 10 * i + k + 1, 80).split() for k, x in ((1, shared), (3, other))]
+        text, key, *_ = passages.meeting_windows([shingle_hashes(hashes.of([w.encode() for w in x])) for x in sides], s)
+        met += bool(set(key[text == 0].tolist()) & set(key[text == 1].tolist()))
+    return met / pairs
+
+
+def test_recall_of_changed_passages():
+    assert changed_passages(50, 300, 70_000) > 0.95 and changed_passages(60, 300, 80_000) > 0.98
+
+
+def test_passages_against_all_pairs(spark, documents, texts):
+    """The documents with a passage of another one, by comparing all pairs of whole texts."""
+    hashes, s, every, found = WordHashes(), passages.PassageSettings(), {}, set()
+    for k, t in texts.items():
+        every[k] = shingle_hashes(hashes.of(words(t)), SHINGLE)
+    holders = defaultdict(set)
+    for k, x in every.items():
+        for h in set(x.tolist()):
+            holders[h].add(k)
+    common = defaultdict(int)
+    for ks in holders.values():
+        for a in ks:
+            for b in ks:
+                common[a, b] += a < b
+    for (a, b), n in common.items():
+        if n > 10 and (passages.matching_passages(every[a], every[b], s) or passages.matching_passages(every[b], every[a], s)):
+            found |= {a, b}
+    rows = passages.repeated_passages(documents).collect()
+    got = {r.doc_id for r in rows}
+    assert len(found) > 20 and len(found & got) >= 0.98 * len(found)
+    for r in rows:  # each is right: the spans, or windows in them, have the similarity
+        one, two = every[r.doc_id][r.start_word : r.end_word - 4], every[r.rep_id][r.rep_start : r.rep_end - 4]
+        sides = [[x[i : i + s.width] for i in range(max(1, len(x) - s.width + 1))] + [x] for x in (one, two)]
+        assert max(passages.jaccard(np.unique(x), np.unique(y)) for x in sides[0] for y in sides[1][:: max(1, len(sides[1]) // 40)] + [two]) >= 0.8
+
+
+def test_passages_do_not_depend_on_partitions(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = None
+    for parts, plain in ((1, 8), (4, 1), (16, 0)):
+        monkeypatch.setattr(passages, "PLAIN", plain)
+        got = sorted(map(tuple, passages.repeated_passages(docs.repartition(parts, "text")).collect()))
+        assert want is None or got == want
+        want = got
+
+
 def test_shared_passages_are_found(spark):
     shared, near = prose(11, 60).split(), prose(12, 80).split()
     rows = []
