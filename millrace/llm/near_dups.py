@@ -1,6 +1,6 @@
 """Near-duplicate documents: DartMinHash signatures, banded candidates, exact verification, classes.
 
-A document is a weighted set of word shingles. Each shingle owns a strip of the plane weight x time,
+A document is a weighted set of word shingles; the weight is how often it holds the shingle. Each shingle owns a strip of the plane weight x time,
 in which darts fall at hashed places, the same in every document. A dart counts where its weight is
 below the shingle's weight in the document. Each dart also belongs to a hashed coordinate; the
 earliest dart of a coordinate is its signature value. Two documents agree there with the probability
@@ -16,7 +16,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
@@ -43,7 +43,6 @@ class DartSettings:
     bands: int = 24
     rows: int = 4
     shingle: int = SHINGLE
-    weighted: bool = False
 
     @property
     def coordinates(self) -> int:
@@ -83,21 +82,21 @@ def _boxes(weights: np.ndarray) -> Iterator[tuple[int, float, float, np.ndarray]
         number, low, height = number + 1, low + height, height if number == 0 else 2 * height
 
 
-def signature(elements: np.ndarray, weights: np.ndarray | None, settings: DartSettings) -> np.ndarray:
+def signature(elements: np.ndarray, weights: np.ndarray, settings: DartSettings) -> np.ndarray:
     """The earliest dart of every coordinate. ``elements`` are different hashes, at least one;
-    ``weights``, if any, are positive; without them every weight is 1."""
+    ``weights`` are positive."""
     k, base = settings.coordinates, mix(elements)
-    limit = (log(k) + 4) / float(len(elements) if weights is None else weights.sum())
+    limit = (log(k) + 4) / float(weights.sum())
     while True:
-        if weights is None:
-            times, names, _ = _darts(base, limit, k)
-        else:
-            parts = []
-            for number, low, height, inside in _boxes(weights):
-                t, name, owner = _darts(mix(base[inside] + _times(number, _SALT)), limit, k * height)
-                below = low + height * _uniform(mix(name ^ _SALT)) < weights[inside][owner]
-                parts.append((t[below], name[below]))
-            times, names = (np.concatenate(x) for x in zip(*parts))
+        parts = []
+        for number, low, height, inside in _boxes(weights):
+            t, name, owner = _darts(mix(base[inside] + _times(number, _SALT)), limit, k * height)
+            reach = weights[inside][owner]
+            if reach.min(initial=np.inf) < low + height:  # else the region fills the box
+                below = low + height * _uniform(mix(name ^ _SALT)) < reach
+                t, name = t[below], name[below]
+            parts.append((t, name))
+        times, names = (np.concatenate(x) for x in zip(*parts))
         coordinate = (mix(names + _SALT) % np.uint64(k)).astype(np.int64)
         out, filled = np.zeros(k, np.uint64), np.zeros(k, bool)
         filled[coordinate] = True
@@ -117,9 +116,15 @@ def band_keys(sig: np.ndarray, settings: DartSettings) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def shingle_set(text: str | None, hashes: WordHashes, n: int) -> np.ndarray:
-    """Sorted different shingle hashes of a text."""
-    return np.unique(shingle_hashes(hashes.of(words(text)), n))
+def shingle_bag(text: str | None, hashes: WordHashes, n: int) -> np.ndarray:
+    """Sorted hashes of a text's shingles, each occurrence of one being a value of its own, so that the
+    Jaccard similarity of two bags is the weighted one of the shingles' counts."""
+    found = np.sort(shingle_hashes(hashes.of(words(text)), n))
+    if not len(found):
+        return found
+    place = np.arange(len(found))
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], found[1:] != found[:-1])), place, 0))
+    return np.unique(found ^ mix((place - first).astype(np.uint64) * _STEP))  # the first occurrence is the shingle's own hash
 
 
 def _signatures(settings: DartSettings):
@@ -131,7 +136,7 @@ def _signatures(settings: DartSettings):
                 found = shingle_hashes(hashes.of(words(text.as_py())), settings.shingle)
                 if len(found):
                     elements, counts = np.unique(found, return_counts=True)
-                    sig = signature(elements, counts.astype(np.float64) if settings.weighted else None, settings)
+                    sig = signature(elements, counts.astype(np.float64), settings)
                     ids.append(key)
                     bands.append(band_keys(sig, settings))
                     prints.append(sig.astype(np.uint16).tobytes())
@@ -143,7 +148,7 @@ def _signatures(settings: DartSettings):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, n: int) -> DataFrame:
-    """Those pairs (a, b) whose texts' shingle sets have the similarity."""
+    """Those pairs (a, b) whose texts' weighted shingles have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, kept = WordHashes(), None, None
@@ -154,8 +159,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, n: int) ->
                 if key != last:  # rows come sorted by a
                     last, kept = key, None
                 if kept is None or kept[0] != a_text[i].as_py():
-                    kept = (a_text[i].as_py(), shingle_set(a_text[i].as_py(), hashes, n))
-                good.append(jaccard(kept[1], shingle_set(b_text[i].as_py(), hashes, n)) >= similarity - 1e-12)
+                    kept = (a_text[i].as_py(), shingle_bag(a_text[i].as_py(), hashes, n))
+                good.append(jaccard(kept[1], shingle_bag(b_text[i].as_py(), hashes, n)) >= similarity - 1e-12)
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return (
@@ -166,8 +171,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, n: int) ->
 
 
 def _least_agreement(similarity: float, k: int) -> int:
-    """Coordinates of ``k`` in which signatures of that similarity agree but for one time in 10,000."""
-    return max(0, int(similarity * k - 3.72 * (similarity * (1 - similarity) * k) ** 0.5))
+    """The number of ``k`` coordinates below which signatures of that similarity agree once in ten
+    million times at most, by the binomial distribution."""
+    chance, total = (1 - similarity) ** k, 0.0
+    for n in range(k):
+        total += chance
+        if total > 1e-7:
+            return n
+        chance *= (k - n) / (n + 1) * similarity / (1 - similarity) if similarity < 1 else 0.0
+    return k
 
 
 def _across(rows: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float, settings: DartSettings) -> DataFrame:
@@ -176,15 +188,16 @@ def _across(rows: DataFrame, signed: DataFrame, texts: DataFrame, similarity: fl
     A class of more than ``BLOCK`` members in a bucket is a team of its own, the smaller ones are one
     team together; teams are dealt into blocks of about ``BLOCK``. Blocks of different teams meet, and
     those of the small classes meet each other. A large class never meets itself, so that the blocks
-    of a bucket that one class fills are as many as its members, not their square. Shingles are
-    compared by 32 bits of their hashes, and what comes near the similarity is handed on to be
-    verified.
+    of a bucket that one class fills are as many as its members, not their square. Pairs of blocks are
+    listed by their names first and dealt by these, so that no task gets a bucket's pairs together.
+    Shingles are compared by 32 bits of their hashes, and what comes near the similarity is handed on to
+    be verified.
     """
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [np.unique(shingle_set(t.as_py(), hashes, settings.shingle).astype(np.uint32)).tobytes() for t in batch.column(1)]
+            sets = [np.unique(shingle_bag(t.as_py(), hashes, settings.shingle).astype(np.uint32)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     nodes = rows.select("node").distinct()
@@ -193,22 +206,26 @@ def _across(rows: DataFrame, signed: DataFrame, texts: DataFrame, similarity: fl
     classes = counted.withColumn("team", F.when(F.col("n") > BLOCK, F.col("label").cast("string")).otherwise(""))
     teams = cut(classes.groupBy("band", "team").agg(F.sum("n").alias("size")))
     teamed = rows.join(classes.drop("n"), ["band", "label"]).join(teams, ["band", "team"])
-    full = teamed.join(profiles, "node").join(signed.select("node", "sig"), "node")
+    full = teamed.join(profiles, "node").join(signed.select("node", F.col("bands").alias("keys"), "sig"), "node")
     dealt_by = F.when(F.col("team") == "", F.col("label")).otherwise(F.col("node"))  # a small class stays together
     block = F.pmod(F.xxhash64(dealt_by), F.ceil(F.col("size") / F.lit(BLOCK))).cast("int")
-    blocks = full.select("band", "pos", "team", block.alias("block"), F.struct("node", "label", "sig", "shingles").alias("member")).groupBy(
-        "band", "pos", "team", "block").agg(F.collect_list("member").alias("members"))
-    blocks = cut(blocks)
-    others = blocks.select("band", F.col("team").alias("team_b"), F.col("block").alias("block_b"), F.col("members").alias("others"))
-    meets = teams.select("band", "team").join(teams.select("band", F.col("team").alias("team_b")), "band").where(
-        "team < team_b OR team = '' AND team_b = ''")
+    blocks = cut(full.select(
+        "band", "pos", "team", block.alias("block"), F.struct("node", "label", "sig", "keys", "shingles").alias("member")).groupBy(
+        "band", "pos", "team", "block").agg(F.collect_list("member").alias("members")))
+    name = F.struct("band", "team", "block")
+    names = blocks.select("band", "pos", "team", "block", name.alias("one"))
+    beside = names.select("band", F.col("team").alias("team_b"), F.col("block").alias("block_b"), F.col("one").alias("two"))
+    meets = names.join(beside, "band").where(
+        "team < team_b OR team = '' AND team_b = '' AND block < block_b").select("pos", "one", "two")
+    cross = meets.join(blocks.select(name.alias("one"), "members"), "one").join(
+        blocks.select(name.alias("two"), F.col("members").alias("others")), "two").select("pos", "members", "others")
     own = blocks.where("team = ''").select("pos", "members", F.lit(None).cast(blocks.schema["members"].dataType).alias("others"))
-    cross = blocks.join(meets, ["band", "team"]).join(others, ["band", "team_b"]).where("team <> team_b OR block < block_b").select("pos", "members", "others")
     least = _least_agreement(similarity, settings.coordinates)
 
     def read(values: pa.Array) -> tuple:
-        nodes, labels, sigs, sets = (values.field(i).to_pylist() for i in range(4))
-        return np.array(nodes), np.array(labels), np.stack([np.frombuffer(x, np.uint16) for x in sigs]), [np.frombuffer(x, np.uint32) for x in sets]
+        nodes, labels, sigs, sets = (values.field(i).to_pylist() for i in (0, 1, 2, 4))
+        keys = values.field(3).flatten().to_numpy().reshape(len(nodes), settings.bands)
+        return np.array(nodes), np.array(labels), np.stack([np.frombuffer(x, np.uint16) for x in sigs]), keys, [np.frombuffer(x, np.uint32) for x in sets]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,11 +243,12 @@ def links_between(left: tuple, right: tuple, pos: int, similarity: float, least:
     """Pairs of members of two blocks that join their classes: for each pair of classes the first that
     surely has the similarity, and all that are within the error of the short hashes.
 
-    A block is (nodes, labels, 16-bit signatures, sorted shingle sets). Classes joined here count as
-    one from then on. ``pos`` is the bucket's band; pairs that share an earlier one are left to it.
+    A block is (nodes, labels, 16-bit signatures, band keys, sorted shingle bags). Classes joined here
+    count as one from then on. ``pos`` is the bucket's band; pairs that share an earlier one, by their
+    keys, are left to it.
     """
-    nodes_a, labels_a, sig_a, sets_a = left
-    nodes_b, labels_b, sig_b, sets_b = right
+    nodes_a, labels_a, sig_a, keys_a, sets_a = left
+    nodes_b, labels_b, sig_b, keys_b, sets_b = right
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -243,8 +261,7 @@ def links_between(left: tuple, right: tuple, pos: int, similarity: float, least:
         equal = sig_b == sig_a[i]
         agree = equal.sum(axis=1)
         near = np.flatnonzero((agree >= least) & (labels_b != labels_a[i]))
-        first = equal[near].reshape(len(near), settings.bands, settings.rows).all(axis=2).argmax(axis=1)
-        near = near[first == pos]
+        near = near[(keys_b[near] == keys_a[i]).argmax(axis=1) == pos]
         for j in near[np.argsort(-agree[near], kind="stable")].tolist():
             a, b = int(nodes_a[i]), int(nodes_b[j])
             one, two = find(int(labels_a[i])), find(int(labels_b[j]))
@@ -269,15 +286,15 @@ def near_duplicate_classes(
     """One row per document: id, text_id, class_id, keep.
 
     ``text_id`` is the smallest id with exactly the same text, ``class_id`` the smallest id that is
-    reached over links: pairs of texts whose sets of word shingles have a Jaccard similarity of
-    ``similarity`` or more. ``keep`` marks the class's first document.
+    reached over links: pairs of texts whose word shingles, weighted by their counts, have a Jaccard
+    similarity of ``similarity`` or more. ``keep`` marks the class's first document.
 
     Candidates share a band of their DartMinHash signatures. In a bucket, all members are first
     compared with its most central one. Members of a bucket that still holds several classes are
     then compared across these, in blocks: a task gets two blocks and hands on the links that it
     finds, not the pairs. A pair is looked at if its signatures agree in as many
-    coordinates as they would at this similarity but for one time in 10,000; then, in
-    the first band that the two share, its shingle sets are compared. No bucket and no member has a cap.
+    coordinates as they would at this similarity but for one time in ten million; then, in the first
+    band that the two share, its shingles are compared. No bucket and no member has a cap.
 
     Null and empty texts are alone in their class; texts without words, and texts equal in their
     words only, are handled as any other (a text of under five words is one shingle, one without
@@ -324,7 +341,13 @@ def near_duplicate_classes(
 
 
 def keep_first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each class, with its own columns. Rows without an id stay as they are."""
+    """One document of each class, with its own columns. Rows without an id stay as they are.
+
+    Rows of one id are one document: those of different texts all stay, and of those of one text the
+    first by their other columns.
+    """
     kept = near_duplicate_classes(docs, id_col, text_col, **options).where("keep").select(F.col(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(
-        docs.where(F.col(id_col).isNull()))
+    others = [F.col(c) for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind]
+    same = Window.partitionBy(id_col, F.sha2(F.col(text_col).cast("binary"), 256)).orderBy(*(others or [F.lit(0)]))
+    first = docs.join(kept, id_col, "left_semi").select("*", F.row_number().over(same).alias("near_dups_again"))
+    return first.where("near_dups_again = 1").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

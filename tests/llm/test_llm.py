@@ -4,7 +4,7 @@ import hashlib
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -133,12 +133,12 @@ def brute_classes(texts, similarity=0.8):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
 
-    sets = {k: set(shingle_hashes(hashes.of(words(t)), SHINGLE).tolist()) for k, t in texts.items()}
+    sets = {k: Counter(shingle_hashes(hashes.of(words(t)), SHINGLE).tolist()) for k, t in texts.items()}
     keys = sorted(texts)
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            common = len(sets[a] & sets[b])
-            if texts[a] and texts[a] == texts[b] or common and common >= similarity * len(sets[a] | sets[b]):
+            common = (sets[a] & sets[b]).total()  # the weighted Jaccard similarity of counts
+            if texts[a] and texts[a] == texts[b] or common and common >= similarity * (sets[a] | sets[b]).total():
                 join(a, b)
     return {k: find(k) for k in keys}
 
@@ -181,11 +181,47 @@ def test_dart_signatures_estimate_similarity(weighted):
         w = {int(x): float(rng.integers(1, 9)) for x in base} if weighted else {int(x): 1.0 for x in base}
         one, two = set(a.tolist()), set(b.tolist())
         true = sum(w[x] for x in one & two) / sum(w[x] for x in one | two)
-        weights = [np.array([w[x] for x in y.tolist()]) if weighted else None for y in (a, b)]
+        weights = [np.array([w[x] for x in y.tolist()]) for y in (a, b)]
         gaps.append((near_dups.signature(a, weights[0], s) == near_dups.signature(b, weights[1], s)).mean() - true)
     assert abs(np.mean(gaps)) < 0.02
 
 
+def test_near_duplicates_count_their_repeats(spark):
+    """Texts of the same shingles in other numbers are alike by their sets only."""
+    line = prose(30, 40)
+    rows = [(1, " ".join([line] * 2)), (2, " ".join([line] * 9)), (3, " ".join([line] * 10)), (4, line + " " + prose(31, 4))]
+    got = {r.doc_id: r.class_id for r in near_dups.near_duplicate_classes(table(spark, rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(dict(rows)) == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
+def test_bags_give_the_weighted_similarity():
+    rng, hashes = np.random.default_rng(9), WordHashes()
+    for _ in range(50):
+        a, b = (" ".join(rng.choice(list("ab"), int(rng.integers(1, 60)))) for _ in range(2))
+        one, two = (Counter(shingle_hashes(hashes.of(words(x)), SHINGLE).tolist()) for x in (a, b))
+        bags = [near_dups.shingle_bag(x, hashes, SHINGLE) for x in (a, b)]
+        assert near_dups.jaccard(*bags) == (one & two).total() / (one | two).total() and [len(x) for x in bags] == [one.total(), two.total()]
+
+
+def test_kept_rows_do_not_depend_on_their_order(spark):
+    rows = [(1, "one text", "b"), (1, "one text", "a"), (1, "another text", "c"), (2, "one text", "d"), (3, None, "f"), (3, None, "e"), (None, "one text", "g")]
+    for order in (rows, rows[::-1]):
+        kept = near_dups.keep_first_documents(table(spark, order, "doc_id long, text string, source string").repartition(3))
+        assert {tuple(r) for r in kept.collect()} == {(1, "one text", "a"), (1, "another text", "c"), (3, None, "e"), (None, "one text", "g")}
+
+
+def test_chance_agreement_leaves_no_pair_to_another_bucket():
+    s, rng = near_dups.DartSettings(), np.random.default_rng(10)
+    sig = rng.integers(0, 2**16, (2, s.coordinates)).astype(np.uint16)
+    sig[1, :] = sig[0, :]  # short values agree everywhere, as by chance
+    keys = rng.integers(0, 2**62, (2, s.bands))
+    keys[1, 5] = keys[0, 5]
+    bag = np.arange(100, dtype=np.uint32)
+    block = lambda i: (np.array([i]), np.array([i]), sig[i : i + 1], keys[i : i + 1], [bag])
+    found = [near_dups.links_between(block(0), block(1), pos, 0.8, 50, s) for pos in range(s.bands)]
+    assert [len(x) for x in found] == [int(pos == 5) for pos in range(s.bands)]
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(60, 50), (50, 60)]
     got = {r.node: r.label for r in components(table(spark, links, "a long, b long")).collect()}
