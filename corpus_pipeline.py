@@ -23,13 +23,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents in which no learned language is recognised go, that is those of null
-    text or without letters. Rows that are held out teach nothing here either."""
+    """Language ID: ``lang`` becomes the language that the document is written in, whatever it was
+    labelled; documents in which none is recognised go, that is those of null text or without letters.
+    Rows that are held out teach nothing here either. If no row is labelled, no language is known and
+    the documents stay as they are."""
     model = fit_languages(docs.where(~held_out(F.col("doc_id"))))
-    if not model.languages:  # nothing was labelled, so nothing can be told
+    if not model.languages:
         return docs.select(COLUMNS)
-    found = docs.withColumn("found", predict_language(F.col("text"), model)["lang"])
-    return found.where(F.col("found") != UNDETERMINED).select(COLUMNS)
+    told = docs.select(*COLUMNS, predict_language(F.col("text"), model)["lang"].alias("told"))
+    return told.where(F.col("told") != UNDETERMINED).withColumn("lang", F.col("told")).select(COLUMNS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
