@@ -730,6 +730,34 @@ def test_pipeline_stages(spark, texts):
         assert r.parity and r.round_trip
 
 
+def test_pipeline_takes_the_language_from_the_text(spark, documents):
+    """Labels that are wrong or missing are put right, so a stage that ignored its prediction would fail."""
+    import corpus_pipeline
+
+    right = {r.doc_id: r.lang for r in documents.collect()}
+    wrong = (F.col("doc_id") % 5 == 0) & langid.held_out(F.col("doc_id"))
+    spoilt = documents.withColumn("lang", F.when(wrong, F.lit("xx")).when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.col("lang")))
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify(spark, spoilt, DATA).collect()}
+    assert len(got) > 190 and "xx" not in got.values() and None not in got.values()
+    assert np.mean([got[k] == right[k] for k in got]) > 0.95
+    unlabelled = documents.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify(spark, unlabelled, DATA).count() == documents.count()
+
+
+def test_pipeline_of_odd_rows(spark):
+    import corpus_pipeline
+
+    for docs in (odd(spark), table(spark, [], DOCS)):
+        filled = docs.count() > 0
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, DATA)
+            if name != "sentencepiece":
+                assert docs.columns == corpus_pipeline.COLUMNS
+        rows = docs.collect()
+        # of the four equal texts the least id's stays, and the row without an id
+        assert sorted((r.doc_id if r.doc_id is not None else -1, len(r.text) > 0) for r in rows) == ([(-1, True), (4, True), (6, True)] if filled else [])
+
+
 def test_every_operator_is_registered():
     names = list(queries.queries())
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
