@@ -1,10 +1,10 @@
 """SentencePiece models on the tokenizers library: encoding, decoding and a parity check.
 
 The model file is a protocol buffer; its pieces, scores and settings are read here and rebuilt as a
-tokenizers pipeline. The pieces of a word, with the markers before it, don't depend on its
-neighbours when no piece holds a marker after another character. Then each different word is
-encoded once, in batches, and checked against the sentencepiece library; texts are joined from
-their words' ids. Other models are encoded text by text.
+tokenizers pipeline, which encodes and decodes. The pieces of a word, with the markers before it, don't
+depend on its neighbours when no piece holds a marker after another character. Then each different word
+is encoded once, in batches, its ids are compared with the sentencepiece library's and decoded again;
+texts are joined from their words' ids. Other models are encoded, compared and decoded text by text.
 """
 
 from __future__ import annotations
@@ -137,13 +137,11 @@ class PieceCodec:
         self.tok, self.by_word = build_tokenizer(self.model), self.model.by_word
         self.other = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.known: dict[str, tuple[int, ...]] = {}
-        self.differing: set[str] = set()
+        self.differing: set[str] = set()  # words whose ids aren't the sentencepiece library's
+        self.lossy: set[str] = set()  # words that their ids don't give back
         self.split = re.compile(f"{MARK}*[^{MARK}]*")
-        pieces = self.model.pieces
-        self.byte = {i: bytes([int(p[3:5], 16)]) for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
-        self.is_byte = np.zeros(len(pieces), bool)
-        self.is_byte[list(self.byte)] = True
-        self.shown = ["" if kind == CONTROL else " ⁇ " if kind == UNKNOWN else p.replace(MARK, " ") for p, _, kind in pieces]
+        self.silent = np.array([kind == CONTROL for *_, kind in self.model.pieces])
+        self.unknown = np.array([kind == UNKNOWN for *_, kind in self.model.pieces])
 
     def _words(self, text: str) -> list[str]:
         """Words, each without the marker in front of it; more markers stay."""
@@ -153,53 +151,56 @@ class PieceCodec:
         return text.split(" ")
 
     def _learn(self, new: list[str]) -> None:
-        """Encode words and compare them with the sentencepiece library."""
-        ids = [tuple(e.ids) for e in self.tok.encode_batch_fast([MARK + w for w in new], add_special_tokens=False)]
-        plain = self.other.encode([w.replace(MARK, " ") for w in new], num_threads=1)
+        """Encode words, compare their ids with the sentencepiece library's, and decode them."""
+        ids = [e.ids for e in self.tok.encode_batch_fast([MARK + w for w in new], add_special_tokens=False)]
+        shown = [w.replace(MARK, " ") if MARK in w else w for w in new]
+        plain = self.other.encode(shown, num_threads=1)
+        back = self.tok.decode_batch(ids, skip_special_tokens=False)
         self.known.update(zip(new, ids))
         # the marker alone ends a text; by itself it can't be said to the library
-        self.differing.update(w for w, a, b in zip(new, ids, plain) if w and a != tuple(b))
+        self.differing.update(w for w, a, b in zip(new, ids, plain) if a != b and w)
+        self.lossy.update(w for w, t, b in zip(new, shown, back) if b[1:] != t)
 
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool]]:
-        """(ids, parity) of each text; no ids for a null or empty one."""
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
+        """(ids, parity, round trip) of each text; no ids for a null or empty one. Both are told word by
+        word where words are encoded one by one, else on the whole text."""
         if not self.by_word:
             marked = [(MARK if self.model.dummy_prefix and t else "") + t for t in (t or "" for t in texts)]
             ids = [e.ids for e in self.tok.encode_batch(marked, add_special_tokens=False)]
             plain = self.other.encode([t or "" for t in texts], num_threads=1)
-            return [(np.array(a, np.int32), a == b) for a, b in zip(ids, plain)]
+            back = self.decode(ids)
+            return [(np.array(a, np.int32), a == b, c == (t or "").replace(MARK, " ")) for a, b, c, t in zip(ids, plain, back, texts)]
         cut = [self._words(t) if t else [] for t in texts]
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
             self.differing.clear()
+            self.lossy.clear()
         new = list(set(chain.from_iterable(cut)).difference(known))
         if new:
             self._learn(new)
-        out = [(np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), np.int32), self.differing.isdisjoint(ws)) for ws in cut]
+        out = [(np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), np.int32), not self.differing or self.differing.isdisjoint(ws),
+                not self.lossy or self.lossy.isdisjoint(ws)) for ws in cut]
         for w in new:
             if len(w) > LONG_WORD:
                 del known[w]
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: markers are spaces, runs of bytes are UTF-8 (a wrong byte is U+FFFD), and
-        the space that encoding put in front goes."""
-        shown = self.shown
-        if not self.is_byte[ids].any():
-            text = "".join([shown[i] for i in ids.tolist()])
-        else:
-            byte, parts, run = self.byte, [], b""
-            for i in [*ids.tolist(), None]:
-                if i in byte:
-                    run += byte[i]
-                    continue
-                if run:
-                    parts.append(_utf8(run))
-                    run = b""
-                if i is not None:
-                    parts.append(shown[i])
-            text = "".join(parts)
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+    def decode(self, lists: list[list[int]]) -> list[str]:
+        """The text of each list of ids, by the tokenizers library: markers are spaces, bytes are UTF-8,
+        and the space that encoding put in front goes. Control pieces are silent, an unknown one is
+        `` ⁇ ``; each byte of a run that isn't UTF-8 is U+FFFD."""
+        parts, ends = [], [0]
+        for ids in lists:
+            ids = np.asarray(ids, np.int64)
+            if len(ids):
+                ids = ids[~self.silent[ids]]
+                gaps = np.flatnonzero(self.unknown[ids])
+                parts += [x.tolist() for x in np.split(np.delete(ids, gaps), gaps - np.arange(len(gaps)))]
+            ends.append(len(parts))
+        shown = self.tok.decode_batch(parts, skip_special_tokens=False)
+        out = [" ⁇ ".join(shown[a:b]) for a, b in zip(ends, ends[1:])]
+        return [t[1:] if self.model.dummy_prefix and t.startswith(" ") else t for t in out]
 
 
 @lru_cache(2)
@@ -208,32 +209,14 @@ def codec(raw: bytes) -> PieceCodec:
     return PieceCodec(raw)
 
 
-def _utf8(run: bytes) -> str:
-    """UTF-8 with one U+FFFD for each byte that isn't part of a character."""
-    try:
-        return run.decode("utf-8")
-    except UnicodeDecodeError:
-        out, at = [], 0
-        while at < len(run):
-            for n in (1, 2, 3, 4):
-                try:
-                    out.append(run[at : at + n].decode("utf-8"))
-                    break
-                except UnicodeDecodeError:
-                    pass
-            else:
-                out.append("�")
-                n = 1
-            at += n
-        return "".join(out)
-
-
 def encoded(text: Column, model: PieceModel) -> Column:
-    """Struct (ids, n_tokens, ids_sha256, parity, round_trip) of each text.
+    """Struct (ids, n_tokens, ids_sha256, word_parity, round_trip) of each text.
 
-    round_trip says whether decoding gives the text back, markers in the text read as spaces.
+    word_parity says whether the ids of each of its words are those of the sentencepiece library, and
+    round_trip whether each of its words, decoded, comes back, markers in the text read as spaces. For a
+    model whose words can't be encoded one by one, both are of the whole text.
     """
-    fields = [("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("parity", pa.bool_()), ("round_trip", pa.bool_())]
+    fields = [("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("word_parity", pa.bool_()), ("round_trip", pa.bool_())]
 
     raw = model.raw
 
@@ -244,19 +227,19 @@ def encoded(text: Column, model: PieceModel) -> Column:
             for lo in range(0, len(batch), 128):
                 texts = batch.slice(lo, 128).to_pylist()
                 flat, ends, hashes, same, back = [], [0], [], [], []
-                for text, (values, parity) in zip(texts, own.encode(texts)):
+                for values, parity, round_trip in own.encode(texts):
                     flat.append(values)
                     ends.append(ends[-1] + len(values))
                     hashes.append(hashlib.sha256(values.astype("<i4").tobytes()).hexdigest())
                     same.append(parity)
-                    back.append(own.decode(values) == (text or "").replace(MARK, " "))
+                    back.append(round_trip)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
                 pieces.append(pa.StructArray.from_arrays(
                     [lists, pa.array(np.diff(ends), pa.int64()), pa.array(hashes), pa.array(same), pa.array(back)], fields=[pa.field(*f) for f in fields]))
             yield pa.concat_arrays(pieces) if pieces else pa.array([], pa.struct(fields))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    kind = "struct<ids:array<int>,n_tokens:bigint,ids_sha256:string,parity:boolean,round_trip:boolean>"
+    kind = "struct<ids:array<int>,n_tokens:bigint,ids_sha256:string,word_parity:boolean,round_trip:boolean>"
     return F.arrow_udf(run, kind).asNondeterministic()(text)
 
 
@@ -268,7 +251,8 @@ def decoded(ids: Column, model: PieceModel) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(raw)
         for batch in batches:
-            yield pa.array([None if x is None else own.decode(np.array(x, np.int32)) for x in batch.to_pylist()], pa.string())
+            shown = own.decode([[] if x is None else x for x in batch.to_pylist()])
+            yield pa.array([t if there else None for t, there in zip(shown, batch.is_valid().to_pylist())], pa.string())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "string").asNondeterministic()(ids)
@@ -280,7 +264,7 @@ def load_model(path: str = MODEL_FILE) -> PieceModel:
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: PieceModel | None = None) -> DataFrame:
-    """One row per document: id, ids, n_tokens, ids_sha256 (of little-endian 32-bit ids), parity,
+    """One row per document: id, ids, n_tokens, ids_sha256 (of little-endian 32-bit ids), word_parity,
     round_trip. Null and empty texts have no ids. Repeated rows are each encoded. Other columns
     are not read."""
     rows = docs.select(F.col(id_col).alias("key"), encoded(F.col(text_col), model or load_model()).alias("code"))

@@ -365,11 +365,27 @@ def test_sentencepiece_parity_and_round_trip(spark, documents, texts):
 
     plain = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
     for r in pieces.encode_documents(documents).collect():
-        assert r.ids == plain.encode(texts[r.doc_id]) and r.parity and r.round_trip and r.n_tokens == len(r.ids)
+        assert r.ids == plain.encode(texts[r.doc_id]) and r.word_parity and r.round_trip and r.n_tokens == len(r.ids)
     own = pieces.codec(pieces.load_model().raw)
     hard = ["  two  spaces ", " a", "a ", " ", "日本 \U0001F600", "a▁b", "\n\n x\t", "é", "<s> </s> <0x41>", "x" * 5000, "<unk>"]
-    for text, (ids, same) in zip(hard, own.encode(hard)):
-        assert ids.tolist() == plain.encode(text) and same and own.decode(ids) == text.replace("▁", " "), text
+    for text, (ids, same, back) in zip(hard, own.encode(hard)):
+        assert ids.tolist() == plain.encode(text) and same and back and own.decode([ids]) == [text.replace("▁", " ")], text
+    every = [r.tolist() for r, *_ in own.encode(list(texts.values()))]
+    assert own.decode(every) == plain.decode(every) == [t.replace("▁", " ") for t in texts.values()]  # whole texts
+    assert own.decode([[1, 300, 2], [], [300, 0, 301]]) == plain.decode([[1, 300, 2], [], [300, 0, 301]])
+
+
+def test_parity_and_round_trip_can_fail(monkeypatch):
+    own = pieces.PieceCodec(pieces.load_model().raw)
+
+    class Other:
+        def encode(self, texts, num_threads):
+            return [[7] if t == "bad" else own.tok.encode(pieces.MARK + t, add_special_tokens=False).ids for t in texts]
+
+    own.other = Other()
+    assert [x[1:] for x in own.encode(["fine words", "one bad word", ""])] == [(True, True), (False, True), (True, True)]
+    own.lossy.add("words")
+    assert [x[2] for x in own.encode(["fine words", "other"])] == [False, True]
 
 
 def test_unigram_models_with_byte_fallback():
@@ -391,8 +407,8 @@ def test_unigram_models_with_byte_fallback():
         3, message(1, b"identity") + varint(3 << 3) + b"\x01" + varint(4 << 3) + b"\x00" + varint(5 << 3) + b"\x01")
     own = pieces.codec(raw)
     assert own.model.model_type == pieces.UNIGRAM and own.model.byte_fallback
-    for ids, same in own.encode(["ab abab c", "bab é", "cab"]):
-        assert same and len(ids)
+    for ids, same, back in own.encode(["ab abab c", "bab é", "cab"]):
+        assert same and back and len(ids)
 
 
 def test_pieces_of_odd_rows(spark):
@@ -743,7 +759,7 @@ def test_pipeline_stages(spark, texts):
     assert set(final) == want
     for k, r in final.items():
         assert not brute_spans(r.text) and (r.text == texts[k]) == (not pii.find_pii([texts[k]], tagger.trained())[0][1])
-        assert r.parity and r.round_trip
+        assert r.word_parity and r.round_trip
 
 
 def test_pipeline_takes_the_language_from_the_text(spark, documents):
