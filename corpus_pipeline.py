@@ -52,7 +52,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece: the documents with their ids; those whose ids don't give the text back are marked."""
     out = docs.select(*COLUMNS, encoded(F.col("text"), load_model()).alias("code"))
-    return out.select(*COLUMNS, "code.ids", "code.n_tokens", "code.ids_sha256", "code.parity", "code.round_trip")
+    return out.select(*COLUMNS, "code.ids", "code.n_tokens", "code.ids_sha256", "code.word_parity", "code.round_trip")
 
 
 STAGES = [
