@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 MISSING = "<MISSING>"
 #: Splits in order of priority, methods' families by slug.
 SPLITS = ("train", "validation", "test")
+#: The suffixes of images and videos.
+IMAGE_SUFFIXES = (".bmp", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp")
+VIDEO_SUFFIXES = (".avi", ".m4v", ".mkv", ".mov", ".mp4", ".webm")
 
 
 def text_of(c: Column | str) -> Column:
@@ -55,9 +58,9 @@ def file_suffix(path: Column) -> Column:
 
 
 def media_kind(path: Column) -> Column:
-    """``image`` or ``video`` by the file's suffix, null for others."""
-    return F.when(file_suffix(path).isin(".jpg", ".jpeg", ".png", ".bmp", ".webp"), "image").when(
-        file_suffix(path).isin(".mp4", ".avi", ".mov", ".mkv", ".webm"), "video")
+    """``image`` or ``video`` by the file's suffix; others are an error."""
+    unsupported = F.raise_error(F.concat(F.lit("unsupported media type: "), F.coalesce(file_name(path), F.lit("null")))).cast("string")
+    return F.when(file_suffix(path).isin(*IMAGE_SUFFIXES), "image").when(file_suffix(path).isin(*VIDEO_SUFFIXES), "video").otherwise(unsupported)
 
 
 def unsafe_path(path: Column) -> Column:

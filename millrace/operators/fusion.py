@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import digest, sigmoid
-from millrace.operators.constraints import require_none, same_keys
+from millrace.operators.constraints import require_none
 from millrace.operators.graph import token_components
-from millrace.operators.metrics import against_reals, auroc, threshold_table
+from millrace.operators.metrics import areas_by_method
 
 
 def align(left: DataFrame, right: DataFrame, key: str, identity: list[str], values: list[str]) -> DataFrame:
@@ -16,13 +20,13 @@ def align(left: DataFrame, right: DataFrame, key: str, identity: list[str], valu
 
     Raises if a key is on one side only, is repeated, or its identity columns differ.
     """
-    require_none(same_keys(left, right, key), "keys on one side only", key, "side")
-    for side, rows in (("left", left), ("right", right)):
-        require_none(rows.groupBy(key).count().where("count > 1"), f"repeated keys on the {side}", key)
-    named = lambda rows, side: rows.select(key, *(F.col(c).alias(f"{c}_{side}") for c in [*identity, *values]))
-    met = named(left, "left").join(named(right, "right"), key)
-    for c in identity:
-        require_none(met.where(~F.col(f"{c}_left").eqNullSafe(F.col(f"{c}_right"))), f"{c} differs", key)
+    named = lambda rows, side: rows.select(key, F.lit(True).alias(f"is_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in [*identity, *values]))
+    both = F.col("is_left") & F.col("is_right")
+    met = named(left, "left").join(named(right, "right"), key, "full")
+    differ = F.array_compact(F.array(*(F.when(both & ~F.col(f"{c}_left").eqNullSafe(F.col(f"{c}_right")), F.lit(c)) for c in identity), F.lit(None).cast("string")))
+    problem = F.when(F.col("is_left").isNull() | F.col("is_right").isNull(), "keys on one side only").when(F.col("rows") > 1, "repeated keys").when(F.size("differ") > 0, F.concat(F.array_join("differ", ", "), F.lit(" differs")))
+    checked = met.withColumn("differ", differ).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy(key))).withColumn("problem", problem)
+    require_none(checked.where(F.col("problem").isNotNull()), "keys that don't pair", key, "problem")
     return met.select(key, *(F.col(f"{c}_left").alias(c) for c in identity), *(f"{v}_{s}" for v in values for s in ("left", "right")))
 
 
@@ -32,17 +36,18 @@ def blend(left: Column, right: Column, weight: float | Column) -> Column:
     return w * left + (1 - w) * right
 
 
-def weight_grid(rows: DataFrame, left: str, right: str, method: str, domain: str, steps: int = 20, label: str = "label") -> DataFrame:
-    """(weight, auroc, chosen): macro area for each weight of a grid; chosen is the best, of equals the
-    one nearest a half, then the smaller."""
-    weights = rows.sparkSession.range(steps + 1).select((F.col("id") / steps).alias("weight"))
-    every = rows.crossJoin(F.broadcast(weights)).withColumn("score", sigmoid(blend(F.col(left), F.col(right), F.col("weight"))))  # steps + 1 rows
-    paired = against_reals(every.withColumn("domain_weight", F.struct(F.col(domain).alias("d"), F.col("weight").alias("w"))), method, "domain_weight", label)
-    paired = paired.select("weight", F.col(domain).alias("d"), "slice_method", label, "score")
-    slices = ["weight", "d", "slice_method"]
-    macro = auroc(threshold_table(paired, slices, label), slices).groupBy("weight").agg(F.avg("auroc").alias("auroc"))
-    order = Window.orderBy(F.desc(F.round("auroc", 12)), F.abs(F.col("weight") - 0.5), "weight")  # one row for each weight
-    return macro.withColumn("chosen", F.row_number().over(order) == 1)
+def weight_grid(rows: DataFrame, left: str, right: str, method: str, domain: str, select_on: str, steps: int = 20, label: str = "label") -> DataFrame:
+    """(domain, weight, auroc, chosen): macro area of each domain for each weight of a grid. One weight is
+    chosen for all: the best in the domain ``select_on``, of equals the one nearest a half, then the
+    smaller; the other domains never move it."""
+    counted = rows.groupBy(F.col(domain).alias("domain"), F.col(method).alias("method"), F.col(label).alias("label"), left, right).agg(F.count(F.lit(1)).alias("k"))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i / F.lit(float(steps)))
+    every = counted.withColumn("weight", F.explode(weights)).withColumn("score", sigmoid(blend(F.col(left), F.col(right), F.col("weight"))))
+    areas = areas_by_method(every, ["domain", "weight"], "method", weight=F.col("k"))
+    macro = areas.groupBy("domain", "weight").agg(F.avg("auroc").alias("auroc"))
+    order = Window.partitionBy("domain").orderBy(F.desc(F.round("auroc", 12)), F.abs(F.col("weight") - 0.5), "weight")  # one row for each weight
+    best = macro.where(F.col("domain") == select_on).withColumn("no", F.row_number().over(order)).where("no = 1").select(F.col("weight").alias("best"))
+    return macro.crossJoin(F.broadcast(best)).select("domain", "weight", "auroc", (F.col("weight") == F.col("best")).alias("chosen"))  # one row
 
 
 def complementarity(rows: DataFrame, left: str, right: str, label: str = "label", at: float = 0.5) -> DataFrame:
@@ -100,51 +105,182 @@ def decision_counts(decided: DataFrame, label: str, keys: list[str]) -> DataFram
                                       (F.count_if(right) / F.greatest(F.lit(1), F.count_if(F.col("decision") != "ABSTAIN"))).alias("accuracy"))
 
 
+#: Ranges of scores that are read side by side, at most.
+RUNS = 256
+
+
 def cluster_draws(roots: DataFrame, repeats: int, seed: str) -> DataFrame:
-    """(replicate, root, times): clusters drawn with replacement, as many as there are, by hashes.
+    """(root, replicate, times): clusters drawn with replacement, as many as there are, by hashes.
 
-    A draw is a slot of the clusters in order; the slots are clusters, not rows.
+    A draw is a slot of the clusters, which are numbered from 0 in the order of hashed runs and of names
+    in these.
     """
-    ordered = roots.select("root").distinct().withColumn("slot", F.row_number().over(Window.orderBy("root")) - 1)
-    size = ordered.agg(F.count(F.lit(1)).alias("size"))
-    slots = ordered.select(F.col("slot").alias("turn")).crossJoin(F.broadcast(size))  # one row
-    turns = slots.crossJoin(F.broadcast(roots.sparkSession.range(repeats).select(F.col("id").alias("replicate"))))
+    names = roots.select("root").distinct().withColumn("run", F.conv(F.substring(digest("root"), 1, 2), 16, 10).cast("int"))
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # one row for each run
+    counts = names.groupBy("run").agg(F.count(F.lit(1)).alias("k"))
+    starts = counts.select("run", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"), F.sum("k").over(Window.partitionBy()).alias("size"))
+    inside = F.row_number().over(Window.partitionBy("run").orderBy("root"))
+    slots = names.withColumn("no", inside - 1).join(F.broadcast(starts), "run").select("root", (F.col("start") + F.col("no")).alias("slot"), "size")
+    turns = slots.select("size", F.col("slot").alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("replicate"))
     pick = F.pmod(F.conv(F.substring(digest(F.lit(seed), F.col("replicate"), F.col("turn")), 1, 12), 16, 10).cast("long"), F.col("size"))
-    drawn = turns.select("replicate", pick.alias("slot")).groupBy("replicate", "slot").agg(F.count(F.lit(1)).alias("times"))
-    return drawn.join(ordered, "slot").select("replicate", "root", "times")
+    drawn = turns.select(pick.alias("slot"), "replicate").groupBy("slot", "replicate").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    return drawn.join(slots.select("root", "slot"), "slot").select("root", "replicate", "times")
+
+
+def _dense_draws(draws: DataFrame, repeats: int) -> DataFrame:
+    """(root, times): a cluster's number of draws in every replicate, a byte each, and first the 1 that it
+    has in the table itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            which, times = (lists.flatten().field(i).to_numpy() for i in range(2))
+            if len(times) and times.max() > 255:
+                raise ValueError("a cluster was drawn more than 255 times in a replicate")
+            dense = np.zeros((batch.num_rows, repeats + 1), np.uint8)
+            dense[:, 0] = 1
+            dense[np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()), which + 1] = times
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in dense], pa.binary())], names=["root", "times"])
+
+    listed = draws.groupBy("root").agg(F.collect_list(F.struct("replicate", "times")).alias("draws"))  # one for each replicate at most
+    return listed.mapInArrow(run, "root string, times binary")
+
+
+#: Rows whose vectors of replicates are held at once.
+TOGETHER = 500
+
+
+class _Winners:
+    """The won pairs of one domain and model in one range of scores, in every replicate; rows come by
+    score. Only vectors are held: the reals below, and the reals and fakes of the last score."""
+
+    def __init__(self, key: tuple[str, str], size: int):
+        self.key, self.size, self.score, self.least = key, size, None, None
+        self.below, self.real = np.zeros(size), np.zeros(size)
+        self.at: dict[str, np.ndarray] = {}
+        self.won: dict[str, np.ndarray] = {}
+        self.fakes: dict[str, np.ndarray] = {}
+
+    def _add(self, method: str, fakes: np.ndarray, won: np.ndarray) -> None:
+        self.fakes[method] = self.fakes.get(method, 0.0) + fakes
+        self.won[method] = self.won.get(method, 0.0) + won
+
+    def _settle(self) -> None:
+        for method, fakes in self.at.items():
+            self._add(method, fakes, fakes * (self.below + self.real / 2))
+        self.below, self.real, self.at = self.below + self.real, np.zeros(self.size), {}
+
+    def take(self, score: np.ndarray, label: np.ndarray, method: np.ndarray, weight: np.ndarray) -> None:
+        first = np.flatnonzero(np.concatenate(([True], score[1:] != score[:-1])))
+        real = np.add.reduceat(weight * (label == 0)[:, None], first)
+        fake = {m: np.add.reduceat(weight * ((label == 1) & (method == m))[:, None], first) for m in np.unique(method[label == 1]).tolist()}
+        if self.score is not None and score[0] != self.score:
+            self._settle()
+        self.least = score[0] if self.least is None else self.least
+        for end in (0, len(first) - 1):  # the first score may go on from before, the last one goes on
+            self.real = self.real + real[end]
+            for m, f in fake.items():
+                self.at[m] = self.at.get(m, 0.0) + f[end]
+            if end == len(first) - 1:
+                break
+            self._settle()
+            inner = slice(1, len(first) - 1)
+            lower = self.below + np.cumsum(real[inner], axis=0) - real[inner] / 2
+            for m, f in fake.items():
+                self._add(m, f[inner].sum(axis=0), (f[inner] * lower).sum(axis=0))
+            self.below = self.below + real[inner].sum(axis=0)
+        self.score = score[-1]
+
+    def rows(self) -> pa.RecordBatch:
+        self._settle()
+        none = np.zeros(self.size)
+        out = [(None, none, none, self.below), *((m, self.won[m], self.fakes[m], none) for m in self.won)]
+        body = [pa.array([r[i].tobytes() for r in out], pa.binary()) for i in (1, 2, 3)]
+        head = [pa.array([k] * len(out), t) for k, t in zip((*self.key, self.least), (pa.string(), pa.string(), pa.float64()))]
+        return pa.RecordBatch.from_arrays([*head, pa.array([r[0] for r in out], pa.string()), *body], names=["domain", "model", "run", "slice_method", "won", "p", "n"])
+
+
+def _won_pairs(repeats: int):
+    """(domain, model, run, slice_method, won, p, n) of a range of rows (domain, model, score, method,
+    label, k, times): for each method in every replicate the pairs that its fakes win against the reals of
+    the range, and the fakes; and, in the row without a method, the reals. ``run`` is the least score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_one: _Winners | None = None
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(lo, TOGETHER)
+                keys = list(zip(batch.column("domain").to_pylist(), batch.column("model").to_pylist()))
+                turns = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+                weight = np.frombuffer(b"".join(batch.column("times").to_pylist()), np.uint8).reshape(len(keys), repeats + 1) * batch.column("k").to_numpy()[:, None]
+                score, label = batch.column("score").to_numpy(), batch.column("label").to_numpy()
+                method = np.array([m or "" for m in batch.column("method").to_pylist()])
+                for a, b in zip(turns, turns[1:]):
+                    if open_one is not None and open_one.key != keys[a]:
+                        yield open_one.rows()
+                        open_one = None
+                    open_one = open_one or _Winners(keys[a], repeats + 1)
+                    open_one.take(score[a:b], label[a:b], method[a:b], weight[a:b])
+        if open_one is not None:
+            yield open_one.rows()
+
+    return run
+
+
+def _replicates(key: tuple, table: pa.Table) -> pa.Table:
+    """(domain, replicate, diff): macro difference of the areas in every replicate in which all methods
+    have both classes, from the runs of one domain; replicate -1 is the table itself."""
+    areas: dict[tuple[str, str], np.ndarray] = {}
+    for model in ("base", "candidate"):
+        rows = sorted((r for r in table.to_pylist() if r["model"] == model), key=lambda r: r["run"])
+        read = lambda r, c: np.frombuffer(r[c], np.float64)
+        below, won, fakes = 0.0, {}, {}
+        for run in sorted({r["run"] for r in rows}):
+            mine = [r for r in rows if r["run"] == run]
+            for r in mine:
+                if r["slice_method"] is not None:
+                    won[r["slice_method"]] = won.get(r["slice_method"], 0.0) + read(r, "won") + below * read(r, "p")
+                    fakes[r["slice_method"]] = fakes.get(r["slice_method"], 0.0) + read(r, "p")
+            below = below + sum(read(r, "n") for r in mine)
+        for m in won:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                areas[m, model] = np.where((fakes[m] > 0) & (below > 0), won[m] / (fakes[m] * below), np.nan)
+    methods = sorted({m for m, _ in areas})
+    diff = sum(areas[m, "candidate"] - areas[m, "base"] for m in methods) / len(methods) if methods else np.empty(0)
+    good = np.flatnonzero(~np.isnan(diff))
+    return pa.table({"domain": pa.array([key[0].as_py()] * len(good), pa.string()), "replicate": pa.array(good - 1, pa.int64()), "diff": pa.array(diff[good])})
 
 
 def bootstrap_difference(videos: DataFrame, base: str, candidate: str, method: str, domain: str, tokens: str, repeats: int, seed: str, label: str = "label") -> DataFrame:
     """(domain, diff, low, high, valid, clear): difference of macro areas, with the interval of a
     bootstrap over lineage clusters.
 
-    Rows are never repeated: a cluster's number of draws is their weight. A replicate counts if
-    each method has both classes in it; fewer than half in a domain are an error when its row is
-    read. The interval's ends are order statistics.
+    Rows are never repeated: a cluster's draws in all replicates are one vector, and the rows of equal
+    cluster, class and score are summed first. Each range of scores is read in order and gives its won
+    pairs of all replicates at once, and a domain's ranges are added up. A replicate counts if each method has both
+    classes in it; fewer than half in a domain are an error when its row is read. The interval's ends
+    are order statistics.
     """
     keyed = videos.withColumn("row_key", F.monotonically_increasing_id() if "row_key" not in videos.columns else F.col("row_key"))
     roots = token_components(keyed, "row_key", tokens)
-    rooted = keyed.join(roots, "row_key")
-    paired = against_reals(rooted, method, domain, label).select("root", F.col(domain).alias("domain"), "slice_method", label, base, candidate)
-    both = paired.select("root", "domain", "slice_method", label, F.explode(F.create_map(F.lit("base"), base, F.lit("candidate"), candidate)).alias("model", "score"))
-    slices = ["domain", "slice_method", "model"]
-
-    def macro(rows: DataFrame, keys: list[str], weight: Column | None) -> DataFrame:
-        each = auroc(threshold_table(rows, [*keys, *slices], label, weight=weight), [*keys, *slices])
-        sides = each.groupBy(*keys, "domain", "slice_method").agg(F.max(F.when(F.col("model") == "base", F.col("auroc"))).alias("b"), F.max(F.when(F.col("model") == "candidate", F.col("auroc"))).alias("c"))
-        return sides.groupBy(*keys, "domain").agg((F.avg("c") - F.avg("b")).alias("diff"), F.count("b").alias("methods"))
-
-    whole = macro(both, [], None)
-    draws = cluster_draws(roots, repeats, seed)
-    again = macro(both.join(draws, "root"), ["replicate"], F.col("times"))
-    good = again.join(whole.select("domain", F.col("methods").alias("all_methods")), "domain").where(F.col("methods") == F.col("all_methods"))
-    ends = good.groupBy("domain").agg(F.array_sort(F.collect_list("diff")).alias("d"), F.count(F.lit(1)).alias("valid"))  # one value for each replicate
-    low = F.element_at("d", (F.floor(F.lit(0.025) * (F.col("valid") - 1)) + 1).cast("int"))
-    high = F.element_at("d", (F.ceil(F.lit(0.975) * (F.col("valid") - 1)) + 1).cast("int"))
+    models = F.explode(F.create_map(F.lit("base"), base, F.lit("candidate"), candidate)).alias("model", "score")
+    rows = keyed.join(roots, "row_key").select("root", F.col(domain).alias("domain"), F.when(F.col(label) == 1, F.col(method)).alias("method"), F.col(label).alias("label"), models)
+    counted = rows.groupBy("domain", "model", "root", "method", "label", "score").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    draws = _dense_draws(cluster_draws(roots, repeats, seed), repeats)
+    # rows of one score are of one range, whose bounds Spark finds from a sample of the scores
+    ranged = counted.join(draws, "root").select("domain", "model", "score", "method", "label", "k", "times").repartitionByRange(
+        min(RUNS, int(videos.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "domain", "model", "score").sortWithinPartitions("domain", "model", "score")
+    parts = ranged.mapInArrow(_won_pairs(repeats), "domain string, model string, run double, slice_method string, won binary, p binary, n binary")
+    again = parts.groupBy("domain").applyInArrow(_replicates, "domain string, replicate long, diff double")  # at most RUNS rows for each method and model
+    ends = again.groupBy("domain").agg(
+        F.max(F.when(F.col("replicate") == -1, F.col("diff"))).alias("diff"),
+        F.array_sort(F.collect_list(F.when(F.col("replicate") >= 0, F.col("diff")))).alias("d"))  # one value for each replicate
+    valid = F.size("d").cast("long")
+    low = F.element_at("d", (F.floor(F.lit(0.025) * (valid - 1)) + 1).cast("int"))
+    high = F.element_at("d", (F.ceil(F.lit(0.975) * (valid - 1)) + 1).cast("int"))
     few = F.raise_error(F.concat(F.lit("too few valid bootstrap replicates in "), F.col("domain")))
-    valid = F.coalesce("valid", F.lit(0).cast("long"))
-    ends = whole.join(ends, "domain", "left").withColumn("valid", F.when(valid >= repeats // 2, valid).otherwise(few.cast("long")))
-    return ends.select("domain", "diff", low.alias("low"), high.alias("high"), "valid", ((F.col("diff") >= 0.05) & (low > 0)).alias("clear"))
+    checked = ends.where(F.col("diff").isNotNull()).withColumn("valid", F.when(valid >= repeats // 2, valid).otherwise(few.cast("long")))
+    return checked.select("domain", "diff", low.alias("low"), high.alias("high"), "valid", ((F.col("diff") >= 0.05) & (low > 0)).alias("clear"))
 
 
 def verdict(pairs: DataFrame, main_domain: str, least: float = -0.01) -> DataFrame:

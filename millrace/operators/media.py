@@ -12,19 +12,27 @@ from millrace.functions.scalars import digest
 
 #: The registered corruptions and their severities.
 CORRUPTIONS = {
-    "jpeg": (90, 70, 50, 30), "resize": (0.75, 0.5, 0.25), "blur": (1, 2, 3), "noise": (5, 10, 20), "crop": (0.9, 0.8, 0.7), "h264": (23, 30, 38),
+    "jpeg": (90, 70, 50, 30), "resize": (0.75, 0.5, 0.25), "blur": (0.5, 1.0, 2.0), "noise": (2, 5, 10), "crop": (0.9, 0.8, 0.7), "h264": (23, 30, 38),
 }
 
 
 def corruption_settings(spark: SparkSession) -> DataFrame:
-    """(name, level, setting) of every corruption and severity."""
-    return spark.createDataFrame([(n, float(x), f"{n}-{x:g}") for n, levels in CORRUPTIONS.items() for x in levels], "name string, level double, setting string")
+    """(name, level, level_text, setting) of every corruption and severity."""
+    return spark.createDataFrame(
+        [(n, float(x), f"{x:g}", f"{n}-{x:g}") for n, levels in CORRUPTIONS.items() for x in levels], "name string, level double, level_text string, setting string")
 
 
-def corruption_plan(samples: DataFrame, key: str, seed: str) -> DataFrame:
-    """Each sample with each setting and the seed of its noise."""
+def noise_seed(sample: Column | str, name: Column | str, level_text: Column | str) -> Column:
+    """The first eight bytes of the digest of sample, name and level, read as a little-endian number."""
+    h = digest(sample, name, level_text)
+    turned = F.concat(*(F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)))
+    return F.conv(turned, 16, 10).cast("decimal(20,0)")
+
+
+def corruption_plan(samples: DataFrame, key: str) -> DataFrame:
+    """Each sample with each setting and the seed of its noise, which depends on these alone."""
     plan = samples.crossJoin(F.broadcast(corruption_settings(samples.sparkSession)))  # a fixed list
-    return plan.withColumn("noise_seed", F.conv(F.substring(digest(F.lit(seed), key, "setting"), 1, 15), 16, 10).cast("long"))
+    return plan.withColumn("noise_seed", noise_seed(key, "name", "level_text"))
 
 
 def difference_hash(gray: Column) -> Column:

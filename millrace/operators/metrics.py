@@ -13,21 +13,24 @@ from pyspark.sql import functions as F
 RUNS = 512
 
 
-def threshold_table(rows: DataFrame, slices: list[str], label: str = "label", score: str = "score", weight: Column | None = None) -> DataFrame:
-    """(slices, score, pos, neg, tp, fp, p, n): rows of each class at a score, at or above it, in all.
+def threshold_table(rows: DataFrame, slices: list[str], label: str = "label", score: str = "score", weight: Column | None = None, keep: str | None = None) -> DataFrame:
+    """(slices, score, pos, neg, tp, fp, p, n): rows of each class at a score, at or above it, in all;
+    and ``keep``, a column of rows that are summed by score already.
 
     Rows are first summed by distinct score. The running sums are those of the runs of scores above
     plus that inside the run.
     """
     w = (weight if weight is not None else F.lit(1)).cast("double")
-    sums = rows.groupBy(*slices, F.col(score).cast("double").alias("score")).agg(
+    extra = [keep] if keep else []
+    sums = rows.select(*slices, F.col(score).cast("double").alias("score"), *(F.when(F.col(label) == y, w).otherwise(0.0).alias(c) for y, c in ((1, "pos"), (0, "neg"))), keep) if keep else rows.groupBy(
+        *slices, F.col(score).cast("double").alias("score")).agg(
         F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("neg"))
     ends = rows.groupBy(*slices).agg(F.min(F.col(score).cast("double")).alias("lo"), F.max(F.col(score).cast("double")).alias("hi"))
     same = [sums[s].eqNullSafe(ends[s]) for s in slices]
     met = sums.join(ends, _all(same)) if slices else sums.crossJoin(F.broadcast(ends))  # one row
     width = (F.col("hi") - F.col("lo")) / RUNS
     run = F.when(width > 0, F.least(F.floor((F.col("score") - F.col("lo")) / width), F.lit(RUNS - 1))).otherwise(0).cast("int")
-    placed = met.select(*(sums[s] for s in slices), "score", "pos", "neg", run.alias("run"))
+    placed = met.select(*(sums[s] for s in slices), "score", "pos", "neg", run.alias("run"), *extra)
     totals = placed.groupBy(*slices, "run").agg(F.sum("pos").alias("run_pos"), F.sum("neg").alias("run_neg"))
     above = Window.partitionBy(*slices).orderBy(F.desc("run")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*slices)
@@ -37,7 +40,7 @@ def threshold_table(rows: DataFrame, slices: list[str], label: str = "label", sc
     inside = Window.partitionBy(*slices, "run").orderBy(F.desc("score"))
     summed = placed.withColumn("tp1", F.sum("pos").over(inside)).withColumn("fp1", F.sum("neg").over(inside))
     back = summed.join(starts, _all([summed[s].eqNullSafe(starts[s]) for s in slices] + [summed["run"] == starts["run"]]))
-    return back.select(*(summed[s] for s in slices), "score", "pos", "neg", (F.col("pos0") + F.col("tp1")).alias("tp"), (F.col("neg0") + F.col("fp1")).alias("fp"), "p", "n")
+    return back.select(*(summed[s] for s in slices), "score", "pos", "neg", (F.col("pos0") + F.col("tp1")).alias("tp"), (F.col("neg0") + F.col("fp1")).alias("fp"), "p", "n", *extra)
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -51,33 +54,53 @@ def _by(df: DataFrame, slices: list[str]):
     return df.groupBy(*slices)
 
 
+def _auroc() -> Column:
+    won = F.sum(F.col("pos") * (F.col("n") - F.col("fp") + F.col("neg") / 2))
+    return F.try_divide(won, F.max("p") * F.max("n")).alias("auroc")
+
+
+def _average_precision() -> Column:
+    return F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.max("p")).alias("average_precision")
+
+
+def _tpr_at_fpr(budget: float) -> Column:
+    rate = F.try_divide(F.col("tp"), F.col("p"))
+    return F.coalesce(F.max(F.when(F.try_divide(F.col("fp"), F.col("n")) <= budget, rate)), F.lit(0.0)).alias("tpr_at_fpr")
+
+
+def _eer() -> Column:
+    # the crossing lies between the last point below 0 and the first at or above it
+    fpr, gap = F.col("fp") / F.col("n"), F.col("fp") / F.col("n") - (1 - F.col("tp") / F.col("p"))
+    there = (F.col("p") > 0) & (F.col("n") > 0)
+    point, order = F.struct(fpr.alias("fpr"), gap.alias("gap")), F.struct(gap.alias("g"), (-F.col("score")).alias("s"))
+    u, v = F.max_by(F.when(there, point), F.when(there & (gap < 0), order)), F.min_by(F.when(there, point), F.when(there & (gap >= 0), order))
+    x0, g0 = F.coalesce(u["fpr"], F.lit(0.0)), F.coalesce(u["gap"], F.lit(-1.0))
+    return (x0 + (v["fpr"] - x0) * (-g0) / (v["gap"] - g0)).alias("eer")
+
+
+def curve_metrics(table: DataFrame, slices: list[str], budget: float = 0.01) -> DataFrame:
+    """(slices, auroc, average_precision, tpr_at_fpr, eer) in one aggregate."""
+    return _by(table, slices).agg(_auroc(), _average_precision(), _tpr_at_fpr(budget), _eer())
+
+
 def auroc(table: DataFrame, slices: list[str]) -> DataFrame:
     """Area under the ROC curve with half credit for ties; null if a class is absent."""
-    won = F.sum(F.col("pos") * (F.col("n") - F.col("fp") + F.col("neg") / 2))
-    return _by(table, slices).agg(F.try_divide(won, F.max("p") * F.max("n")).alias("auroc"))
+    return _by(table, slices).agg(_auroc())
 
 
 def average_precision(table: DataFrame, slices: list[str]) -> DataFrame:
     """Precision at each distinct score, weighted by the positives there; null without positives."""
-    return _by(table, slices).agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.max("p")).alias("average_precision"))
+    return _by(table, slices).agg(_average_precision())
 
 
 def tpr_at_fpr(table: DataFrame, slices: list[str], budget: float = 0.01) -> DataFrame:
     """The best true-positive rate whose false-positive rate is within the budget; 0 if none is."""
-    rate = F.try_divide(F.col("tp"), F.col("p"))
-    return _by(table, slices).agg(F.coalesce(F.max(F.when(F.try_divide(F.col("fp"), F.col("n")) <= budget, rate)), F.lit(0.0)).alias("tpr_at_fpr"))
+    return _by(table, slices).agg(_tpr_at_fpr(budget))
 
 
 def equal_error_rate(table: DataFrame, slices: list[str]) -> DataFrame:
     """Where the false-positive and false-negative rates meet, by linear interpolation between scores."""
-    fpr, fnr = F.try_divide(F.col("fp"), F.col("n")), 1 - F.try_divide(F.col("tp"), F.col("p"))
-    points = table.where((F.col("p") > 0) & (F.col("n") > 0)).select(*slices, "score", fpr.alias("fpr"), (fpr - fnr).alias("gap"))
-    # the crossing lies between the last point below 0 and the first at or above it
-    below = points.where("gap < 0").groupBy(*slices).agg(F.max_by(F.struct("fpr", "gap"), F.struct(F.col("gap"), -F.col("score"))).alias("u"))
-    above = points.where("gap >= 0").groupBy(*slices).agg(F.min_by(F.struct("fpr", "gap"), F.struct(F.col("gap"), -F.col("score"))).alias("v"))
-    met = above.join(below, _all([above[s].eqNullSafe(below[s]) for s in slices]), "left") if slices else above.crossJoin(F.broadcast(below))
-    x0, g0 = F.coalesce(F.col("u.fpr"), F.lit(0.0)), F.coalesce(F.col("u.gap"), F.lit(-1.0))
-    return met.select(*(above[s] for s in slices), (x0 + (F.col("v.fpr") - x0) * (-g0) / (F.col("v.gap") - g0)).alias("eer"))
+    return _by(table.where((F.col("p") > 0) & (F.col("n") > 0)), slices).agg(_eer())
 
 
 def calibration(rows: DataFrame, slices: list[str], label: str = "label", score: str = "score", bins: int = 10) -> DataFrame:
@@ -117,12 +140,26 @@ def against_reals(rows: DataFrame, method: str, domain: str, label: str = "label
     return fakes.withColumn("slice_method", F.col(method)).unionByName(reals.select(*rows.columns, "slice_method"))
 
 
+def areas_by_method(rows: DataFrame, slices: list[str], method: str, label: str = "label", score: str = "score", weight: Column | None = None) -> DataFrame:
+    """(slices, slice_method, auroc): each method's fakes against all reals of their slice, half credit
+    for ties; null without reals.
+
+    The reals are summed once, not repeated for each method: the running sums hold them, and a score's
+    fakes are a short list by method beside it.
+    """
+    w = (weight if weight is not None else F.lit(1)).cast("double")
+    each = rows.groupBy(*slices, F.col(method).alias("slice_method"), F.col(score).cast("double").alias("score"), F.col(label).alias("label")).agg(F.sum(w).alias("w"))
+    at = each.groupBy(*slices, "score").agg(
+        F.collect_list(F.when(F.col("label") == 1, F.struct("slice_method", "w"))).alias("fakes"), F.sum(F.when(F.col("label") == 0, F.col("w")).otherwise(0.0)).alias("w"))
+    table = threshold_table(at.withColumn("label", F.lit(0)), slices, weight=F.col("w"), keep="fakes")
+    won = table.select(*slices, "n", (F.col("n") - F.col("fp") + F.col("neg") / 2).alias("lower"), F.inline("fakes"))
+    return won.groupBy(*slices, "slice_method").agg(F.try_divide(F.sum(F.col("w") * F.col("lower")), F.sum("w") * F.max("n")).alias("auroc"))
+
+
 def metric_report(rows: DataFrame, slices: list[str], threshold: float, label: str = "label", score: str = "score", budget: float = 0.01) -> DataFrame:
     """All metrics of each slice in one row."""
-    table = threshold_table(rows, slices, label, score)
-    out = auroc(table, slices)
-    for more in (average_precision(table, slices), tpr_at_fpr(table, slices, budget), equal_error_rate(table, slices),
-                 calibration(rows, slices, label, score), at_threshold(rows, slices, threshold, label, score)):
+    out = curve_metrics(threshold_table(rows, slices, label, score), slices, budget)
+    for more in (calibration(rows, slices, label, score), at_threshold(rows, slices, threshold, label, score)):
         out = out.join(more, slices, "left")
     return out
 
@@ -131,7 +168,7 @@ def macro_by_method(rows: DataFrame, method: str, domain: str, label: str = "lab
     """(domain, method, auroc, average_precision, tpr_at_fpr, eer) and the unweighted mean as method ``macro``."""
     paired, slices = against_reals(rows, method, domain, label), [domain, "slice_method"]
     table = threshold_table(paired, slices, label, score)
-    each = auroc(table, slices).join(average_precision(table, slices), slices).join(tpr_at_fpr(table, slices, budget), slices).join(equal_error_rate(table, slices), slices)
+    each = curve_metrics(table, slices, budget)
     names = ["auroc", "average_precision", "tpr_at_fpr", "eer"]
     mean = each.groupBy(domain).agg(*(F.avg(c).alias(c) for c in names)).select(domain, F.lit("macro").alias("slice_method"), *names)
     return each.select(domain, "slice_method", *names).unionByName(mean)

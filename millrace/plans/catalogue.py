@@ -527,12 +527,13 @@ def q_align_blend(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {PAIRED},
-  grid AS (SELECT i / 10.0::DOUBLE AS weight, domain, slice_method, label, 1 / (1 + exp(-(i / 10.0::DOUBLE * logit_a + (1 - i / 10.0::DOUBLE) * logit_b))) AS score FROM paired, range(11) t(i)){curve('grid', 'weight, domain, slice_method')},
-  areas AS (SELECT weight, {AUROC} AS a FROM curve GROUP BY weight, domain, slice_method),
-  macro AS (SELECT weight, avg(a) AS auroc FROM areas GROUP BY ALL)
-SELECT weight, round(auroc, 6) AS auroc, row_number() OVER (ORDER BY round(auroc, 12) DESC, abs(weight - 0.5), weight) = 1 AS chosen FROM macro""")
+  grid AS (SELECT i / 20.0::DOUBLE AS weight, domain, slice_method, label, 1 / (1 + exp(-(i / 20.0::DOUBLE * logit_a + (1 - i / 20.0::DOUBLE) * logit_b))) AS score FROM paired, range(21) t(i)){curve('grid', 'weight, domain, slice_method')},
+  areas AS (SELECT domain, weight, {AUROC} AS a FROM curve GROUP BY weight, domain, slice_method),
+  macro AS (SELECT domain, weight, avg(a) AS auroc FROM areas GROUP BY ALL),
+  best AS (SELECT weight FROM macro WHERE domain = 'ff' ORDER BY round(auroc, 12) DESC, abs(weight - 0.5), weight LIMIT 1)
+SELECT domain, weight, round(auroc, 6) AS auroc, weight = (SELECT weight FROM best) AS chosen FROM macro""")
 def q_weight_grid(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(fusion.weight_grid(frames(spark, d), "logit_a", "logit_b", "method", "domain", 10), "auroc")
+    return rounded(fusion.weight_grid(frames(spark, d), "logit_a", "logit_b", "method", "domain", "ff"), "auroc")
 
 
 @query(f"""WITH {FRAMES}, r AS (SELECT (score >= 0.5) = (label = 1) AS a, (score_b >= 0.5) = (label = 1) AS b FROM frames)
@@ -574,8 +575,8 @@ BOOTSTRAP = f"""{VIDEOS},
   both_ways AS (SELECT a, b FROM tokens UNION SELECT b, a FROM tokens),
   reach AS (SELECT b AS node, b AS label FROM both_ways UNION SELECT e.b, r.label FROM reach r JOIN both_ways e ON r.node = e.a),
   roots AS (SELECT node, min(label) AS root FROM reach GROUP BY ALL),
-  slots AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS slot, count(*) OVER () AS size FROM (SELECT DISTINCT root FROM roots)),
-  picks AS (SELECT i AS replicate, ('0x' || substr(sha256('boot-v1' || chr(0) || i || chr(0) || slot), 1, 12))::BIGINT % size AS slot FROM slots, range(40) t(i)),
+  slots AS (SELECT root, row_number() OVER (ORDER BY substr(sha256(root), 1, 2), root) - 1 AS slot, count(*) OVER () AS size FROM (SELECT DISTINCT root FROM roots)),
+  picks AS (SELECT i AS replicate, ('0x' || substr(sha256('boot-v1' || chr(0) || i || chr(0) || slot), 1, 12))::BIGINT % size AS slot FROM slots, range(2000) t(i)),
   draws AS (SELECT replicate, root, count(*) AS times FROM picks JOIN slots USING (slot) GROUP BY ALL),
   draws0 AS (SELECT * FROM draws UNION ALL SELECT -1, root, 1 FROM slots),
   vm AS (SELECT DISTINCT domain, method AS slice_method FROM videos WHERE label = 1),
@@ -594,7 +595,7 @@ SELECT domain, round(diff, 6) AS diff, round(d[floor(0.025 * (valid - 1))::INT +
   diff >= 0.05 AND d[floor(0.025 * (valid - 1))::INT + 1] > 0 AS clear FROM macros JOIN ends USING (domain) WHERE replicate = -1""")
 def q_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     rows = videos(spark, d).withColumn("row_key", F.concat_ws("/", "method", F.col("video").cast("string")))
-    return rounded(fusion.bootstrap_difference(rows, "base", "candidate", "method", "domain", "lineage", 40, "boot-v1"), "diff", "low", "high")
+    return rounded(fusion.bootstrap_difference(rows, "base", "candidate", "method", "domain", "lineage", 2000, "boot-v1"), "diff", "low", "high")
 
 
 @query(f"""WITH {FRAMES}, x AS (SELECT k % 3 AS seed, domain, avg(score) FILTER (label = 1) - avg(score) FILTER (label = 0) AS diff FROM frames GROUP BY ALL),
@@ -609,17 +610,17 @@ def q_verdict(spark: SparkSession, d: str) -> DataFrame:
 # content
 
 @query("""WITH h AS (SELECT vec_id, array_to_string(list_transform(range(1, len(embedding)), lambda i: CASE WHEN embedding[i] > embedding[i + 1] THEN '1' ELSE '0' END), '') AS bits FROM embeddings)
-SELECT substr(bits, 1, 10) AS prefix, count(*) AS n FROM h GROUP BY ALL HAVING count(*) > 1""")
+SELECT bits, count(*) AS n, min(vec_id) AS first_id FROM h GROUP BY ALL""")
 def q_signhash_collisions(spark: SparkSession, d: str) -> DataFrame:
-    bits = s.sign_hash(F.col("embedding"))
-    return table(spark, d, "embeddings").groupBy(F.substring(bits, 1, 10).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bits = s.sign_hash(F.col("embedding")).alias("bits")
+    return table(spark, d, "embeddings").groupBy(bits).agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"))
 
 
-@query("""WITH r AS (SELECT sha256(doc_id || chr(0) || coalesce(lang, chr(1)) || chr(0) || coalesce(source, chr(1))) AS h FROM documents),
+@query("""WITH r AS (SELECT sha256(doc_id || chr(0) || coalesce(lang, chr(1)) || chr(0) || coalesce(n_chars::VARCHAR, chr(1)) || chr(0) || coalesce(source, chr(1)) || chr(0) || coalesce(text, chr(1))) AS h FROM documents),
   s AS (SELECT count(*) AS n, sum(('0x' || substr(h, 1, 15))::HUGEINT) AS a, sum(('0x' || substr(h, 16, 15))::HUGEINT) AS b FROM r)
 SELECT n, sha256(n || ':' || coalesce(a, 0)::HUGEINT || ':' || coalesce(b, 0)::HUGEINT) AS digest FROM s""")
 def q_content_id(spark: SparkSession, d: str) -> DataFrame:
-    return content_digest(table(spark, d, "documents").select("doc_id", "lang", "source"))
+    return content_digest(table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 @query(f"""WITH {FRAMES}, seeds AS (SELECT domain, method, k % 3 AS seed, avg(score) AS v FROM frames GROUP BY ALL)
@@ -629,7 +630,10 @@ def q_markdown_report(spark: SparkSession, d: str) -> DataFrame:
     return reporting.markdown_rows(metrics.spread(seeds, ["domain", "method"], "v"), ["domain", "method"], "mean", "sd", "low", "high")
 
 
-@query("""WITH c AS (SELECT * FROM (VALUES ('jpeg', 4), ('resize', 3), ('blur', 3), ('noise', 3), ('crop', 3), ('h264', 3)) t(name, k))
-SELECT name, k * (SELECT count(*) FROM part) AS n FROM c""")
+@query("""WITH c AS (SELECT * FROM (VALUES ('jpeg', 90.0), ('jpeg', 70.0), ('jpeg', 50.0), ('jpeg', 30.0), ('resize', 0.75), ('resize', 0.5), ('resize', 0.25),
+    ('blur', 0.5), ('blur', 1.0), ('blur', 2.0), ('noise', 2.0), ('noise', 5.0), ('noise', 10.0), ('crop', 0.9), ('crop', 0.8), ('crop', 0.7), ('h264', 23.0), ('h264', 30.0), ('h264', 38.0)) t(name, level)),
+  h AS (SELECT p_partkey, name, level::DOUBLE AS level, sha256(p_partkey || chr(0) || name || chr(0) || printf('%g', level::DOUBLE)) AS h FROM part, c)
+SELECT p_partkey, name, level, ('0x' || substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::UBIGINT::VARCHAR AS noise_seed FROM h""")
 def q_corruption_plan(spark: SparkSession, d: str) -> DataFrame:
-    return media.corruption_plan(table(spark, d, "part"), "p_partkey", "noise-v1").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    plan = media.corruption_plan(table(spark, d, "part"), "p_partkey")
+    return plan.select("p_partkey", "name", "level", F.col("noise_seed").cast("string").alias("noise_seed"))

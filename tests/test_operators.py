@@ -1,10 +1,13 @@
 """Operators on hand-made cases, against plain Python, and on odd input."""
 
+import hashlib
 import json
+import math
 import zipfile
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,6 +296,55 @@ def test_bootstrap_of_equal_models_is_zero(spark):
     assert (r.diff, r.low, r.high, r.clear) == (0.0, 0.0, 0.0, False) and r.valid > 0
 
 
+def test_bootstrap_against_brute_force(spark):
+    """Every replicate by hand: draws by the same hashes, areas by comparing all pairs of a method."""
+    rng, names, repeats = np.random.default_rng(6), ["real", "a", "b"], 60
+    rows = []
+    for i in range(140):
+        m = names[int(rng.integers(3))]
+        rows.append((f"r{i}", "ff" if i % 3 else "cdf", m, int(m != "real"), [f"s{int(rng.integers(25))}"], float(rng.integers(0, 12)) / 12, float(rng.integers(0, 12)) / 12))
+    df = spark.createDataFrame(rows, "row_key string, domain string, method string, label int, lineage array<string>, base double, candidate double")
+    roots = sorted({r[4][0] for r in rows}, key=lambda x: (hashlib.sha256(x.encode()).hexdigest()[:2], x))
+    sha = lambda *x: hashlib.sha256("\0".join(map(str, x)).encode()).hexdigest()
+
+    def macro(weight, domain, side):
+        out = []
+        for m in ("a", "b"):
+            pairs = [(weight[p[4][0]] * weight[n[4][0]], p[side], n[side]) for p in rows if p[1] == domain and p[2] == m for n in rows if n[1] == domain and n[3] == 0]
+            total = sum(w for w, *_ in pairs)
+            if not total:
+                return None
+            out.append(sum(w * ((a > b) + (a == b) / 2) for w, a, b in pairs) / total)
+        return sum(out) / 2
+
+    for domain in ("ff", "cdf"):
+        diffs = []
+        for i in range(repeats):
+            picks = Counter(roots[int(sha("s", i, slot)[:12], 16) % len(roots)] for slot in range(len(roots)))
+            a, b = (macro(picks, domain, side) for side in (5, 6))
+            if a is not None and b is not None:
+                diffs.append(b - a)
+        diffs.sort()
+        one = Counter({r: 1 for r in roots})
+        got = fusion.bootstrap_difference(df, "base", "candidate", "method", "domain", "lineage", repeats, "s").where(F.col("domain") == domain).first()
+        want = (macro(one, domain, 6) - macro(one, domain, 5), diffs[math.floor(0.025 * (len(diffs) - 1))], diffs[math.ceil(0.975 * (len(diffs) - 1))])
+        assert got.valid == len(diffs) and np.allclose((got.diff, got.low, got.high), want, atol=1e-12)
+
+
+def test_won_pairs_over_batches(monkeypatch):
+    rng = np.random.default_rng(7)
+    n, repeats = 60, 4
+    score, label, k = np.sort(rng.integers(0, 9, n) / 9.0), rng.integers(0, 2, n), rng.integers(1, 3, n).astype(float)
+    method = [None if y == 0 else "ab"[int(rng.integers(2))] for y in label]
+    times = rng.integers(0, 3, (n, repeats + 1)).astype(np.uint8)
+    batch = pa.RecordBatch.from_pydict({"domain": ["d"] * n, "model": ["m"] * n, "score": score, "method": method, "label": label, "k": k, "times": [x.tobytes() for x in times]})
+    want = {m: sum(np.outer(k[i] * k[j] * ((score[i] > score[j]) + (score[i] == score[j]) / 2), times[i].astype(float) * times[j])[0] for i in range(n) if method[i] == m for j in range(n) if label[j] == 0) for m in "ab"}
+    for size in (1, 7, 500):
+        monkeypatch.setattr(fusion, "TOGETHER", size)
+        got = {r["slice_method"]: np.frombuffer(r["won"]) for out in fusion._won_pairs(repeats)(iter([batch])) for r in out.to_pylist()}
+        assert all(np.allclose(got[m], want[m]) for m in "ab")
+
+
 def test_bootstrap_needs_half_of_its_replicates(spark):
     rows = [(f"{m}{g}", "ff", m, int(m != "real"), [f"{m}{g}"], 0.5, 0.5) for m, g in [("real", 0), *((f"m{i}", 0) for i in range(5))]]
     df = spark.createDataFrame(rows, "row_key string, domain string, method string, label int, lineage array<string>, base double, candidate double")
@@ -328,8 +380,18 @@ def test_scoring_hook_and_corruptions(spark):
 
     out = {r.sample_id: r for r in media.score_rows(df, ["x"], load).collect()}
     assert abs(out["a"].score - 1 / (1 + np.exp(-1))) < 1e-12 and out["b"].embedding == [-1.0, 0.0]
-    plan = media.corruption_plan(df, "sample_id", "s")
-    assert plan.count() == 2 * 19 and plan.select("noise_seed").distinct().count() == 38
+    plan = media.corruption_plan(df, "sample_id")
+    assert plan.count() == 2 * 19
+    for r in plan.collect():
+        assert int(r.noise_seed) == int.from_bytes(hashlib.sha256(f"{r.sample_id}\0{r.name}\0{r.level:g}".encode()).digest()[:8], "little")
+    assert {(r.name, r.level) for r in plan.collect()} >= {("blur", 0.5), ("blur", 1.0), ("blur", 2.0), ("noise", 2.0), ("noise", 5.0), ("noise", 10.0)}
+
+
+def test_media_kinds(spark):
+    kinds = lambda *names: [r[0] for r in spark.createDataFrame([(n,) for n in names], "p string").select(s.media_kind(F.col("p"))).collect()]
+    assert kinds("a/b.TIF", "c.tiff", "d.jpg", "e.m4v", "f.MP4") == ["image"] * 3 + ["video"] * 2
+    with pytest.raises(Exception, match="unsupported media type: b.txt"):
+        kinds("a/b.txt")
 
 
 def test_markdown(spark):
