@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions.scalars import digest, sigmoid
 from millrace.operators.constraints import require_none
 from millrace.operators.graph import token_components
-from millrace.operators.metrics import areas_by_method
+from millrace.operators.metrics import areas_by_method, calibration, curve_metrics, robust_logits, threshold_table
 
 
 def align(left: DataFrame, right: DataFrame, key: str, identity: list[str], values: list[str]) -> DataFrame:
@@ -50,6 +50,54 @@ def weight_grid(rows: DataFrame, left: str, right: str, method: str, domain: str
     return macro.crossJoin(F.broadcast(best)).select("domain", "weight", "auroc", (F.col("weight") == F.col("best")).alias("chosen"))  # one row
 
 
+#: The ways to sum up a video's logits in order of preference, and what counts as equal.
+AGGREGATIONS = ("mean_probability", "mean", "median", "trimmed", "top_quarter")
+TIE_MARGIN = 0.002
+
+
+def select_aggregation(frames: DataFrame, logit: str, video: str, method: str, domain: str, select_on: str, label: str = "label") -> DataFrame:
+    """(aggregation, auroc, chosen): the macro area of the videos of one domain for each way to sum up
+    their logits; chosen is the first in order of preference that is within the margin of the best."""
+    keys = [F.col(video).alias("video"), F.col(method).alias("method"), F.col(label).alias("label")]
+    videos = robust_logits(frames.where(F.col(domain) == select_on).select(*keys, logit), ["video", "method", "label"], logit)
+    each = videos.select("method", "label", F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(a).alias("aggregation"), F.col(a).alias("score")) for i, a in enumerate(AGGREGATIONS)))).alias("x"))
+    areas = areas_by_method(each.select("method", "label", "x.*"), ["place", "aggregation"], "method")
+    macro = areas.groupBy("place", "aggregation").agg(F.avg("auroc").alias("auroc"))
+    best = F.max("auroc").over(Window.partitionBy())  # one row for each way
+    first = F.min(F.when(F.col("auroc") >= F.col("best") - TIE_MARGIN, F.col("place"))).over(Window.partitionBy())
+    return macro.withColumn("best", best).withColumn("first", first).select("aggregation", "auroc", (F.col("place") == F.col("first")).alias("chosen"))
+
+
+def abstaining_as(decided: DataFrame, value: float | None, probability: str = "probability") -> DataFrame:
+    """The decisions with ``value`` for an abstention's probability; without a value they are left out."""
+    return decided.where(F.col(probability).isNotNull()) if value is None else decided.withColumn(probability, F.coalesce(probability, F.lit(value)))
+
+
+def identity_disjoint(videos: DataFrame, identities: str, held: DataFrame) -> DataFrame:
+    """The videos none of whose identities is in ``held`` (identity)."""
+    met = videos.select("video", F.explode(identities).alias("identity")).join(held.select("identity").distinct(), "identity", "left_semi").select("video").distinct()
+    return videos.join(met, "video", "left_anti")
+
+
+def external_report(decided: DataFrame, held: DataFrame, bundle: str = "bundle", budget: float = 0.01) -> DataFrame:
+    """(bundle, variant, population, videos, auroc, average_precision, tpr_at_fpr, brier, ece) of decisions
+    (bundle, video, label, probability, identities) on an external set.
+
+    Each bundle is reported without its abstentions and with these as a half, on all videos and on those
+    that share no identity with development (``held``).
+    """
+    parts = None
+    for variant, value in (("excluding_abstentions", None), ("abstain_as_0.5", 0.5)):
+        scored = abstaining_as(decided, value)
+        for population, rows in (("all", scored), ("identity_disjoint", identity_disjoint(scored, "identities", held))):
+            one = rows.select(F.col(bundle).alias("bundle"), F.lit(variant).alias("variant"), F.lit(population).alias("population"), "label", F.col("probability").alias("score"))
+            parts = one if parts is None else parts.unionByName(one)
+    slices = ["bundle", "variant", "population"]
+    counts = parts.groupBy(*slices).agg(F.count(F.lit(1)).alias("videos"))
+    curve = curve_metrics(threshold_table(parts, slices), slices, budget).drop("eer")
+    return counts.join(curve, slices).join(calibration(parts, slices), slices)
+
+
 def complementarity(rows: DataFrame, left: str, right: str, label: str = "label", at: float = 0.5) -> DataFrame:
     """One row: rows right on the left only, on the right only, on both, on neither."""
     a, b = ((F.col(c) >= at) == (F.col(label) == 1) for c in (left, right))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import text_of
+from millrace.functions.scalars import identity_tokens, text_of
+from millrace.operators.constraints import require_columns
 
 
 def row_links(rows: DataFrame, keep: list[str], kinds: dict[str, Column]) -> DataFrame:
@@ -80,3 +81,94 @@ def path_status(rows: DataFrame, key: str, stem: str, index: DataFrame) -> DataF
     n = F.coalesce("n", F.lit(0))
     status = F.when(F.col("stem") == "", "missing_path_value").when(n == 0, "missing_file").when(n > 1, "ambiguous_path").otherwise("ok")
     return met.select(key, status.alias("status"))
+
+
+#: The columns that an audit of a protocol needs.
+AUDITED = ("sample_id", "split", "label", "fake_method", "video_id", "source_domain", "lineage_video_ids", "identity_id", "target_identity_id", "pixel_sha256", "dhash64", "status")
+
+
+def protocol_links(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, kind, key): the video, parent, identity, pixel and dhash keys of manifest rows, which must
+    not cross splits.
+
+    Identities are those of both roles and the tokens in names; ``ff`` and ``celeba`` rows without any
+    have their parents instead.
+    """
+    domain = F.col("source_domain")
+    listed = lambda c: F.filter(F.transform(F.split(text_of(c), r"\|"), lambda t: F.trim(t)), lambda t: t != "")
+    parents = F.filter(F.split(text_of("lineage_video_ids"), r"\|"), lambda t: t != "")
+    named = F.array_distinct(F.concat(listed("identity_id"), listed("target_identity_id"), identity_tokens(text_of("video_id")), identity_tokens(text_of("target_identity_id"))))
+    identities = F.when((F.size(named) == 0) & domain.isin("ff", "celeba"), parents).otherwise(named)
+    under = lambda keys: F.transform(keys, lambda t: F.concat(domain, F.lit(":"), t))
+    return row_links(rows, keep, {
+        "video": F.array(F.concat(domain, F.lit(":"), "video_id")), "parent": parents, "identity": under(identities),
+        "pixel": F.array(text_of("pixel_sha256")), "dhash": F.array(text_of("dhash64"))})
+
+
+def _cell() -> Column:
+    return F.when(F.col("label") == "FAKE", F.col("fake_method")).otherwise("real")
+
+
+def _lacking(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(section, key, n): how many usable rows have no parent and no identity."""
+    has = links.where(F.col("kind").isin("parent", "identity")).select("sample_id", "kind").distinct()
+    every = rows.select("sample_id", F.explode(F.array(F.lit("parent"), F.lit("identity"))).alias("kind"))
+    missing = every.join(has, ["sample_id", "kind"], "left_anti").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return missing.select(F.lit("missing").alias("section"), F.col("kind").alias("key"), "n")
+
+
+def _verdict(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("failure", F.col("section") != "count").select("section", "key", F.col("n").cast("long").alias("n"), "failure")
+
+
+def unseen_audit(rows: DataFrame, methods: dict[str, list[str]]) -> DataFrame:
+    """(section, key, n, failure) of a manifest under an unseen-method protocol; it passes if no row is a
+    failure.
+
+    ``count`` has the rows by split and method; ``invalid`` those of unknown split or not decoded;
+    ``forbidden`` the fakes of a method that isn't its split's; ``absent`` the cells that the protocol
+    wants and nobody fills; ``overlap`` the keys by kind that lie in several splits; ``missing`` the rows
+    without parents or identities.
+    """
+    require_columns(rows, list(AUDITED))
+    spark = rows.sparkSession
+    good = F.col("split").isin(*methods) & (F.col("status") == "ok")
+    usable = rows.where(good)
+    bad = rows.where(~F.coalesce(good, F.lit(False))).agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit("invalid").alias("section"), F.lit("").alias("key"), "n")
+    cells = usable.groupBy("split", _cell().alias("method"), "label").agg(F.count(F.lit(1)).alias("n"))
+    counts = cells.groupBy("split", "method").agg(F.sum("n").alias("n"))
+    wanted = spark.createDataFrame([(s, m) for s, ms in methods.items() for m in [*ms, "real"]], "split string, method string")
+    name = F.concat_ws("/", "split", "method").alias("key")
+    stray = cells.where(F.col("label") == "FAKE").join(wanted, ["split", "method"], "left_anti").select(F.lit("forbidden").alias("section"), name, "n")
+    absent = wanted.join(counts, ["split", "method"], "left_anti").select(F.lit("absent").alias("section"), name, F.lit(0).cast("long").alias("n"))
+    links = protocol_links(usable, ["sample_id", "split"])
+    across = cross_split_links(links).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit("overlap").alias("section"), F.col("kind").alias("key"), "n")
+    return _verdict([counts.select(F.lit("count").alias("section"), name, "n"), bad, stray, absent, across, _lacking(usable, links)])
+
+
+def heldout_audit(rows: DataFrame, reference: DataFrame, targets: dict[tuple[str, str], int]) -> DataFrame:
+    """(section, key, n, failure) of an evaluation-only manifest against a frozen one.
+
+    ``count`` has the videos by domain and method; ``invalid`` the rows outside the test split or not
+    decoded; ``unexpected`` the cells that aren't wanted; ``short`` those with fewer videos than their
+    target, with their number; ``overlap`` the keys by kind that the frozen train or validation rows have
+    too; ``missing`` the rows without parents or identities.
+    """
+    require_columns(rows, list(AUDITED))
+    good = (F.col("split") == "test") & (F.col("status") == "ok")
+    usable = rows.where(good)
+    bad = rows.where(~F.coalesce(good, F.lit(False))).agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit("invalid").alias("section"), F.lit("").alias("key"), "n")
+    videos = usable.select("source_domain", _cell().alias("method"), "video_id").distinct().groupBy("source_domain", "method").agg(F.count(F.lit(1)).alias("n"))
+    wanted = rows.sparkSession.createDataFrame([(d, m, n) for (d, m), n in targets.items()], "source_domain string, method string, target long")
+    name = F.concat_ws("/", "source_domain", "method").alias("key")
+    stray = videos.join(wanted, ["source_domain", "method"], "left_anti").select(F.lit("unexpected").alias("section"), name, "n")
+    found = wanted.join(videos, ["source_domain", "method"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    short = found.where("n < target").select(F.lit("short").alias("section"), name, "n")
+    links = protocol_links(usable, ["sample_id"])
+    frozen = protocol_links(reference.where(F.col("split").isin("train", "validation")), ["sample_id"]).select("kind", "key").distinct()
+    shared = links.select("kind", "key").distinct().join(frozen, ["kind", "key"], "left_semi").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    overlap = shared.select(F.lit("overlap").alias("section"), F.col("kind").alias("key"), "n")
+    return _verdict([videos.select(F.lit("count").alias("section"), name, "n"), bad, stray, short, overlap, _lacking(usable, links)])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import digest, even_positions, uniform
+from millrace.operators.constraints import ConstraintError, require_none
 from millrace.operators.graph import token_components
 
 
@@ -131,6 +132,18 @@ def prune_cross_split(rows: DataFrame, fingerprints: list[str], priority: dict[s
     return keyed.join(held, ["kind", "key"]).where(F.col("p") < F.col("best")).select(split, group).distinct()
 
 
+def pruned(rows: DataFrame, fingerprints: list[str], priority: dict[str, int], split: str = "split", group: str = "video") -> DataFrame:
+    """The rows without the groups that ``prune_cross_split`` names; what would be empty, or would still
+    have a fingerprint in several splits, is an error."""
+    kept = rows.join(prune_cross_split(rows, fingerprints, priority, split, group), [split, group], "left_anti").select(rows.columns)
+    if kept.isEmpty():
+        raise ConstraintError("pruning would empty the rows")
+    for f in fingerprints:
+        left = kept.where(F.coalesce(F.col(f).cast("string"), F.lit("")) != "").groupBy(f).agg(F.min(split).alias("a"), F.max(split).alias("b"))
+        require_none(left.where("a <> b"), f"{f} still in several splits", f)
+    return kept
+
+
 def entity_partition(rows: DataFrame, video: str, entities: str, seed: str, shares: list[tuple[str, float]]) -> DataFrame:
     """(video, root, split): videos that share an entity, directly or over others, get one split.
 

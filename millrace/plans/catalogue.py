@@ -637,3 +637,4 @@ SELECT p_partkey, name, level, ('0x' || substr(h, 15, 2) || substr(h, 13, 2) ||
 def q_corruption_plan(spark: SparkSession, d: str) -> DataFrame:
     plan = media.corruption_plan(table(spark, d, "part"), "p_partkey")
     return plan.select("p_partkey", "name", "level", F.col("noise_seed").cast("string").alias("noise_seed"))
+

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.scalars import file_name, file_stem, file_suffix, unsafe_path
-from millrace.operators.constraints import ConstraintError
+from millrace.operators.constraints import ConstraintError, require_none
 
 PREDICTION = T.StructType([
     *(T.StructField(n, T.StringType()) for n in ("sample_id", "split", "video_id", "source_domain", "fake_method", "lineage_video_ids")),
@@ -61,23 +61,28 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return readers[suffix](spark, path)
 
 
-def read_catalog(spark: SparkSession, path: str, depth: int = 6) -> DataFrame:
-    """Nested JSON objects down to those with ``frames``: source, keys (the path of names), record.
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Nested JSON objects down to those with ``frames``, however deep: source, source_rank, keys (the path
+    of names), record. Anything on the way that isn't an object is an error.
 
-    ``record`` is a variant. Each level is one lateral explode; files are read in the order of their
-    lower-case names, which ``source_rank`` numbers.
+    ``record`` is a variant. Each level is one lateral explode, until none is left; files are read in the
+    order of their lower-case names, which ``source_rank`` numbers.
     """
     files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("source"), F.parse_json("value").alias("node"))
-    order = files.select("source").distinct().withColumn("source_rank", F.row_number().over(Window.orderBy(F.lower(file_name(F.col("source"))), "source")))
-    level = files.select("source", F.array().cast("array<string>").alias("keys"), "node")
-    out = None
-    for _ in range(depth):
+    names = files.select("source").distinct()
+    order = names.withColumn("source_rank", F.row_number().over(Window.orderBy(F.lower(file_name(F.col("source"))), "source")))  # one row for each file
+    level, out = files.select("source", F.array().cast("array<string>").alias("keys"), "node"), None
+    while True:
+        kind = F.expr("schema_of_variant(node)")
+        bad = level.where(~kind.startswith("OBJECT")).select("source", F.when(F.size("keys") == 0, "<root>").otherwise(F.array_join("keys", "/")).alias("place"))
+        require_none(bad, "expected an object", "source", "place")
         leaf = F.expr("try_variant_get(node, '$.frames', 'variant')").isNotNull()
         found = level.where(leaf).select("source", "keys", F.col("node").alias("record"))
         out = found if out is None else out.unionByName(found)
         level.where(~leaf).createOrReplaceTempView("millrace_catalog_level")
         level = spark.sql("SELECT source, array_append(keys, t.key) AS keys, t.value AS node FROM millrace_catalog_level, LATERAL variant_explode(node) t WHERE t.key IS NOT NULL")
-    return out.join(order, "source")
+        if level.isEmpty():
+            return out.join(order, "source")
 
 
 def read_zip_listing(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".png", ".jpg", ".jpeg")) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace import cli
 from millrace.functions import scalars as s
-from millrace.operators import audit, constraints, fusion, gates, graph, media, metrics, reporting, sampling
+from millrace.operators import audit, catalog, constraints, fusion, gates, graph, media, metrics, reporting, sampling
 from millrace.sources import readers, writers
 from millrace.streaming import incremental
 
@@ -506,3 +506,114 @@ def test_registry():
 
     names = __spark_entry__.queries()
     assert len(names) >= 60 and set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+# catalogs, manifests, protocols
+
+def test_catalogs_of_any_depth(spark, tmp_path):
+    node = {"label": "fake", "frames": ["b.png", "a.png"]}
+    for i in range(12, 0, -1):
+        node = {f"k{i}": node}
+    (tmp_path / "deep_ff.json").write_text(json.dumps(node))
+    row = readers.read_catalog(spark, str(tmp_path / "deep_ff.json")).first()
+    assert row["keys"] == [f"k{i}" for i in range(1, 13)]
+    for bad, place in (([1, 2], "<root>"), ({"a": {"b": [1]}}, "a/b"), ({"a": 3}, "a"), ({"a": None}, "a")):
+        (tmp_path / "bad.json").write_text(json.dumps(bad))
+        with pytest.raises(constraints.ConstraintError, match=f"expected an object.*{place}"):
+            readers.read_catalog(spark, str(tmp_path / "bad.json"))
+
+
+def catalog_of(spark, tmp_path, files):
+    folder = tmp_path / f"c{len(list(tmp_path.iterdir()))}"
+    folder.mkdir()
+    for name, content in files.items():
+        (folder / name).write_text(json.dumps(content))
+    return readers.read_catalog(spark, str(folder / "*.json"))
+
+
+def test_normalize_merges_and_refuses(spark, tmp_path):
+    record = lambda frames, **more: {"frames": frames, **more}
+    files = {"SimSwap_ff.json": {"fake": {"train": {"c23": {"1_2": record(["x\\f_07.png", "x/g.png"])}}}, "real": {"val": {"v9": record(["r.png"])}}},
+             "wav2lip_ff.json": {"real": {"test": {"v9": record(["r.png"], source_video_id="7 | 8")}}}}
+    rows = {r.source_path: r for r in catalog.normalize_catalog(catalog_of(spark, tmp_path, files), "s").collect()}
+    one, two = rows["x/f_07.png"], rows["r.png"]
+    assert set(rows) == {"x/f_07.png", "x/g.png", "r.png"} and (one.label, one.fake_method, one.frame_index, one.compression) == ("FAKE", "simswap", "7", "c23")
+    assert one.lineage_video_ids == "ff:1|ff:2" and rows["x/g.png"].frame_index == "0"  # positions go by the official names
+    token = hashlib.sha256(b"x/f_07.png").hexdigest()[:12]
+    assert one.relative_path == f"images/ff/simswap/train/c23/1_2/{token}_f_07.png" and one.image_id == hashlib.sha256(one.relative_path.encode()).hexdigest()[:24]
+    assert two.official_splits == "test|validation" and two.source_json == "SimSwap_ff.json" and two.lineage_video_ids == "ff:v9"
+    for bad, why in (({"nope_ff.json": {"fake": {"train": {"v": record([])}}}}, "unsupported method"), ({"wav2lip.json": {"fake": {"train": {"v": record(["a"])}}}}, "unsupported catalog"),
+                     ({"wav2lip_ff.json": {"fake": {"train": {"test": {"v": record(["a"])}}}}}, "exactly one split"), ({"wav2lip_ff.json": {"x": {"train": {"v": record(["a"])}}}}, "label"),
+                     ({"wav2lip_ff.json": {"fake": {"train": {"..": record(["a"])}}}}, "unsafe video name"), ({"wav2lip_ff.json": {"fake": {"train": {"v": record(3)}}}}, "invalid frames"),
+                     ({"wav2lip_ff.json": {"fake": {"train": {"v": record(["a"])}, "test": {"w": record(["a"])}}}}, "conflicting")):
+        with pytest.raises(Exception, match=why):
+            catalog.normalize_catalog(catalog_of(spark, tmp_path, bad)).collect()
+
+
+def test_paths_and_manifest(spark):
+    files = spark.createDataFrame([("a/1.png",), ("a/2.png",), ("a/b/3.png",), ("c/x1.png",), ("c/x2.png",)], "path string")
+    asked = ["a/1.png", "a\\2.png", "./a/../a/1.png", "../a/1.png", "/a/1.png", "", "a/9.png", "c/x?.png", "a/b/*.png", "*/1.png", "a/[12].png", "a/[!1].png", "a/*/9.png"]
+    rows = spark.createDataFrame([(str(i), q) for i, q in enumerate(asked)], "id string, q string")
+    got = {int(r.id): (r.status, r.relative_path) for r in catalog.resolve_paths(rows, F.col("q"), files).collect()}
+    want = [("ok", "a/1.png"), ("ok", "a/2.png"), ("ok", "a/1.png"), ("outside_data_root", ""), ("outside_data_root", ""), ("missing_path_value", ""), ("missing_image", ""),
+            ("ambiguous_path", ""), ("ok", "a/b/3.png"), ("ok", "a/1.png"), ("ambiguous_path", ""), ("ok", "a/2.png"), ("missing_image", "")]
+    assert [got[i] for i in range(len(asked))] == want
+    table = spark.createDataFrame([(" 7 ", " REAL", "train ", "1"), ("", "FAKE", "test", "2"), (None, "FAKE", "test", "2")], "id string, label string, split string, n string")
+    made = catalog.project_manifest(table, files, "s", "v", "id", "label", "split", "a/{n}.png", ["n", "n"])
+    assert made.columns == [*catalog.MANIFEST, "n"]
+    out = made.orderBy("source_id").collect()
+    assert [(r.source_id, r.label, r.split, r.status, r.relative_path) for r in out] == [("", "FAKE", "test", "ok", "a/2.png")] * 2 + [("7", "REAL", "train", "ok", "a/1.png")]
+    assert out[2].sample_id == hashlib.sha256(b"s\0v\x007").hexdigest() and out[0].sample_id == out[1].sample_id != out[2].sample_id
+    for bad in (["label"], ["nope"]):
+        with pytest.raises(constraints.ConstraintError):
+            catalog.project_manifest(table, files, "s", "v", "id", "label", "split", "a/{n}.png", bad)
+    with pytest.raises(constraints.ConstraintError, match="missing column: zz"):
+        catalog.from_template("{zz}", ["a"])
+
+
+def test_subset_and_manifest_must_match(spark):
+    subset = spark.createDataFrame([("a", "train", "v1"), ("b", "test", "v2")], "image_id string, split string, video_id string")
+    made = lambda rows: spark.createDataFrame(rows, "source_id string, split string, video_id string, status string, px string")
+    good = [("a", "train", "v1", "ok", "p"), ("b", "test", "v2", "ok", "q")]
+    check = lambda rows: catalog.require_same_samples(subset, made(rows), ["px"], ["train", "test"])
+    assert rows_of(check(good), "image_id", "px") == [("a", "p"), ("b", "q")]
+    for bad, why in ((good[:1], "one side"), ([*good, ("c", "test", "v", "ok", "r")], "one side"), ([good[0], ("b", "test", "v2", "bad", "q")], "fingerprints"),
+                     ([good[0], ("b", "test", "v2", "ok", "")], "fingerprints"), ([good[0], ("b", "train", "v2", "ok", "q")], "differ"), ([*good, good[1]], "repeated")):
+        with pytest.raises(constraints.ConstraintError, match=why):
+            check(bad)
+
+
+def test_pruning_removes_groups_and_leaves_nothing(spark):
+    rows = spark.createDataFrame([("1", "train", "v1", "h1"), ("2", "train", "v1", "h2"), ("3", "test", "v2", "h1"), ("4", "train", "v3", "h3")], "id string, split string, video string, px string")
+    order = {"test": 3, "validation": 2, "train": 1}
+    assert rows_of(sampling.pruned(rows, ["px"], order), "id") == [("3",), ("4",)]
+    both = spark.createDataFrame([("1", "train", "v1", "a", "x"), ("2", "test", "v2", "a", "y"), ("3", "test", "v2", "b", "z"), ("4", "validation", "v4", "c", "z")], "id string, split string, video string, px string, dh string")
+    assert rows_of(sampling.pruned(both, ["px", "dh"], order), "id") == [("2",), ("3",)]
+
+
+def test_audits_pass_and_fail(spark):
+    columns = ", ".join(f"{c} string" for c in gates.AUDITED)
+    row = lambda i, split, label, method, domain="ff", **more: tuple({**dict(zip(gates.AUDITED, (f"s{i}", split, label, method, f"v{i}", domain, f"{domain}:v{i}", "", "", f"p{i}", f"d{i}", "ok"))), **more}.values())
+    clean = [row(1, "train", "FAKE", "a"), row(2, "train", "REAL", ""), row(3, "test", "FAKE", "b"), row(4, "test", "REAL", "")]
+    audit_of = lambda rows: {(r.section, r.key): r.n for r in gates.unseen_audit(spark.createDataFrame(rows, columns), {"train": ["a"], "test": ["b"]}).where("failure").collect()}
+    assert audit_of(clean) == {}
+    bad = [*clean, row(5, "test", "FAKE", "a"), row(6, "x", "REAL", ""), row(7, "test", "REAL", "", pixel_sha256="p1"), row(8, "test", "REAL", "", domain="cdf", lineage_video_ids=""), row(9, "test", "REAL", "", target_identity_id="id3"), row(10, "train", "REAL", "", video_id="id3_a")]
+    assert audit_of(bad) == {("forbidden", "test/a"): 1, ("invalid", ""): 1, ("overlap", "pixel"): 1, ("overlap", "identity"): 1, ("missing", "parent"): 1, ("missing", "identity"): 1}
+    assert audit_of(clean[:2]) == {("absent", "test/b"): 0, ("absent", "test/real"): 0}
+    held = lambda rows, targets: {(r.section, r.key): r.n for r in gates.heldout_audit(spark.createDataFrame(rows, columns), spark.createDataFrame(clean, columns), targets).where("failure").collect()}
+    fresh = [row(11, "test", "FAKE", "b"), row(12, "test", "REAL", "")]
+    assert held(fresh, {("ff", "b"): 1, ("ff", "real"): 1}) == {}
+    assert held([*fresh, row(1, "test", "FAKE", "c")], {("ff", "b"): 2, ("ff", "real"): 1}) == {
+        ("unexpected", "ff/c"): 1, ("short", "ff/b"): 1, ("overlap", "video"): 1, ("overlap", "parent"): 1, ("overlap", "identity"): 1, ("overlap", "pixel"): 1, ("overlap", "dhash"): 1}
+
+
+def test_external_report_and_abstentions(spark):
+    rows = spark.createDataFrame([("m", "v1", 1, 0.9, ["x"]), ("m", "v2", 0, 0.2, ["y"]), ("m", "v3", 1, None, ["z"]), ("m", "v4", 0, 0.6, [])], "bundle string, video string, label int, probability double, identities array<string>")
+    got = {(r.variant, r.population): (r.videos, r.auroc) for r in fusion.external_report(rows, spark.createDataFrame([("y",)], "identity string")).collect()}
+    assert got == {("excluding_abstentions", "all"): (3, 1.0), ("excluding_abstentions", "identity_disjoint"): (2, 1.0), ("abstain_as_0.5", "all"): (4, 0.75), ("abstain_as_0.5", "identity_disjoint"): (3, 0.5)}
+
+
+def test_aggregation_prefers_the_first_within_the_margin(spark):
+    rows = [(f"v{i}{m}", m, int(m != "real"), "ff", float(i + (3 if m != "real" else 0))) for i in range(6) for m in ("real", "a") for _ in range(3)]
+    out = fusion.select_aggregation(spark.createDataFrame(rows, "video string, method string, label int, domain string, x double"), "x", "video", "method", "domain", "ff")
+    assert [r.aggregation for r in out.where("chosen").collect()] == ["mean_probability"] and out.count() == 5
