@@ -26,6 +26,8 @@ from millrace.llm.words import SHINGLE, WordHashes, jaccard, mix, shingle_hashes
 SIMILARITY = 0.8
 #: Members of a bucket in a block.
 BLOCK = 192
+#: Blocks of a bucket in a group; a task compares the blocks of two groups.
+BESIDE = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
@@ -188,8 +190,9 @@ def _across(rows: DataFrame, signed: DataFrame, texts: DataFrame, similarity: fl
     A class of more than ``BLOCK`` members in a bucket is a team of its own, the smaller ones are one
     team together; teams are dealt into blocks of about ``BLOCK``. Blocks of different teams meet, and
     those of the small classes meet each other. A large class never meets itself, so that the blocks
-    of a bucket that one class fills are as many as its members, not their square. Pairs of blocks are
-    listed by their names first and dealt by these, so that no task gets a bucket's pairs together.
+    of a bucket that one class fills are as many as its members, not their square. A bucket's
+    blocks are dealt into groups of about ``BESIDE``, and each pair of groups is a task's: no task gets a
+    bucket's pairs together, and a block is sent once for each group.
     Shingles are compared by 32 bits of their hashes, and what comes near the similarity is handed on to
     be verified.
     """
@@ -212,13 +215,15 @@ def _across(rows: DataFrame, signed: DataFrame, texts: DataFrame, similarity: fl
     blocks = cut(full.select(
         "band", "pos", "team", block.alias("block"), F.struct("node", "label", "sig", "keys", "shingles").alias("member")).groupBy(
         "band", "pos", "team", "block").agg(F.collect_list("member").alias("members")))
-    name = F.struct("band", "team", "block")
-    names = blocks.select("band", "pos", "team", "block", name.alias("one"))
-    beside = names.select("band", F.col("team").alias("team_b"), F.col("block").alias("block_b"), F.col("one").alias("two"))
-    meets = names.join(beside, "band").where(
-        "team < team_b OR team = '' AND team_b = '' AND block < block_b").select("pos", "one", "two")
-    cross = meets.join(blocks.select(name.alias("one"), "members"), "one").join(
-        blocks.select(name.alias("two"), F.col("members").alias("others")), "two").select("pos", "members", "others")
+    counted = teams.groupBy("band").agg(F.sum(F.ceil(F.col("size") / F.lit(BLOCK))).alias("n"))
+    groups = F.ceil(F.col("n") / F.lit(BESIDE)).cast("int")
+    grouped = blocks.join(counted, "band").withColumn("groups", groups).withColumn("group", F.pmod(F.xxhash64("team", "block"), F.col("groups")).cast("int"))
+    met = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
+    tiles = grouped.select("*", met.alias("with")).withColumn("i", F.least("group", "with")).withColumn("j", F.greatest("group", "with"))
+    left = tiles.where("group = i").select("band", "i", "j", "pos", "team", "block", "members")
+    right = tiles.where("group = j").select("band", "i", "j", F.col("team").alias("team_b"), F.col("block").alias("block_b"), F.col("members").alias("others"))
+    once = "(team <> team_b OR team = '') AND (i < j OR team < team_b OR team = team_b AND block < block_b)"
+    cross = left.join(right, ["band", "i", "j"]).where(once).select("pos", "members", "others")
     own = blocks.where("team = ''").select("pos", "members", F.lit(None).cast(blocks.schema["members"].dataType).alias("others"))
     least = _least_agreement(similarity, settings.coordinates)
 

@@ -152,6 +152,7 @@ def test_near_duplicates_against_all_pairs(spark, documents, texts):
 def test_near_duplicates_of_mixed_buckets(spark, monkeypatch, block):
     """Chains and families whose members are not all similar to the smallest id."""
     monkeypatch.setattr(near_dups, "BLOCK", block)
+    monkeypatch.setattr(near_dups, "BESIDE", 1 if block == 3 else 8)
     base, texts = prose(3, 300).split(), {}
     for i in range(40):
         family = base[:]
