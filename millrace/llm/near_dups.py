@@ -27,7 +27,9 @@ SIMILARITY = 0.8
 #: Members of a bucket in a block.
 BLOCK = 192
 #: Blocks of a bucket in a group; a task compares the blocks of two groups.
-BESIDE = 8
+BESIDE = 64
+#: Shingles whose darts are thrown together.
+TOGETHER = 2**16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
@@ -51,8 +53,8 @@ class DartSettings:
         return self.bands * self.rows
 
 
-def _darts(strips: np.ndarray, limit: float, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(times, identities, places of their strips) of the darts up to time ``limit``.
+def _darts(strips: np.ndarray, limit: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(times, identities, places of their strips) of the darts up to each strip's time ``limit``.
 
     The gaps between a strip's darts are exponential, drawn from hashes of the strip and the
     dart's number, so that any limit sees the same darts.
@@ -64,7 +66,7 @@ def _darts(strips: np.ndarray, limit: float, rate: float) -> tuple[np.ndarray, n
         name = mix(strips + _times(draw, _STEP))
         now = now - np.log(_uniform(name)) / rate
         live = now <= limit
-        strips, now, place = strips[live], now[live], place[live]
+        strips, now, place, limit = strips[live], now[live], place[live], limit[live]
         times.append(now)
         names.append(name[live])
         owners.append(place)
@@ -84,29 +86,41 @@ def _boxes(weights: np.ndarray) -> Iterator[tuple[int, float, float, np.ndarray]
         number, low, height = number + 1, low + height, height if number == 0 else 2 * height
 
 
-def signature(elements: np.ndarray, weights: np.ndarray, settings: DartSettings) -> np.ndarray:
-    """The earliest dart of every coordinate. ``elements`` are different hashes, at least one;
-    ``weights`` are positive."""
-    k, base = settings.coordinates, mix(elements)
-    limit = (log(k) + 4) / float(weights.sum())
-    while True:
+def signatures(elements: list[np.ndarray], weights: list[np.ndarray], settings: DartSettings) -> np.ndarray:
+    """The earliest dart of every coordinate, one row for each weighted set. ``elements`` are different
+    hashes, at least one in a set; ``weights`` are positive.
+
+    The darts of all sets are thrown together, each set's up to the time by which they likely fill its
+    coordinates; a set with a coordinate left throws again up to twice that time.
+    """
+    k, n = settings.coordinates, len(elements)
+    out, limit, left = np.zeros((n, k), np.uint64), np.array([(log(k) + 4) / float(w.sum()) for w in weights]), np.arange(n)
+    while len(left):
+        owner = np.repeat(left, [len(elements[i]) for i in left])
+        base, weight = mix(np.concatenate([elements[i] for i in left])), np.concatenate([weights[i] for i in left])
         parts = []
-        for number, low, height, inside in _boxes(weights):
-            t, name, owner = _darts(mix(base[inside] + _times(number, _SALT)), limit, k * height)
-            reach = weights[inside][owner]
-            if reach.min(initial=np.inf) < low + height:  # else the region fills the box
-                below = low + height * _uniform(mix(name ^ _SALT)) < reach
-                t, name = t[below], name[below]
-            parts.append((t, name))
-        times, names = (np.concatenate(x) for x in zip(*parts))
-        coordinate = (mix(names + _SALT) % np.uint64(k)).astype(np.int64)
-        out, filled = np.zeros(k, np.uint64), np.zeros(k, bool)
-        filled[coordinate] = True
-        if filled.all():
-            latest_first = np.argsort(-times, kind="stable")
-            out[coordinate[latest_first]] = names[latest_first]  # the earliest is written last
-            return out
-        limit *= 2
+        for number, low, height, inside in _boxes(weight):
+            times, names, strip = _darts(mix(base[inside] + _times(number, _SALT)), limit[owner[inside]], k * height)
+            place = inside[strip]
+            reach = weight[place]
+            if reach.min(initial=np.inf) < low + height:  # else the regions fill the box
+                below = low + height * _uniform(mix(names ^ _SALT)) < reach
+                times, names, place = times[below], names[below], place[below]
+            parts.append((times, names, owner[place]))
+        times, names, row = (np.concatenate(x) for x in zip(*parts))
+        slot = row * k + (mix(names + _SALT) % np.uint64(k)).astype(np.int64)
+        filled = np.zeros((n, k), bool)
+        filled.flat[slot] = True
+        latest_first = np.argsort(-times, kind="stable")
+        out.flat[slot[latest_first]] = names[latest_first]  # the earliest is written last
+        left = left[~filled[left].all(axis=1)]
+        limit = limit * 2
+    return out
+
+
+def signature(elements: np.ndarray, weights: np.ndarray, settings: DartSettings) -> np.ndarray:
+    """The signature of one weighted set."""
+    return signatures([elements], [weights], settings)[0]
 
 
 def band_keys(sig: np.ndarray, settings: DartSettings) -> np.ndarray:
@@ -133,15 +147,25 @@ def _signatures(settings: DartSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, bands, prints = [], [], []
+            ids, bands, prints, held, size = [], [], [], [], 0
+
+            def throw() -> None:
+                for sig in signatures([e for e, _ in held], [c for _, c in held], settings) if held else ():
+                    bands.append(band_keys(sig, settings))
+                    prints.append(sig.astype(np.uint16).tobytes())
+                held.clear()
+
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = shingle_hashes(hashes.of(words(text.as_py())), settings.shingle)
                 if len(found):
                     elements, counts = np.unique(found, return_counts=True)
-                    sig = signature(elements, counts.astype(np.float64), settings)
                     ids.append(key)
-                    bands.append(band_keys(sig, settings))
-                    prints.append(sig.astype(np.uint16).tobytes())
+                    held.append((elements, counts.astype(np.float64)))
+                    size += len(elements)
+                    if size > TOGETHER:
+                        throw()
+                        size = 0
+            throw()
             flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * settings.bands, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists, pa.array(prints, pa.binary())], names=["node", "bands", "sig"])
@@ -190,9 +214,9 @@ def _across(rows: DataFrame, signed: DataFrame, texts: DataFrame, similarity: fl
     A class of more than ``BLOCK`` members in a bucket is a team of its own, the smaller ones are one
     team together; teams are dealt into blocks of about ``BLOCK``. Blocks of different teams meet, and
     those of the small classes meet each other. A large class never meets itself, so that the blocks
-    of a bucket that one class fills are as many as its members, not their square. A bucket's
-    blocks are dealt into groups of about ``BESIDE``, and each pair of groups is a task's: no task gets a
-    bucket's pairs together, and a block is sent once for each group.
+    of a bucket that one class fills are as many as its members, not their square. A team's
+    blocks are dealt in groups of ``BESIDE``, and each pair of groups that meet is a task's: no task gets a
+    bucket's pairs together, and a block is sent once for each group that it meets.
     Shingles are compared by 32 bits of their hashes, and what comes near the similarity is handed on to
     be verified.
     """
@@ -209,21 +233,21 @@ def _across(rows: DataFrame, signed: DataFrame, texts: DataFrame, similarity: fl
     classes = counted.withColumn("team", F.when(F.col("n") > BLOCK, F.col("label").cast("string")).otherwise(""))
     teams = cut(classes.groupBy("band", "team").agg(F.sum("n").alias("size")))
     teamed = rows.join(classes.drop("n"), ["band", "label"]).join(teams, ["band", "team"])
-    full = teamed.join(profiles, "node").join(signed.select("node", F.col("bands").alias("keys"), "sig"), "node")
+    full = teamed.join(profiles, "node").join(signed.select("node", F.transform("bands", lambda x: F.pmod(x, F.lit(2**31)).cast("int")).alias("keys"), "sig"), "node")
     dealt_by = F.when(F.col("team") == "", F.col("label")).otherwise(F.col("node"))  # a small class stays together
     block = F.pmod(F.xxhash64(dealt_by), F.ceil(F.col("size") / F.lit(BLOCK))).cast("int")
     blocks = cut(full.select(
         "band", "pos", "team", block.alias("block"), F.struct("node", "label", "sig", "keys", "shingles").alias("member")).groupBy(
         "band", "pos", "team", "block").agg(F.collect_list("member").alias("members")))
-    counted = teams.groupBy("band").agg(F.sum(F.ceil(F.col("size") / F.lit(BLOCK))).alias("n"))
-    groups = F.ceil(F.col("n") / F.lit(BESIDE)).cast("int")
-    grouped = blocks.join(counted, "band").withColumn("groups", groups).withColumn("group", F.pmod(F.xxhash64("team", "block"), F.col("groups")).cast("int"))
-    met = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
-    tiles = grouped.select("*", met.alias("with")).withColumn("i", F.least("group", "with")).withColumn("j", F.greatest("group", "with"))
-    left = tiles.where("group = i").select("band", "i", "j", "pos", "team", "block", "members")
-    right = tiles.where("group = j").select("band", "i", "j", F.col("team").alias("team_b"), F.col("block").alias("block_b"), F.col("members").alias("others"))
-    once = "(team <> team_b OR team = '') AND (i < j OR team < team_b OR team = team_b AND block < block_b)"
-    cross = left.join(right, ["band", "i", "j"]).where(once).select("pos", "members", "others")
+    group = F.floor(F.col("block") / F.lit(BESIDE)).cast("int")
+    blocks = blocks.withColumn("group", group)
+    groups = teams.select("band", "team", F.explode(F.sequence(F.lit(0), F.floor((F.ceil(F.col("size") / F.lit(BLOCK)) - 1) / F.lit(BESIDE)).cast("int"))).alias("group"))
+    tiles = groups.join(groups.select("band", F.col("team").alias("team_b"), F.col("group").alias("group_b")), "band").where(
+        "team < team_b OR team = '' AND team_b = '' AND group <= group_b")
+    left = blocks.join(tiles, ["band", "team", "group"])
+    right = blocks.select("band", F.col("team").alias("team_b"), F.col("group").alias("group_b"), F.col("block").alias("block_b"), F.col("members").alias("others")).join(
+        tiles, ["band", "team_b", "group_b"])
+    cross = left.join(right, ["band", "team", "group", "team_b", "group_b"]).where("team <> team_b OR block < block_b").select("pos", "members", "others")
     own = blocks.where("team = ''").select("pos", "members", F.lit(None).cast(blocks.schema["members"].dataType).alias("others"))
     least = _least_agreement(similarity, settings.coordinates)
 
@@ -248,7 +272,7 @@ def links_between(left: tuple, right: tuple, pos: int, similarity: float, least:
     """Pairs of members of two blocks that join their classes: for each pair of classes the first that
     surely has the similarity, and all that are within the error of the short hashes.
 
-    A block is (nodes, labels, 16-bit signatures, band keys, sorted shingle bags). Classes joined here
+    A block is (nodes, labels, 16-bit signatures, 31 bits of the band keys, sorted shingle bags). Classes joined here
     count as one from then on. ``pos`` is the bucket's band; pairs that share an earlier one, by their
     keys, are left to it.
     """

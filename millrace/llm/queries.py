@@ -37,6 +37,24 @@ FROM pairs QUALIFY rank <= 10
 """
 
 
+#: Windows are joined as texts of their words; a document's hit words are the distinct places in its hit windows.
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT coalesce(item_id::VARCHAR, '') AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0),
+grams AS (SELECT DISTINCT item, n, array_to_string(w[i + 1 : i + n], ' ') AS gram FROM (SELECT *, unnest(range(len(w) - n + 1)) AS i FROM sized)),
+lengths AS (SELECT DISTINCT n FROM grams),
+places AS (SELECT row_no, n, i, array_to_string(w[i + 1 : i + n], ' ') AS gram FROM (SELECT row_no, w, n, unnest(range(len(w) - n + 1)) AS i FROM d, lengths WHERE len(w) >= n)),
+hits AS (SELECT row_no, n, i, item FROM places JOIN grams USING (n, gram)),
+found AS (SELECT row_no, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY ALL),
+hit_words AS (SELECT row_no, count(DISTINCT place) AS n_hit FROM (SELECT row_no, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT row_no, n, i FROM hits)) GROUP BY ALL)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN found USING (row_no) LEFT JOIN hit_words USING (row_no)
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -116,4 +134,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ann": OP1_SQL}
+    return {"op1_ann": OP1_SQL, "op5_decontamination": OP5_SQL}

@@ -187,6 +187,14 @@ def test_dart_signatures_estimate_similarity(weighted):
     assert abs(np.mean(gaps)) < 0.02
 
 
+def test_signatures_together_are_those_of_each():
+    rng, s = np.random.default_rng(12), near_dups.DartSettings()
+    sets = [np.unique(rng.integers(0, 2**63, int(rng.integers(1, 300))).astype(np.uint64)) for _ in range(80)]
+    weights = [rng.integers(1, int(rng.integers(2, 60)), len(x)).astype(float) for x in sets]
+    together = near_dups.signatures(sets, weights, s)
+    assert all(np.array_equal(row, near_dups.signature(x, w, s)) for row, x, w in zip(together, sets, weights)) and (together != 0).all()
+
+
 def test_near_duplicates_count_their_repeats(spark):
     """Texts of the same shingles in other numbers are alike by their sets only."""
     line = prose(30, 40)
