@@ -128,7 +128,33 @@ def q_quality_gates(spark: SparkSession, d: str) -> DataFrame:
     return audit.quality_gates(samples(spark, d), "sample_id", "label", "exact", "near", ["domain", "source"])
 
 
-@query()
+def _duplicates(column: str) -> str:
+    made = GROUPED.replace("KIND", column).split("grouped AS ")[1]
+    return f"""(SELECT count(*) AS n_groups, coalesce(sum(n), 0) AS n_rows, count(*) FILTER (crosses) AS cross_groups, coalesce(sum(n) FILTER (crosses), 0) AS cross_rows FROM {made})"""
+
+
+def _overlap(column: str) -> str:
+    return f"SELECT 'overlap:{column}', key, 'n', n FROM {GROUPED.replace('KIND', column).split('grouped AS ')[1]} WHERE crosses"
+
+
+MISSING_OF_EACH = " UNION ALL ".join(
+    f"SELECT 'missing', '{c}', 'n', count(*) FILTER (coalesce({c}::VARCHAR, '') = '') FROM samples" for c in ("sample_id", "label", "domain", "source", "family", "exact", "near", "split"))
+REPORT = f"""WITH {PURITY}, gates AS ({SQL['q_quality_gates'].replace(f'WITH {PURITY},', 'WITH', 1)}),
+  tokens AS (SELECT CASE WHEN split = '' THEN '<MISSING>' ELSE split END AS a, CASE WHEN label = '' THEN '<MISSING>' ELSE label END AS b FROM samples),
+  report(section, key, metric, value) AS (
+    {MISSING_OF_EACH}
+    UNION ALL SELECT 'count:label', b, 'n', count(*) FROM tokens GROUP BY b
+    UNION ALL SELECT 'count:split', a, 'n', count(*) FROM tokens GROUP BY a
+    UNION ALL SELECT 'cross', l.a || '|' || r.b, 'n', count(t.a) FROM (SELECT DISTINCT a FROM tokens) l CROSS JOIN (SELECT DISTINCT b FROM tokens) r LEFT JOIN tokens t ON t.a = l.a AND t.b = r.b GROUP BY l.a, r.b
+    UNION ALL SELECT 'duplicates:exact', '', unnest(['n_groups', 'n_rows', 'cross_groups', 'cross_rows']), unnest([n_groups, n_rows, cross_groups, cross_rows]) FROM {_duplicates('exact')}
+    UNION ALL SELECT 'duplicates:near', '', unnest(['n_groups', 'n_rows', 'cross_groups', 'cross_rows']), unnest([n_groups, n_rows, cross_groups, cross_rows]) FROM {_duplicates('near')}
+    UNION ALL {_overlap('domain')} UNION ALL {_overlap('source')}
+    UNION ALL SELECT 'purity', "column", 'purity', purity FROM purity WHERE "column" IN ('domain', 'source')
+    UNION ALL SELECT 'gate', gate, 'verdict', CASE verdict WHEN 'pass' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END FROM gates)
+SELECT section, key, metric, value::DOUBLE AS value FROM report"""
+
+
+@query(REPORT)
 def q_audit_report(spark: SparkSession, d: str) -> DataFrame:
     return audit.audit_report(samples(spark, d), "sample_id", "label", "exact", "near", ["domain", "source"])
 
@@ -272,7 +298,25 @@ def q_shortfalls(spark: SparkSession, d: str) -> DataFrame:
     return sampling.shortfalls(fakes_of(spark, d, 1100), ["o_orderstatus", "o_orderpriority"], 1100)
 
 
-@query()
+SUBSET = """WITH r AS (SELECT CASE o_orderpriority WHEN '5-LOW' THEN 'REAL' ELSE 'FAKE' END AS label, o_orderstatus AS split, o_orderpriority AS method, o_custkey AS g, o_orderkey AS frame FROM orders),
+  sizes AS (SELECT split, method, g, count(*) AS n FROM r WHERE label = 'FAKE' GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY split, method ORDER BY sha256('subset-v1' || chr(0) || g), g) AS rank FROM sizes),
+  taken AS (SELECT *, coalesce(sum(least(n, 2)) OVER (PARTITION BY split, method ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked),
+  fakes AS (SELECT split, method, g, least(least(n, 2), 150 - before)::BIGINT AS take FROM taken WHERE before < 150),
+  target AS (SELECT split, ceil(sum(take) * 0.5)::BIGINT AS target FROM fakes GROUP BY ALL),
+  rsizes AS (SELECT split, g, count(*) AS n FROM r WHERE label = 'REAL' GROUP BY ALL),
+  rranked AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY sha256('subset-v1' || chr(0) || 'real' || chr(0) || split || chr(0) || g), g) AS rank FROM rsizes),
+  rtaken AS (SELECT *, coalesce(sum(least(n, 2)) OVER (PARTITION BY split ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rranked),
+  reals AS (SELECT split, g, least(least(n, 2), target - before)::BIGINT AS take FROM rtaken JOIN target USING (split) WHERE before < target),
+  chosen AS (SELECT r.*, take, 'fake' AS selection_role FROM r JOIN fakes f ON r.split = f.split AND r.method = f.method AND r.g = f.g WHERE label = 'FAKE'
+    UNION ALL SELECT r.*, take, 'real' FROM r JOIN reals f ON r.split = f.split AND r.g = f.g WHERE label = 'REAL'),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY selection_role, split, CASE selection_role WHEN 'fake' THEN method END, g ORDER BY frame) - 1 AS p,
+    count(*) OVER (PARTITION BY selection_role, split, CASE selection_role WHEN 'fake' THEN method END, g) AS k FROM chosen)
+SELECT label, split, method, g AS "group", frame, selection_role FROM placed
+WHERE k <= take OR CASE take WHEN 1 THEN p = k // 2 ELSE list_contains(list_transform(range(take), lambda i: round_even(i * (k - 1) / (take - 1)::DOUBLE, 0)::BIGINT), p) END"""
+
+
+@query(SUBSET)
 def q_build_subset(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(
         F.when(F.col("o_orderpriority") == "5-LOW", "REAL").otherwise("FAKE").alias("label"), F.col("o_orderstatus").alias("split"),
