@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from millrace.llm.words import WordHashes, ngram_hashes, words
 
 WINDOW = 10
-#: Benchmarks of more words than this are matched by a shuffle join instead of a broadcast.
-BROADCAST_WORDS = 4_000_000
+#: Benchmarks of more words than this are matched by a shuffle join instead of a broadcast. A window takes about half a
+#: kilobyte in a worker, so the index stays below 100 MB.
+BROADCAST_WORDS = 200_000
 
 
 @dataclass(frozen=True)

@@ -136,7 +136,7 @@ def fit_languages(
     """Learn a prototype of every non-null language from a bounded sample of the labelled rows.
 
     A language of more rows than ``sample_per_language`` is thinned by a hash of the row's id and
-    text; others are read whole. Rows of null text are left out. What reaches the driver is one
+    text, so rows of one id or none are drawn apart; others are read whole. Rows of null text are left out. What reaches the driver is one
     vector for each language. Ties in the prediction go to the language first by name.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -146,7 +146,7 @@ def fit_languages(
     shares = F.create_map(
         *[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, settings.sample_per_language / n))]
     )
-    draw = F.pmod(F.xxhash64(F.lit(settings.seed), F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit(settings.seed), F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(draw < F.element_at(shares, F.col(lang_col))).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )

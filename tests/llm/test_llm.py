@@ -112,6 +112,29 @@ def test_language_vectors_are_bundles_of_bound_letters():
     assert has.tolist() == [True, False, False] and np.allclose(got[0], want / np.linalg.norm(want), atol=1e-6)
 
 
+def test_languages_against_brute_force(spark, documents):
+    """Prototypes and the nearest one by hand, n-gram by n-gram; ties go to the language first by name."""
+    s = langid.ProfileSettings(dimensions=128)
+    rows = [(r.doc_id, r.text[:400], r.lang) for r in documents.where("text is not null").orderBy("doc_id").limit(60).collect()]
+    rows += [(1000, "abc", "aa"), (1001, "abc", "ab")]  # two languages of one profile
+    e = langid.Encoder(s)
+
+    def vector(text):
+        letters = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+        out = sum(np.roll(e.letter(ord(letters[i])), 2) * np.roll(e.letter(ord(letters[i + 1])), 1) * e.letter(ord(letters[i + 2])).astype(float) for i in range(len(letters) - 2))
+        return out / np.linalg.norm(out)
+
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    names = sorted({r[2] for r in learned})
+    prototypes = np.stack([sum(vector(r[1]) for r in learned if r[2] == x) for x in names])
+    prototypes /= np.linalg.norm(prototypes, axis=1, keepdims=True)
+    got = {r.doc_id: r for r in langid.identify_languages(table(spark, rows, "doc_id long, text string, lang string"), settings=s).collect()}
+    for i, text, _ in rows:
+        cosine = prototypes @ vector(text)
+        assert got[i].lang_pred == names[int(np.argmax(np.round(cosine, 5)))] and abs(got[i].score - max(0.0, cosine.max())) < 1e-4
+    assert got[1001].lang_pred == "aa" or "aa" not in names
+
+
 def test_languages_of_odd_rows(spark):
     rows = langid.identify_languages(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(r.lang_pred == "und" and r.score == 0 for r in rows if r.doc_id in (1, 2, 3))
