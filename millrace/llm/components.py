@@ -1,41 +1,5 @@
-"""Connected components of a link table, by alternating star contractions."""
+"""Connected components of a link table: the library's own."""
 
-from __future__ import annotations
+from millrace.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from millrace.llm.durable import cut
-
-
-def _to_least(pairs: DataFrame, lower_only: bool) -> DataFrame:
-    """Link the neighbours of each node to the least of them and the node.
-
-    ``pairs`` (u, v); with ``lower_only`` v < u and u itself is linked as well, else only v > u.
-    """
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    met = pairs.join(least, "u")
-    if lower_only:
-        out = met.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return out.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-    return met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) of every node of ``links`` (a, b); the label is the component's least node.
-
-    Each round links every node to the least node it knows of, first over its greater and then
-    over its lesser neighbours, until the links are stars. The rounds grow with the logarithm of
-    the number of nodes; a round is joins and minima, which Spark splits at hot nodes.
-    """
-    edges = cut(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = cut(_to_least(_to_least(both, False), True))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
+__all__ = ["components"]
