@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.decontam import drop_contaminated
-from millrace.llm.durable import folder
+from millrace.llm.durable import folder, remove
 from millrace.llm.langid import UNDETERMINED, fit_languages, held_out, predict_language
 from millrace.llm.near_dups import keep_first_documents
 from millrace.llm.pieces import encoded, load_model
@@ -68,10 +68,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is written to the shared folder."""
+    """All stages over ``documents``; what lies between them is written to the shared folder, and removed
+    when the next stage is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(COLUMNS)
-    place = f"{folder(spark)}/pipeline-{uuid4().hex}"
+    place, before = f"{folder(spark)}/pipeline-{uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{place}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
