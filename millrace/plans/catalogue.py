@@ -219,13 +219,13 @@ def q_group_key(spark: SparkSession, d: str) -> DataFrame:
     return samples(spark, d).select("sample_id", s.group_key(["family", "label"], "sample_id").alias("group_key"))
 
 
-@query("""WITH r AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '' ELSE (page_id % 300)::VARCHAR END AS stem FROM pages),
-  i AS (SELECT (doc_id % 900)::VARCHAR AS stem, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 GROUP BY ALL)
+@query("""WITH r AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '' ELSE (page_id * 4)::VARCHAR END AS stem FROM pages),
+  i AS (SELECT (doc_id % 900)::VARCHAR AS stem, count(*) AS n FROM documents GROUP BY ALL)
 SELECT page_id, CASE WHEN r.stem = '' THEN 'missing_path_value' WHEN n IS NULL THEN 'missing_file' WHEN n > 1 THEN 'ambiguous_path' ELSE 'ok' END AS status
 FROM r LEFT JOIN i ON r.stem = i.stem""")
 def q_path_status(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 7 == 0, "").otherwise((F.col("page_id") % 300).cast("string")).alias("stem"))
-    index = table(spark, d, "documents").where("doc_id % 3 <> 0").groupBy((F.col("doc_id") % 900).cast("string").alias("stem")).agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 7 == 0, "").otherwise((F.col("page_id") * 4).cast("string")).alias("stem"))
+    index = table(spark, d, "documents").groupBy((F.col("doc_id") % 900).cast("string").alias("stem")).agg(F.count(F.lit(1)).alias("n"))
     return gates.path_status(rows, "page_id", "stem", index)
 
 
