@@ -15,6 +15,7 @@ from millrace.llm.pages import extract_pages
 from millrace.llm.passages import repeated_passages
 from millrace.llm.pieces import encode_documents
 from millrace.llm.pii import find_documents
+from millrace.llm.scoring import score_documents
 from millrace.llm.sharding import shard_documents
 from millrace.llm.wordpiece import count_tokens
 
@@ -110,6 +111,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, learned from the rows not held out."""
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -129,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_language_id": op9_language_id,
         "op10_sharding": op10_sharding,
+        "op12_lm_scoring": op12_lm_scoring,
         "pipeline": pipeline,
     }
 
