@@ -25,8 +25,8 @@ class Shape:
     """``hidden`` units; ``classes`` of ``words_per_class`` words beside the two single ones."""
 
     hidden: int = 16
-    classes: int = 32
-    words_per_class: int = 32
+    classes: int = 16
+    words_per_class: int = 64
 
     @property
     def words(self) -> int:
@@ -74,42 +74,45 @@ class Net:
 
 
 def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-probability of the entry ``at`` of each row, all probabilities); changes ``logits``."""
-    rows = np.arange(len(at))
-    logits -= logits.max(axis=1, keepdims=True)
-    own = logits[rows, at].copy()
+    """(log-probability of the entry ``at`` of each column, all probabilities); changes ``logits``."""
+    columns = np.arange(len(at))
+    logits -= logits.max(axis=0)
+    own = logits[at, columns]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
+    total = logits.sum(axis=0)
     logits /= total
-    return own - np.log(total[:, 0]), logits
+    return own - np.log(total), logits
 
 
 def _states(net: Net, before: np.ndarray, state: np.ndarray, keep: list | None) -> np.ndarray:
-    """States after each step of a window of (steps, lanes) tokens; ``keep`` gets what gradients need."""
-    h = net.shape.hidden
-    pushed = net.inputs[before]
-    out = np.empty((*before.shape, h), np.float32)
+    """States (hidden, steps, lanes) after each step of a window of (steps, lanes) tokens, from
+    ``state`` (hidden, lanes); ``keep`` gets what gradients need, in the same layout."""
+    h, (steps, lanes) = net.shape.hidden, before.shape
+    pushed = np.take(np.ascontiguousarray(net.inputs.T), before, axis=1)
+    weights = np.ascontiguousarray(net.state.T)
+    out, starts, gates_of, new_of, held_of = (np.empty((n, steps, lanes), np.float32) for n in (h, h, 2 * h, h, h)) if keep is not None else (np.empty((h, steps, lanes), np.float32), *[None] * 4)
     fresh = before == END
     resets = fresh.any(axis=1)
-    for t in range(len(before)):
+    for t in range(steps):
         if resets[t]:
-            state = np.where(fresh[t][:, None], np.float32(0), state)
-        moved = state @ net.state
-        gates = pushed[t, :, : 2 * h] + moved[:, : 2 * h]
+            state = np.where(fresh[t], np.float32(0), state)
+        moved = weights @ state
+        gates = moved[: 2 * h] + pushed[: 2 * h, t]
         gates *= np.float32(0.5)
         np.tanh(gates, out=gates)
         gates += np.float32(1)
         gates *= np.float32(0.5)
-        fall, reset = gates[:, :h], gates[:, h:]
-        new = reset * moved[:, 2 * h :]
-        new += pushed[t, :, 2 * h :]
+        new = gates[h:] * moved[2 * h :]
+        new += pushed[2 * h :, t]
         np.tanh(new, out=new)
         if keep is not None:
-            keep.append((state, fall, reset, new, moved[:, 2 * h :]))
-        after = state - new
-        after *= fall
-        after += new
-        out[t] = state = after
+            starts[:, t], gates_of[:, t], new_of[:, t], held_of[:, t] = state, gates, new, moved[2 * h :]
+        state = state - new
+        state *= gates[:h]
+        state += new
+        out[:, t] = state
+    if keep is not None:
+        keep += [starts, gates_of[:h], gates_of[h:], new_of, held_of]
     return out
 
 
@@ -128,53 +131,61 @@ def _word_groups(net: Net, targets: np.ndarray) -> Iterator[tuple[int, np.ndarra
 def window_log_probs(net: Net, before: np.ndarray, targets: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(natural log-probability of every target, state after the window)."""
     states = _states(net, before, state, None)
-    flat, goal = states.reshape(-1, net.shape.hidden), targets.reshape(-1)
-    found, _ = _softmax(flat @ net.to_class + net.class_bias, net.classes_of(goal))
+    flat, goal = states.reshape(net.shape.hidden, -1), targets.reshape(-1)
+    found, _ = _softmax(net.to_class.T @ flat + net.class_bias[:, None], net.classes_of(goal))
     for c, places, within in _word_groups(net, goal):
-        found[places] += _softmax(flat[places] @ net.to_word[c] + net.word_bias[c], within)[0]
-    return found.reshape(targets.shape), states[-1]
+        found[places] += _softmax(net.to_word[c].T @ flat[:, places] + net.word_bias[c][:, None], within)[0]
+    return found.reshape(targets.shape), states[:, -1]
 
 
 def window_gradient(net: Net, before: np.ndarray, targets: np.ndarray, real: np.ndarray, state: np.ndarray) -> tuple[float, Net, np.ndarray]:
     """(loss, its gradient, state after the window) of the ``real`` targets, truncated at the window."""
     h, kept = net.shape.hidden, []
     states = _states(net, before, state, kept)
-    flat, goal, weight = states.reshape(-1, h), targets.reshape(-1), real.reshape(-1).astype(np.float32)
+    flat, goal, weight = states.reshape(h, -1), targets.reshape(-1), real.reshape(-1).astype(np.float32)
     grad = Net(net.shape, np.zeros_like(net.flat))
     classes = net.classes_of(goal)
-    logs, wrong = _softmax(flat @ net.to_class + net.class_bias, classes)
+    logs, wrong = _softmax(net.to_class.T @ flat + net.class_bias[:, None], classes)
     loss = -float(logs @ weight)
-    wrong[np.arange(len(goal)), classes] -= 1
-    wrong *= weight[:, None]
-    grad.to_class[:], grad.class_bias[:] = flat.T @ wrong, wrong.sum(axis=0)
-    back = wrong @ net.to_class.T
+    wrong[classes, np.arange(len(goal))] -= 1
+    wrong *= weight
+    grad.to_class[:], grad.class_bias[:] = flat @ wrong.T, wrong.sum(axis=1)
+    back = net.to_class @ wrong
     for c, places, within in _word_groups(net, goal):
-        own = flat[places]
-        logs, wrong = _softmax(own @ net.to_word[c] + net.word_bias[c], within)
+        own = flat[:, places]
+        logs, wrong = _softmax(net.to_word[c].T @ own + net.word_bias[c][:, None], within)
         loss -= float(logs @ weight[places])
-        wrong[np.arange(len(within)), within] -= 1
-        wrong *= weight[places][:, None]
-        grad.to_word[c], grad.word_bias[c] = own.T @ wrong, wrong.sum(axis=0)
-        back[places] += wrong @ net.to_word[c].T
+        wrong[within, np.arange(len(within))] -= 1
+        wrong *= weight[places]
+        grad.to_word[c], grad.word_bias[c] = own @ wrong.T, wrong.sum(axis=1)
+        back[:, places] += net.to_word[c] @ wrong
     back = back.reshape(states.shape)
-    pushed = np.empty((*before.shape, 3 * h), np.float32)
+    starts, fall, reset, new, held = kept
+    # what one unit of a step's state brings to the step's three inner sums
+    per_new = (1 - fall) * (1 - new * new)
+    per_fall = (starts - new) * fall * (1 - fall)
+    per_reset = per_new * held * reset * (1 - reset)
+    moved = np.empty((3 * h, *before.shape), np.float32)
+    total = np.empty_like(states)
+    going = (before != END).astype(np.float32)
+    per_moved = np.concatenate((per_fall, per_reset, per_new * reset))
     carried = np.zeros_like(state)
     for t in range(len(before) - 1, -1, -1):
-        start, fall, reset, new, held = kept[t]
-        total = back[t] + carried
-        to_new = total * (1 - fall) * (1 - new * new)
-        to_reset = to_new * held * reset * (1 - reset)
-        to_fall = total * (start - new) * fall * (1 - fall)
-        pushed[t] = np.concatenate((to_fall, to_reset, to_new), axis=1)
-        moved = np.concatenate((to_fall, to_reset, to_new * reset), axis=1)
-        grad.state[:] += start.T @ moved
-        carried = total * fall + moved @ net.state.T
-        carried[before[t] == END] = 0
+        own = back[:, t] + carried
+        total[:, t] = own
+        step = (per_moved[:, t].reshape(3, h, -1) * own).reshape(3 * h, -1)
+        moved[:, t] = step
+        carried = net.state @ step
+        own *= fall[:, t]
+        carried += own
+        carried *= going[t]
+    grad.state[:] = starts.reshape(h, -1) @ moved.reshape(3 * h, -1).T
+    moved[2 * h :] = per_new * total
     ids = before.reshape(-1)
     order = np.argsort(ids, kind="stable")
-    seen, starts = np.unique(ids[order], return_index=True)
-    grad.inputs[seen] = np.add.reduceat(pushed.reshape(-1, 3 * h)[order], starts, axis=0)
-    return loss, grad, states[-1]
+    seen, first = np.unique(ids[order], return_index=True)
+    grad.inputs[seen] = np.add.reduceat(np.take(moved.reshape(3 * h, -1), order, axis=1), first, axis=1).T
+    return loss, grad, states[:, -1]
 
 
 class Lanes:
@@ -222,9 +233,9 @@ def log_probs(net: Net, texts: list[np.ndarray], lanes: int = 256, steps: int =
         return np.zeros(0)
     dealt = Lanes(texts, lanes)
     logs = [np.zeros(n) for n in dealt.loads]
-    state = np.zeros((len(logs), net.shape.hidden), np.float32)
+    state = np.zeros((net.shape.hidden, len(logs)), np.float32)
     for at, before, targets, _ in dealt.windows(steps):
-        found, state = window_log_probs(net, before, targets, state[: before.shape[1]])
+        found, state = window_log_probs(net, before, targets, state[:, : before.shape[1]])
         for lane in range(before.shape[1]):
             own = logs[lane][at : at + len(found)]
             own[:] = found[: len(own), lane]
@@ -234,7 +245,7 @@ def log_probs(net: Net, texts: list[np.ndarray], lanes: int = 256, steps: int =
 class Trainer:
     """Truncated backpropagation with one adaptive step (Adagrad) a window."""
 
-    def __init__(self, net: Net, rate: float = 0.1, lanes: int = 256, steps: int = 32):
+    def __init__(self, net: Net, rate: float = 0.2, lanes: int = 128, steps: int = 64):
         self.net = Net(net.shape, net.flat.copy())
         self.rate, self.lanes, self.steps = np.float32(rate), lanes, steps
         self.squares = np.full_like(net.flat, 0.1)
@@ -245,9 +256,9 @@ class Trainer:
         if not texts:
             return 0.0
         dealt, total = Lanes(texts, self.lanes), 0.0
-        state = np.zeros((len(dealt.loads), self.net.shape.hidden), np.float32)
+        state = np.zeros((self.net.shape.hidden, len(dealt.loads)), np.float32)
         for _, before, targets, real in dealt.windows(self.steps):
-            loss, grad, state = window_gradient(self.net, before, targets, real, state[: before.shape[1]])
+            loss, grad, state = window_gradient(self.net, before, targets, real, state[:, : before.shape[1]])
             total += loss
             count = int(real.sum())
             self.seen += count

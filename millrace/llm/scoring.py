@@ -141,8 +141,8 @@ class _Places(dict):
 class Reader:
     """Texts as places among the frequent tokens (-1: none) and as the model's ids."""
 
-    def __init__(self, counts: Counts):
-        self.places = _Places(zip(counts.frequent, range(len(counts.frequent))))
+    def __init__(self, counts: Counts, most: int | None = None):
+        self.places = _Places(zip(counts.frequent[:most], range(len(counts.frequent))))
         self.vocabulary = counts.vocabulary
 
     def places_of(self, found: list[bytes]) -> np.ndarray:
@@ -167,7 +167,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch.slice(at), texts[at:]
 
 
-def train(docs: DataFrame, counts: Counts, text_col: str = "text", rate: float = 0.2, lanes: int = 128, steps: int = 32) -> Net:
+def train(docs: DataFrame, counts: Counts, text_col: str = "text", rate: float = 0.2, lanes: int = 128, steps: int = 64) -> Net:
     """The model after one pass over all documents.
 
     Every task starts from the same weights, whose biases are the corpus's shares, and learns from
@@ -177,7 +177,7 @@ def train(docs: DataFrame, counts: Counts, text_col: str = "text", rate: float =
     start = counts.start()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, trainer = Reader(counts), Trainer(start, rate, lanes, steps)
+        reader, trainer = Reader(counts, counts.vocabulary), Trainer(start, rate, lanes, steps)
         for _, texts in _chunks(batches):
             trainer.learn([reader.ids_of(reader.places_of(tokens(t))) for t in texts])
         if trainer.seen:
@@ -216,7 +216,6 @@ _SCORED = "row_no long, doc_id {id}, held_out boolean, n_tokens long, n_known lo
 def _score_rows(docs: DataFrame, counts: Counts, net: Net) -> DataFrame:
     """Every row of (doc_id, held_out, text) with its score so far, and the tokens that aren't frequent."""
     schema = _SCORED.format(id=docs.schema["doc_id"].dataType.simpleString())
-    rest_type = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, row_no = Reader(counts), TaskContext.get().partitionId() << 40
@@ -224,18 +223,21 @@ def _score_rows(docs: DataFrame, counts: Counts, net: Net) -> DataFrame:
         share[: counts.vocabulary] = 0.0
         end = np.log10(counts.base_of(counts.ends))
         for part, texts in _chunks(batches):
-            ids, rows = [], []
+            ids, rows, rest, times, edges = [], [], [], [], [0]
             for text in texts:
                 found = tokens(text)
                 places = reader.places_of(found)
                 head = places[places >= 0]
-                rest = Counter(key(found[i]) for i in np.flatnonzero(places < 0).tolist())
+                seldom = Counter([key(found[i]) for i in np.flatnonzero(places < 0).tolist()])
+                rest.extend(seldom)
+                times.extend(seldom.values())
+                edges.append(len(rest))
                 ids.append(reader.ids_of(places))
-                rows.append((len(found) + 1, len(head) + (counts.ends > 0), float(base[head].sum()) + end, float(share[head].sum()), [{"token": t, "n": n} for t, n in rest.items()]))
+                rows.append((len(found) + 1, len(head) + (counts.ends > 0), float(base[head].sum()) + end, float(share[head].sum())))
             score = log_probs(net, ids) / np.log(10) + np.array([r[3] for r in rows])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row_no, row_no + len(rows)), pa.int64()), part.column("doc_id"), part.column("held_out"),
-                 *(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)), pa.array([r[2] for r in rows], pa.float64()), pa.array(score), pa.array([r[4] for r in rows], rest_type)],
+                 *(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)), pa.array([r[2] for r in rows], pa.float64()), pa.array(score), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(times, pa.int32())], ["token", "n"]))],
                 names=[part.split()[0] for part in schema.split(", ")])
             row_no += len(rows)
 
