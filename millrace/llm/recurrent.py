@@ -242,12 +242,18 @@ def log_probs(net: Net, texts: list[np.ndarray], lanes: int = 256, steps: int =
     return dealt.gather(logs)
 
 
+#: Tokens learned until windows grow, and their (lanes, steps): small steps first, cheaper windows later.
+GROWTH = ((0, (64, 32)), (500_000, (128, 64)))
+#: Tokens after which a text's learning goes on in another lane, so that no lane is left alone with it.
+PIECE = 1024
+
+
 class Trainer:
     """Truncated backpropagation with one adaptive step (Adagrad) a window."""
 
-    def __init__(self, net: Net, rate: float = 0.2, lanes: int = 128, steps: int = 64):
+    def __init__(self, net: Net, rate: float = 0.3, growth: tuple = GROWTH):
         self.net = Net(net.shape, net.flat.copy())
-        self.rate, self.lanes, self.steps = np.float32(rate), lanes, steps
+        self.rate, self.growth = np.float32(rate), growth
         self.squares = np.full_like(net.flat, 0.1)
         self.seen = 0
 
@@ -255,14 +261,16 @@ class Trainer:
         """One pass over some texts; the loss in natural logarithms."""
         if not texts:
             return 0.0
-        dealt, total = Lanes(texts, self.lanes), 0.0
+        texts = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
+        lanes, steps = [size for least, size in self.growth if self.seen >= least][-1]
+        dealt, total = Lanes(texts, lanes), 0.0
         state = np.zeros((self.net.shape.hidden, len(dealt.loads)), np.float32)
-        for _, before, targets, real in dealt.windows(self.steps):
+        for _, before, targets, real in dealt.windows(steps):
             loss, grad, state = window_gradient(self.net, before, targets, real, state[:, : before.shape[1]])
             total += loss
-            count = int(real.sum())
-            self.seen += count
-            grad.flat *= np.float32(np.sqrt(count) / count)
+            self.seen += int(real.sum())
+            # by the size of a full window: the last lanes, alone with long texts, move little
+            grad.flat *= np.float32(1 / np.sqrt(lanes * steps))
             self.squares += grad.flat * grad.flat
             self.net.flat -= self.rate * grad.flat / np.sqrt(self.squares)
         return total

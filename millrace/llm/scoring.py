@@ -167,7 +167,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch.slice(at), texts[at:]
 
 
-def train(docs: DataFrame, counts: Counts, text_col: str = "text", rate: float = 0.2, lanes: int = 128, steps: int = 64) -> Net:
+def train(docs: DataFrame, counts: Counts, text_col: str = "text", rate: float = 0.3) -> Net:
     """The model after one pass over all documents.
 
     Every task starts from the same weights, whose biases are the corpus's shares, and learns from
@@ -177,7 +177,7 @@ def train(docs: DataFrame, counts: Counts, text_col: str = "text", rate: float =
     start = counts.start()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, trainer = Reader(counts, counts.vocabulary), Trainer(start, rate, lanes, steps)
+        reader, trainer = Reader(counts, counts.vocabulary), Trainer(start, rate)
         for _, texts in _chunks(batches):
             trainer.learn([reader.ids_of(reader.places_of(tokens(t))) for t in texts])
         if trainer.seen:
