@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import digest, sigmoid
+from millrace.functions.scalars import digest, sigmoid, text_of
 from millrace.operators.constraints import require_none
 from millrace.operators.graph import token_components
 from millrace.operators.metrics import areas_by_method, calibration, curve_metrics, robust_logits, threshold_table
+from millrace.plans.durable import cut
 
 
 def align(left: DataFrame, right: DataFrame, key: str, identity: list[str], values: list[str]) -> DataFrame:
@@ -158,40 +159,44 @@ RUNS = 256
 
 
 def cluster_draws(roots: DataFrame, repeats: int, seed: str) -> DataFrame:
-    """(root, replicate, times): clusters drawn with replacement, as many as there are, by hashes.
+    """(domain, root, replicate, times): in each domain as many of its clusters as there are, drawn with
+    replacement by hashes. Rows of a domain with fewer than two clusters are an error when read.
 
-    A draw is a slot of the clusters, which are numbered from 0 in the order of hashed runs and of names
-    in these.
+    A draw is a slot of the domain's clusters, which are numbered from 0 in the order of hashed runs and
+    of names in these.
     """
-    names = roots.select("root").distinct().withColumn("run", F.conv(F.substring(digest("root"), 1, 2), 16, 10).cast("int"))
-    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # one row for each run
-    counts = names.groupBy("run").agg(F.count(F.lit(1)).alias("k"))
-    starts = counts.select("run", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"), F.sum("k").over(Window.partitionBy()).alias("size"))
-    inside = F.row_number().over(Window.partitionBy("run").orderBy("root"))
-    slots = names.withColumn("no", inside - 1).join(F.broadcast(starts), "run").select("root", (F.col("start") + F.col("no")).alias("slot"), "size")
-    turns = slots.select("size", F.col("slot").alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("replicate"))
-    pick = F.pmod(F.conv(F.substring(digest(F.lit(seed), F.col("replicate"), F.col("turn")), 1, 12), 16, 10).cast("long"), F.col("size"))
-    drawn = turns.select(pick.alias("slot"), "replicate").groupBy("slot", "replicate").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    return drawn.join(slots.select("root", "slot"), "slot").select("root", "replicate", "times")
+    names = roots.select("domain", "root").distinct().withColumn("run", F.conv(F.substring(digest("domain", "root"), 1, 2), 16, 10).cast("int"))
+    all_runs = Window.partitionBy("domain")  # one row for each of a domain's 256 runs at most
+    before = all_runs.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    counts = names.groupBy("domain", "run").agg(F.count(F.lit(1)).alias("k"))
+    few = F.raise_error(F.concat(F.lit("a bootstrap needs two independent groups of sources at least; there is one in "), F.col("domain"))).cast("long")
+    starts = counts.select("domain", "run", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"), F.sum("k").over(all_runs).alias("k")).select(
+        "domain", "run", "start", F.when(F.col("k") > 1, F.col("k")).otherwise(few).alias("size"))
+    inside = F.row_number().over(Window.partitionBy("domain", "run").orderBy("root"))
+    slots = names.withColumn("no", inside - 1).join(starts, ["domain", "run"]).select("domain", "root", (F.col("start") + F.col("no")).alias("slot"), "size")
+    turns = slots.select("domain", "size", F.col("slot").alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("replicate"))
+    pick = F.pmod(F.conv(F.substring(digest(F.lit(seed), "domain", "replicate", "turn"), 1, 12), 16, 10).cast("long"), F.col("size"))
+    drawn = turns.select("domain", pick.alias("slot"), "replicate").groupBy("domain", "slot", "replicate").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    return drawn.join(slots.select("domain", "root", "slot"), ["domain", "slot"]).select("domain", "root", "replicate", "times")
 
 
 def _dense_draws(draws: DataFrame, repeats: int) -> DataFrame:
-    """(root, times): a cluster's number of draws in every replicate, a byte each, and first the 1 that it
-    has in the table itself."""
+    """(domain, root, times): a cluster's number of draws in every replicate, a byte each, and first the 1
+    that it has in the table itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             which, times = (lists.flatten().field(i).to_numpy() for i in range(2))
             if len(times) and times.max() > 255:
                 raise ValueError("a cluster was drawn more than 255 times in a replicate")
             dense = np.zeros((batch.num_rows, repeats + 1), np.uint8)
             dense[:, 0] = 1
             dense[np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()), which + 1] = times
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in dense], pa.binary())], names=["root", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in dense], pa.binary())], names=["domain", "root", "times"])
 
-    listed = draws.groupBy("root").agg(F.collect_list(F.struct("replicate", "times")).alias("draws"))  # one for each replicate at most
-    return listed.mapInArrow(run, "root string, times binary")
+    listed = draws.groupBy("domain", "root").agg(F.collect_list(F.struct("replicate", "times")).alias("draws"))  # one for each replicate at most
+    return listed.mapInArrow(run, "domain string, root string, times binary")
 
 
 #: Rows whose vectors of replicates are held at once.
@@ -275,59 +280,90 @@ def _won_pairs(repeats: int):
     return run
 
 
-def _replicates(key: tuple, table: pa.Table) -> pa.Table:
-    """(domain, replicate, diff): macro difference of the areas in every replicate in which all methods
-    have both classes, from the runs of one domain; replicate -1 is the table itself."""
-    areas: dict[tuple[str, str], np.ndarray] = {}
-    for model in ("base", "candidate"):
-        rows = sorted((r for r in table.to_pylist() if r["model"] == model), key=lambda r: r["run"])
-        read = lambda r, c: np.frombuffer(r[c], np.float64)
-        below, won, fakes = 0.0, {}, {}
-        for run in sorted({r["run"] for r in rows}):
-            mine = [r for r in rows if r["run"] == run]
-            for r in mine:
-                if r["slice_method"] is not None:
-                    won[r["slice_method"]] = won.get(r["slice_method"], 0.0) + read(r, "won") + below * read(r, "p")
-                    fakes[r["slice_method"]] = fakes.get(r["slice_method"], 0.0) + read(r, "p")
-            below = below + sum(read(r, "n") for r in mine)
-        for m in won:
-            with np.errstate(invalid="ignore", divide="ignore"):
-                areas[m, model] = np.where((fakes[m] > 0) & (below > 0), won[m] / (fakes[m] * below), np.nan)
-    methods = sorted({m for m, _ in areas})
-    diff = sum(areas[m, "candidate"] - areas[m, "base"] for m in methods) / len(methods) if methods else np.empty(0)
+def _vector(column: pa.ChunkedArray, i: int) -> np.ndarray:
+    return np.frombuffer(column[i].as_py(), np.float64)
+
+
+def _reals_below(key: tuple, table: pa.Table) -> pa.Table:
+    """(domain, model, run, below, reals): for each run of one domain and model the reals of the runs before
+    it, and of all, in every replicate."""
+    order = np.argsort(table["run"].to_numpy(), kind="stable").tolist()
+    counts = np.stack([_vector(table["n"], i) for i in order])
+    below = np.cumsum(counts, axis=0) - counts
+    reals = counts.sum(axis=0).tobytes()
+    return pa.table({"domain": table["domain"], "model": table["model"], "run": table["run"].take(pa.array(order)),
+                     "below": pa.array([x.tobytes() for x in below], pa.binary()), "reals": pa.array([reals] * len(order), pa.binary())})
+
+
+def _method_areas(key: tuple, table: pa.Table) -> pa.Table:
+    """The area of one domain, model and method in every replicate; missing where a class is."""
+    n = table.num_rows
+    fakes = sum(_vector(table["p"], i) for i in range(n))
+    won = sum(_vector(table["won"], i) + _vector(table["below"], i) * _vector(table["p"], i) for i in range(n))
+    reals = _vector(table["reals"], 0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        area = np.where((fakes > 0) & (reals > 0), won / (fakes * reals), np.nan)
+    return pa.table({"domain": table["domain"][:1], "model": table["model"][:1], "slice_method": table["slice_method"][:1], "area": pa.array([area.tobytes()], pa.binary())})
+
+
+def _macro_differences(key: tuple, table: pa.Table) -> pa.Table:
+    """(domain, replicate, diff): difference of the mean areas of one domain in every replicate in which all
+    methods have both classes; replicate -1 is the table itself."""
+    sides = {model: np.mean([_vector(table["area"], i) for i, m in enumerate(table["model"].to_pylist()) if m == model], axis=0) for model in ("base", "candidate")}
+    diff = sides["candidate"] - sides["base"]
     good = np.flatnonzero(~np.isnan(diff))
     return pa.table({"domain": pa.array([key[0].as_py()] * len(good), pa.string()), "replicate": pa.array(good - 1, pa.int64()), "diff": pa.array(diff[good])})
 
 
 def bootstrap_difference(videos: DataFrame, base: str, candidate: str, method: str, domain: str, tokens: str, repeats: int, seed: str, label: str = "label") -> DataFrame:
-    """(domain, diff, low, high, valid, clear): difference of macro areas, with the interval of a
-    bootstrap over lineage clusters.
+    """(domain, diff, low, high, valid, clear): difference of macro areas in each domain, with the interval
+    of a bootstrap over its lineage clusters.
+
+    Clusters are the components of rows of one domain that share tokens, and a replicate draws as many of
+    them as the domain has. These are errors when a row of the domain is read: a row without a token, or
+    without one of both scores; fewer than two clusters; a missing class of a method in the table itself;
+    fewer than half of the replicates valid. A replicate is valid if each method has both classes in it.
+    The interval's ends are order statistics.
 
     Rows are never repeated: a cluster's draws in all replicates are one vector, and the rows of equal
     cluster, class and score are summed first. Each range of scores is read in order and gives its won
-    pairs of all replicates at once, and a domain's ranges are added up. A replicate counts if each method has both
-    classes in it; fewer than half in a domain are an error when its row is read. The interval's ends
-    are order statistics.
+    pairs of all replicates at once; the reals of the ranges before are added by domain and model, then
+    areas by method, then their mean, so a group is a few hundred vectors at most.
     """
-    keyed = videos.withColumn("row_key", F.monotonically_increasing_id() if "row_key" not in videos.columns else F.col("row_key"))
-    roots = token_components(keyed, "row_key", tokens)
-    models = F.explode(F.create_map(F.lit("base"), base, F.lit("candidate"), candidate)).alias("model", "score")
-    rows = keyed.join(roots, "row_key").select("root", F.col(domain).alias("domain"), F.when(F.col(label) == 1, F.col(method)).alias("method"), F.col(label).alias("label"), models)
+    place = text_of(domain)
+    without = F.raise_error(F.concat(F.lit("a bootstrap needs the lineage of each row; there is none for one in "), place)).cast("array<string>")
+    unscored = F.raise_error(F.concat(F.lit("a bootstrap needs both models' scores of each row; one lacks in "), place)).cast("double")
+    named = F.filter(F.coalesce(F.col(tokens), F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != ""))
+    keyed = videos.select(
+        "*", place.alias("boot_domain"), F.when(F.size(named) > 0, F.transform(named, lambda t: F.concat(place, F.lit("\0"), t))).otherwise(without).alias("boot_tokens"))
+    keyed = keyed.select(
+        "boot_domain", "boot_tokens", F.col(method).alias("method"), F.col(label).alias("label"), *(F.coalesce(F.col(c).cast("double"), unscored).alias(n) for c, n in ((base, "base"), (candidate, "candidate"))))
+    roots = token_components(keyed.select("boot_tokens").distinct(), "boot_tokens", "boot_tokens")
+    scored = F.explode(F.create_map(F.lit("base"), "base", F.lit("candidate"), "candidate")).alias("model", "score")
+    rows = keyed.join(roots, "boot_tokens").select(
+        "root", F.col("boot_domain").alias("domain"), F.when(F.col("label") == 1, F.col("method")).alias("method"), "label", scored)
     counted = rows.groupBy("domain", "model", "root", "method", "label", "score").agg(F.count(F.lit(1)).cast("double").alias("k"))
-    draws = _dense_draws(cluster_draws(roots, repeats, seed), repeats)
+    clusters = roots.select(F.substring_index("root", "\0", 1).alias("domain"), "root")
+    draws = _dense_draws(cluster_draws(clusters, repeats, seed), repeats)
     # rows of one score are of one range, whose bounds Spark finds from a sample of the scores
-    ranged = counted.join(draws, "root").select("domain", "model", "score", "method", "label", "k", "times").repartitionByRange(
+    ranged = counted.join(draws, ["domain", "root"]).select("domain", "model", "score", "method", "label", "k", "times").repartitionByRange(
         min(RUNS, int(videos.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "domain", "model", "score").sortWithinPartitions("domain", "model", "score")
-    parts = ranged.mapInArrow(_won_pairs(repeats), "domain string, model string, run double, slice_method string, won binary, p binary, n binary")
-    again = parts.groupBy("domain").applyInArrow(_replicates, "domain string, replicate long, diff double")  # at most RUNS rows for each method and model
+    parts = cut(ranged.mapInArrow(_won_pairs(repeats), "domain string, model string, run double, slice_method string, won binary, p binary, n binary"))
+    below = parts.where(F.col("slice_method").isNull()).groupBy("domain", "model").applyInArrow(_reals_below, "domain string, model string, run double, below binary, reals binary")
+    areas = parts.where(F.col("slice_method").isNotNull()).join(below, ["domain", "model", "run"]).groupBy("domain", "model", "slice_method").applyInArrow(
+        _method_areas, "domain string, model string, slice_method string, area binary")
+    again = areas.groupBy("domain").applyInArrow(_macro_differences, "domain string, replicate long, diff double")  # two vectors a method
     ends = again.groupBy("domain").agg(
         F.max(F.when(F.col("replicate") == -1, F.col("diff"))).alias("diff"),
         F.array_sort(F.collect_list(F.when(F.col("replicate") >= 0, F.col("diff")))).alias("d"))  # one value for each replicate
-    valid = F.size("d").cast("long")
-    low = F.element_at("d", (F.floor(F.lit(0.025) * (valid - 1)) + 1).cast("int"))
-    high = F.element_at("d", (F.ceil(F.lit(0.975) * (valid - 1)) + 1).cast("int"))
+    asked = counted.select("domain").distinct().join(ends, "domain", "left")
+    valid = F.size(F.coalesce("d", F.array().cast("array<double>"))).cast("long")
+    low = F.get("d", F.floor(F.lit(0.025) * (valid - 1)).cast("int"))
+    high = F.get("d", F.ceil(F.lit(0.975) * (valid - 1)).cast("int"))
+    lacking = F.raise_error(F.concat(F.lit("a method lacks reals or fakes in "), F.col("domain")))
     few = F.raise_error(F.concat(F.lit("too few valid bootstrap replicates in "), F.col("domain")))
-    checked = ends.where(F.col("diff").isNotNull()).withColumn("valid", F.when(valid >= repeats // 2, valid).otherwise(few.cast("long")))
+    checked = asked.withColumn("diff", F.when(F.col("diff").isNotNull(), F.col("diff")).otherwise(lacking.cast("double"))).withColumn(
+        "valid", F.when(valid >= repeats // 2, valid).otherwise(few.cast("long")))
     return checked.select("domain", "diff", low.alias("low"), high.alias("high"), "valid", ((F.col("diff") >= 0.05) & (low > 0)).alias("clear"))
 
 

@@ -615,18 +615,19 @@ def q_decision_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 BOOTSTRAP = f"""{VIDEOS},
-  tokens AS (SELECT DISTINCT list_min(lineage) AS a, unnest(lineage) AS b FROM videos),
+  tokens AS (SELECT DISTINCT domain || chr(0) || list_min(lineage) AS a, domain || chr(0) || unnest(lineage) AS b FROM videos),
   both_ways AS (SELECT a, b FROM tokens UNION SELECT b, a FROM tokens),
   reach AS (SELECT b AS node, b AS label FROM both_ways UNION SELECT e.b, r.label FROM reach r JOIN both_ways e ON r.node = e.a),
   roots AS (SELECT node, min(label) AS root FROM reach GROUP BY ALL),
-  slots AS (SELECT root, row_number() OVER (ORDER BY substr(sha256(root), 1, 2), root) - 1 AS slot, count(*) OVER () AS size FROM (SELECT DISTINCT root FROM roots)),
-  picks AS (SELECT i AS replicate, ('0x' || substr(sha256('boot-v1' || chr(0) || i || chr(0) || slot), 1, 12))::BIGINT % size AS slot FROM slots, range(2000) t(i)),
-  draws AS (SELECT replicate, root, count(*) AS times FROM picks JOIN slots USING (slot) GROUP BY ALL),
+  slots AS (SELECT domain, root, row_number() OVER (PARTITION BY domain ORDER BY substr(sha256(domain || chr(0) || root), 1, 2), root) - 1 AS slot, count(*) OVER (PARTITION BY domain) AS size
+    FROM (SELECT DISTINCT split_part(root, chr(0), 1) AS domain, root FROM roots)),
+  picks AS (SELECT domain, i AS replicate, ('0x' || substr(sha256('boot-v1' || chr(0) || domain || chr(0) || i || chr(0) || slot), 1, 12))::BIGINT % size AS slot FROM slots, range(2000) t(i)),
+  draws AS (SELECT replicate, root, count(*) AS times FROM picks JOIN slots USING (domain, slot) GROUP BY ALL),
   draws0 AS (SELECT * FROM draws UNION ALL SELECT -1, root, 1 FROM slots),
   vm AS (SELECT DISTINCT domain, method AS slice_method FROM videos WHERE label = 1),
   vp AS (SELECT *, method AS slice_method FROM videos WHERE label = 1 UNION ALL SELECT v.*, m.slice_method FROM videos v JOIN vm m ON v.domain = m.domain WHERE v.label = 0),
   rows0 AS (SELECT replicate, times, domain, slice_method, label, unnest(['base', 'candidate']) AS model, unnest([base, candidate]) AS score
-    FROM vp JOIN roots ON node = list_min(lineage) JOIN draws0 USING (root)){curve('rows0', 'replicate, domain, slice_method, model', 'times')},
+    FROM vp JOIN roots ON node = domain || chr(0) || list_min(lineage) JOIN draws0 USING (root)){curve('rows0', 'replicate, domain, slice_method, model', 'times')},
   areas AS (SELECT replicate, domain, slice_method, model, CASE WHEN max(p) > 0 AND max(n) > 0 THEN {AUROC} END AS a FROM curve GROUP BY ALL),
   sides AS (SELECT replicate, domain, slice_method, max(a) FILTER (model = 'base') AS b, max(a) FILTER (model = 'candidate') AS c FROM areas GROUP BY ALL),
   macros AS (SELECT replicate, domain, avg(c) - avg(b) AS diff, count(b) AS methods FROM sides GROUP BY ALL),
@@ -638,8 +639,7 @@ BOOTSTRAP = f"""{VIDEOS},
 SELECT domain, round(diff, 6) AS diff, round(d[floor(0.025 * (valid - 1))::INT + 1], 6) AS low, round(d[ceil(0.975 * (valid - 1))::INT + 1], 6) AS high, valid,
   diff >= 0.05 AND d[floor(0.025 * (valid - 1))::INT + 1] > 0 AS clear FROM macros JOIN ends USING (domain) WHERE replicate = -1""")
 def q_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    rows = videos(spark, d).withColumn("row_key", F.concat_ws("/", "method", F.col("video").cast("string")))
-    return rounded(fusion.bootstrap_difference(rows, "base", "candidate", "method", "domain", "lineage", 2000, "boot-v1"), "diff", "low", "high")
+    return rounded(fusion.bootstrap_difference(videos(spark, d), "base", "candidate", "method", "domain", "lineage", 2000, "boot-v1"), "diff", "low", "high")
 
 
 @query(f"""WITH {FRAMES}, x AS (SELECT k % 3 AS seed, domain, avg(score) FILTER (label = 1) - avg(score) FILTER (label = 0) AS diff FROM frames GROUP BY ALL),

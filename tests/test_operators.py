@@ -296,39 +296,57 @@ def test_bootstrap_of_equal_models_is_zero(spark):
     assert (r.diff, r.low, r.high, r.clear) == (0.0, 0.0, 0.0, False) and r.valid > 0
 
 
+BOOT = "domain string, method string, label int, lineage array<string>, base double, candidate double"
+
+
 def test_bootstrap_against_brute_force(spark):
-    """Every replicate by hand: draws by the same hashes, areas by comparing all pairs of a method."""
+    """Every replicate by hand: each domain's own components and draws, areas by comparing all pairs of a
+    method. Both domains know the tokens s0..s24, and a row of cdf joins two that ff keeps apart."""
     rng, names, repeats = np.random.default_rng(6), ["real", "a", "b"], 60
-    rows = []
+    rows = [("cdf", "a", 1, ["s3", "", "s4"], 0.5, 0.25), ("cdf", "real", 0, ["s4", "s5", None], 0.5, 0.75)]
     for i in range(140):
         m = names[int(rng.integers(3))]
-        rows.append((f"r{i}", "ff" if i % 3 else "cdf", m, int(m != "real"), [f"s{int(rng.integers(25))}"], float(rng.integers(0, 12)) / 12, float(rng.integers(0, 12)) / 12))
-    df = spark.createDataFrame(rows, "row_key string, domain string, method string, label int, lineage array<string>, base double, candidate double")
-    roots = sorted({r[4][0] for r in rows}, key=lambda x: (hashlib.sha256(x.encode()).hexdigest()[:2], x))
+        rows.append(("ff" if i % 3 else "cdf", m, int(m != "real"), [f"s{int(rng.integers(25))}"], float(rng.integers(0, 12)) / 12, float(rng.integers(0, 12)) / 12))
+    got = {r.domain: r for r in fusion.bootstrap_difference(spark.createDataFrame(rows, BOOT), "base", "candidate", "method", "domain", "lineage", repeats, "s").collect()}
     sha = lambda *x: hashlib.sha256("\0".join(map(str, x)).encode()).hexdigest()
+    assert set(got) == {"ff", "cdf"}
+    for domain in got:
+        own = [(m, y, "s3" if domain == "cdf" and t[0] in ("s4", "s5") else t[0], a, b) for d, m, y, t, a, b in rows if d == domain]
+        roots = sorted({r[2] for r in own}, key=lambda x: (sha(domain, domain + "\0" + x)[:2], x))
+
+        def macro(weight, side):
+            out = []
+            for m in ("a", "b"):
+                pairs = [(weight[p[2]] * weight[n[2]], p[side], n[side]) for p in own if p[0] == m for n in own if n[1] == 0]
+                total = sum(w for w, *_ in pairs)
+                if not total:
+                    return None
+                out.append(sum(w * ((a > b) + (a == b) / 2) for w, a, b in pairs) / total)
+            return sum(out) / 2
 
-    def macro(weight, domain, side):
-        out = []
-        for m in ("a", "b"):
-            pairs = [(weight[p[4][0]] * weight[n[4][0]], p[side], n[side]) for p in rows if p[1] == domain and p[2] == m for n in rows if n[1] == domain and n[3] == 0]
-            total = sum(w for w, *_ in pairs)
-            if not total:
-                return None
-            out.append(sum(w * ((a > b) + (a == b) / 2) for w, a, b in pairs) / total)
-        return sum(out) / 2
-
-    for domain in ("ff", "cdf"):
         diffs = []
         for i in range(repeats):
-            picks = Counter(roots[int(sha("s", i, slot)[:12], 16) % len(roots)] for slot in range(len(roots)))
-            a, b = (macro(picks, domain, side) for side in (5, 6))
+            picks = Counter(roots[int(sha("s", domain, i, slot)[:12], 16) % len(roots)] for slot in range(len(roots)))
+            a, b = (macro(picks, side) for side in (3, 4))
             if a is not None and b is not None:
                 diffs.append(b - a)
         diffs.sort()
         one = Counter({r: 1 for r in roots})
-        got = fusion.bootstrap_difference(df, "base", "candidate", "method", "domain", "lineage", repeats, "s").where(F.col("domain") == domain).first()
-        want = (macro(one, domain, 6) - macro(one, domain, 5), diffs[math.floor(0.025 * (len(diffs) - 1))], diffs[math.ceil(0.975 * (len(diffs) - 1))])
-        assert got.valid == len(diffs) and np.allclose((got.diff, got.low, got.high), want, atol=1e-12)
+        want = (macro(one, 4) - macro(one, 3), diffs[math.floor(0.025 * (len(diffs) - 1))], diffs[math.ceil(0.975 * (len(diffs) - 1))])
+        assert got[domain].valid == len(diffs) and np.allclose((got[domain].diff, got[domain].low, got[domain].high), want, atol=1e-12)
+
+
+@pytest.mark.parametrize("spoil, told", [
+    (lambda r: (*r[:3], [], *r[4:]), "needs the lineage"), (lambda r: (*r[:3], None, *r[4:]), "needs the lineage"),
+    (lambda r: (*r[:5], None), "both models' scores"), (lambda r: (*r[:3], ["s0"], *r[4:]), "two independent groups"),
+    (lambda r: (r[0], "a", 1, *r[3:]), "lacks reals or fakes"),
+])
+def test_bootstrap_refuses(spark, spoil, told):
+    """What spoils the result of ff leaves cdf's row readable only if that is alone."""
+    rows = [("ff", m, int(m != "real"), [f"s{g}"], g / 8, g / 9) for g in range(8) for m in ("real", "a")]
+    spoilt = [spoil(r) for r in rows] if told[:3] in ("two", "lac") else [spoil(rows[0]), *rows[1:]]
+    with pytest.raises(Exception, match=told):
+        fusion.bootstrap_difference(spark.createDataFrame(spoilt, BOOT), "base", "candidate", "method", "domain", "lineage", 30, "s").collect()
 
 
 def test_won_pairs_over_batches(monkeypatch):
