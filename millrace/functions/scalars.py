@@ -96,17 +96,22 @@ def identity_tokens(name: Column) -> Column:
 
 
 def lineage_tokens(domain: Column, video: Column, explicit: Column) -> Column:
-    """Sorted distinct ``domain:token``: an explicit pipe list, else the parts of an ``ff`` video,
-    else the video itself."""
-    parts = F.when(text_of(explicit) != "", F.split(explicit, r"\|")).when(domain == "ff", F.split(video, "_")).otherwise(F.array(video))
+    """Sorted distinct ``domain:token``: an explicit pipe list, its parts trimmed, else the parts of an
+    ``ff`` video, else the video itself. White space alone is no list."""
+    listed = F.transform(F.split(F.trim(text_of(explicit)), r"\|"), lambda t: F.trim(t))
+    parts = F.when(F.trim(text_of(explicit)) != "", listed).when(domain == "ff", F.split(video, "_")).otherwise(F.array(video))
     return F.array_sort(F.array_distinct(F.transform(F.filter(parts, lambda t: t != ""), lambda t: F.concat(domain, F.lit(":"), t))))
 
 
 def source_entities(domain: Column, video: Column) -> Column:
-    """Who is in a video: identity tokens of ``cdf``, one or two leading numbers of ``ff``, else itself."""
-    numbers = F.filter(F.array(F.regexp_extract(video, r"^(\d+)", 1), F.regexp_extract(video, r"^\d+_(\d+)", 1)), lambda t: t != "")
-    entities = F.when(domain == "cdf", identity_tokens(video)).when((domain == "ff") & (F.size(numbers) > 0), numbers).otherwise(F.array(video))
-    return F.transform(entities, lambda t: F.concat(domain, F.lit(":"), t))
+    """Who is in a video, by its name without the domain: identity tokens of ``cdf``, which may be none;
+    one or two leading numbers of ``ff``, or else the video itself; any other domain's video itself."""
+    prefix = F.concat(domain, F.lit(":"))
+    name = F.when(F.startswith(video, prefix), F.substring(video, F.char_length(prefix) + 1, F.char_length(video))).otherwise(video)
+    numbers = F.filter(F.array(F.regexp_extract(name, r"^(\d+)", 1), F.regexp_extract(name, r"^\d+_(\d+)", 1)), lambda t: t != "")
+    alone = F.array(F.when(domain == "ff", F.concat(F.lit("video:"), name)).otherwise(name))
+    entities = F.when(domain == "cdf", F.array_sort(identity_tokens(name))).when((domain == "ff") & (F.size(numbers) > 0), numbers).otherwise(alone)
+    return F.transform(entities, lambda t: F.concat(prefix, t))
 
 
 def even_positions(n: Column, limit: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import catalog, fusion, gates, sampling
+from millrace.operators import catalog, fusion, gates, partition, sampling
 from millrace.plans.catalogue import DECIDED, decided, query, rounded
 from millrace.plans.views import AUROC, FRAMES, SAMPLES, curve, frames, samples, table
 
@@ -163,3 +163,43 @@ def q_external_report(spark: SparkSession, d: str) -> DataFrame:
     rows = others.unionByName(called.where("bundle = 'view'").crossJoin(F.broadcast(names)).withColumn("bundle", F.col("name")).drop("name"))
     held = spark.range(7).select(F.concat(F.lit("u"), "id").alias("identity"))
     return rounded(fusion.external_report(rows, held), "auroc", "average_precision", "tpr_at_fpr", "brier", "ece")
+
+
+# picks of an unseen-method protocol, over the users' frames as videos of two entities each
+
+UNSEEN = partition.PartitionSpec(
+    "unseen-v1", {"train": ["click", "purchase"], "validation": ["signup"], "test": ["error"]},
+    {"test": {"ff": 6, "cdf": 4}, "validation": {"ff": 5, "cdf": 3}, "train": {"ff": 12}})
+
+
+@query(f"""WITH RECURSIVE {FRAMES},
+  vids AS (SELECT DISTINCT domain, CASE label WHEN 1 THEN method ELSE '' END AS method, CASE label WHEN 1 THEN 'FAKE' ELSE 'REAL' END AS label, video::VARCHAR AS video,
+    list_sort(list_distinct(['e' || (video // 24 * 12 + video % 24 // 2), 'e' || (video // 24 * 12 + (video * 5 + 3) % 12)])) AS entities FROM frames),
+  cells AS (SELECT * FROM (VALUES (1, 'test', 'FAKE', 'error', 'ff', 6), (2, 'test', 'FAKE', 'error', 'cdf', 4), (3, 'validation', 'FAKE', 'signup', 'ff', 5), (4, 'validation', 'FAKE', 'signup', 'cdf', 3),
+    (5, 'train', 'FAKE', 'click', 'ff', 12), (6, 'train', 'FAKE', 'purchase', 'ff', 12), (7, 'test', 'REAL', '', 'ff', 6), (8, 'test', 'REAL', '', 'cdf', 4),
+    (9, 'validation', 'REAL', '', 'ff', 5), (10, 'validation', 'REAL', '', 'cdf', 3), (11, 'train', 'REAL', '', 'ff', 24)) t(stage, split, label, method, domain, quota)),
+  turns AS (SELECT row_number() OVER (ORDER BY stage, i) AS p, stage, split, label, method, domain FROM (SELECT *, unnest(range(quota)) AS i FROM cells)),
+  able AS (SELECT stage, v.domain || '/' || v.method || '/' || v.video AS name, v.*, split,
+    sha256('unseen-v1' || chr(0) || CASE v.label WHEN 'REAL' THEN 'real' || chr(0) || split ELSE split || chr(0) || v.method END || chr(0) || v.domain || chr(0) || v.video) AS hash,
+    list_transform(entities, lambda e: split || '|' || v.domain || '|' || e) AS own,
+    flatten(list_transform(list_filter(['test', 'validation', 'train'], lambda s: s <> split), lambda s: list_transform(entities, lambda e: s || '|' || v.domain || '|' || e))) AS foreigners
+    FROM vids v JOIN cells c ON c.label = v.label AND c.method = v.method AND c.domain = v.domain),
+  run AS (
+    SELECT 0::BIGINT AS p, []::VARCHAR[] AS owned, []::VARCHAR[] AS picked
+    UNION ALL
+    SELECT p, owned, picked FROM (
+      SELECT t.p, CASE WHEN a.name IS NULL THEN r.owned ELSE list_concat(r.owned, a.own) END AS owned, list_append(r.picked, coalesce(a.name, '')) AS picked,
+        row_number() OVER (ORDER BY a.name IS NULL, len(list_filter(a.own, lambda e: NOT list_contains(r.owned, e))), a.hash) AS best
+      FROM run r JOIN turns t ON t.p = r.p + 1 LEFT JOIN able a ON a.stage = t.stage AND NOT list_contains(r.picked, a.name) AND NOT list_has_any(r.owned, a.foreigners))
+    WHERE best = 1),
+  last AS (SELECT unnest(picked) AS name, unnest(range(1, len(picked) + 1)) AS p FROM run WHERE p = (SELECT max(p) FROM run))
+SELECT a.split, a.label, a.method, a.domain, a.video, array_to_string(a.entities, '|') AS entities, CAST(row_number() OVER (PARTITION BY a.stage ORDER BY p) AS INTEGER) AS pick
+FROM last JOIN turns USING (p) JOIN able a ON a.stage = turns.stage AND a.name = last.name""")
+def q_unseen_partition(spark: SparkSession, d: str) -> DataFrame:
+    video = F.col("video")
+    name = lambda n: F.concat(F.lit("e"), n.cast("long"))
+    block = F.floor(video / 24) * 12
+    rows = frames(spark, d).select(F.when(F.col("label") == 1, "FAKE").otherwise("REAL").alias("label"), F.col("method").alias("fake_method"), F.col("domain").alias("source_domain"),
+                                   video.cast("string").alias("video_id"), F.array(name(block + F.floor(video % 24 / 2)), name(block + (video * 5 + 3) % 12)).alias("entities"))
+    picked = partition.disjoint_partition(partition.candidates_of(rows, F.col("entities")), UNSEEN)
+    return picked.withColumn("entities", F.array_join("entities", "|"))
