@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.scalars import file_name, file_stem, file_suffix, unsafe_path
 from millrace.operators.constraints import ConstraintError, require_none
+from millrace.sources.archives import archive_members
+from millrace.sources.stores import file_digests
 
 PREDICTION = T.StructType([
     *(T.StructField(n, T.StringType()) for n in ("sample_id", "split", "video_id", "source_domain", "fake_method", "lineage_video_ids")),
@@ -88,19 +85,10 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 def read_zip_listing(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".png", ".jpg", ".jpeg")) -> DataFrame:
     """archive, member, size, crc of the members with a suffix; unsafe names are an error.
 
-    An archive is listed by one task; many are listed side by side.
+    Only an archive's directory is read, by one task; many are listed side by side.
     """
-
-    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    rows = [(archive, m.filename, m.file_size, m.CRC) for m in z.infolist() if not m.is_dir()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["archive", "member", "size", "crc"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    members = files.mapInArrow(listing, "archive string, member string, size long, crc long").where(file_suffix(F.col("member")).isin(*suffixes))
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("path").alias("name"))
+    members = archive_members(files).where(file_suffix(F.col("member")).isin(*suffixes)).select("archive", "member", "size", "crc")
     return members.withColumn("member", F.when(unsafe_path(F.col("member")), F.raise_error(F.concat(F.lit("unsafe member: "), "member")).cast("string")).otherwise(F.col("member")))
 
 
@@ -112,8 +100,7 @@ def read_file_index(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """path, size, sha256 of the files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return file_digests(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
