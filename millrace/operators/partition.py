@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from millrace.functions.scalars import digest, file_name, source_entities, text_of
 from millrace.operators.constraints import ConstraintError, require_none
 from millrace.operators.graph import components
-from millrace.plans.durable import cut
+from millrace.plans.durable import stored
 
 #: Candidates of a bucket, about; components are never torn, and one of more than MOST is an error.
 BUCKET, MOST = 20_000, 1_000_000
@@ -141,14 +141,14 @@ def disjoint_partition(candidates: DataFrame, spec: PartitionSpec) -> DataFrame:
     roots = components(links)
     found = rows.join(roots.withColumnRenamed("label", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     buckets = max(1, ceil(once.count() / BUCKET))
-    pool = cut(found.select("label", "method", "domain", "video", "entities", F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("bucket")))
+    pool = stored(found.select("label", "method", "domain", "video", "entities", F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("bucket")))
     out, owned = None, None
     for split, method, quotas in spec.stages:
         if quotas:
-            picks = cut(_stage(pool, owned, split, method, quotas, spec.seed))
+            picks = stored(_stage(pool, owned, split, method, quotas, spec.seed))
             out = picks if out is None else out.unionByName(picks)
             new = picks.select("domain", F.explode("entities").alias("entity"), "split").distinct()
-            owned = cut(new if owned is None else owned.unionByName(new).distinct())
+            owned = stored(new if owned is None else owned.unionByName(new).distinct())
             if method is None:  # a real belongs to one split
                 pool = pool.join(picks.select("label", "method", "domain", "video"), ["label", "method", "domain", "video"], "left_anti")
     return spark.createDataFrame([], PICKED) if out is None else out

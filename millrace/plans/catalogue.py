@@ -586,7 +586,15 @@ def q_complementarity(spark: SparkSession, d: str) -> DataFrame:
     return fusion.complementarity(frames(spark, d), "score", "score_b")
 
 
-@query()
+#: Newton steps from the start that the operator takes; the optimum doesn't depend on the way to it.
+@query(f"""WITH RECURSIVE {FRAMES},
+  steps AS (
+    SELECT 0 AS step, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b
+    UNION ALL
+    SELECT step + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+      SELECT step, a, b, sum((p - label) * x) AS ga, sum(p - label) AS gb, sum(p * (1 - p) * x * x) + 1e-9 AS haa, sum(p * (1 - p) * x) AS hab, sum(p * (1 - p)) + 1e-9 AS hbb
+      FROM (SELECT s.*, f.logit_a AS x, f.label, 1 / (1 + exp(-(s.a * f.logit_a + s.b))) AS p FROM steps s, frames f WHERE s.step < 20) GROUP BY ALL))
+SELECT round(a, 5) AS slope, round(b, 5) AS "offset" FROM steps WHERE step = 20""")
 def q_platt(spark: SparkSession, d: str) -> DataFrame:
     slope, offset = fusion.fit_platt(frames(spark, d), "logit_a")
     return spark.createDataFrame([(round(slope, 5), round(offset, 5))], "slope double, offset double")

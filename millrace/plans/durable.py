@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return a frame that reads it from there."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As ``cut``, by a Parquet table in the checkpoint folder. What is read back knows its size, so that small
+    tables are broadcast, and carries nothing of the plan that made it, which matters in long loops."""
+    path = f"{folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote, when nothing will read it again."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

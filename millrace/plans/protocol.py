@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import catalog, fusion, gates, partition, sampling
+from millrace.operators import bundles, catalog, fusion, gates, partition, sampling
 from millrace.plans.catalogue import DECIDED, decided, query, rounded
 from millrace.plans.views import AUROC, FRAMES, SAMPLES, curve, frames, samples, table
 
@@ -203,3 +203,66 @@ def q_unseen_partition(spark: SparkSession, d: str) -> DataFrame:
                                    video.cast("string").alias("video_id"), F.array(name(block + F.floor(video % 24 / 2)), name(block + (video * 5 + 3) % 12)).alias("entities"))
     picked = partition.disjoint_partition(partition.candidates_of(rows, F.col("entities")), UNSEEN)
     return picked.withColumn("entities", F.array_join("entities", "|"))
+
+
+# bundles fixed on one domain's videos, and decisions on media; three models are the frames' numbers modulo 3
+
+#: Newton steps for slope and offset from the group's odds; the optimum doesn't depend on the way to it.
+def newton(rows: str, keys: str) -> str:
+    return f"""
+  odds AS (SELECT {keys}, 0.0::DOUBLE AS a, ln(avg(label) / (1 - avg(label))) AS b FROM {rows} GROUP BY ALL),
+  steps AS (
+    SELECT 0 AS step, {keys}, a, b FROM odds
+    UNION ALL
+    SELECT step + 1, {keys}, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+      SELECT s.step, {keys}, s.a, s.b, sum((p - label) * x) AS ga, sum(p - label) AS gb, sum(p * (1 - p) * x * x) + 1e-9 AS haa, sum(p * (1 - p) * x) AS hab, sum(p * (1 - p)) + 1e-9 AS hbb
+      FROM (SELECT s.*, r.x, r.label, 1 / (1 + exp(-(s.a * r.x + s.b))) AS p FROM steps s JOIN {rows} r USING ({keys}) WHERE s.step < 30) s GROUP BY ALL)),
+  platt AS (SELECT {keys}, a AS slope, b AS "offset" FROM steps WHERE step = 30)"""
+
+
+BUNDLES = f"""{FRAMES},
+  ranked AS (SELECT k % 3 AS model, video, method, label, logit_a + CASE k % 3 WHEN 1 THEN logit_b / 4 ELSE 0 END AS x FROM frames WHERE domain = 'ff'),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY model, video, method, label ORDER BY x) AS r, count(*) OVER (PARTITION BY model, video, method, label) AS n FROM ranked),
+  v AS (SELECT model, video, method, label, ln(avg(1 / (1 + exp(-x))) / (1 - avg(1 / (1 + exp(-x))))) AS mean_probability, avg(x) AS mean, median(x) AS median,
+    avg(x) FILTER (r > floor(n * 0.2) AND r <= n - floor(n * 0.2)) AS trimmed, avg(x) FILTER (r > n - greatest(1, ceil(n * 0.25))) AS top_quarter FROM placed GROUP BY ALL),
+  each AS (SELECT model, method, label, unnest([0, 1, 2, 3, 4]) AS place, unnest(['mean_probability', 'mean', 'median', 'trimmed', 'top_quarter']) AS aggregation, unnest([mean_probability, mean, median, trimmed, top_quarter]) AS score FROM v),
+  paired AS (SELECT model, method AS slice_method, label, place, aggregation, score FROM each WHERE label = 1
+    UNION ALL SELECT model, m.method, label, place, aggregation, score FROM each JOIN (SELECT DISTINCT model, method FROM each WHERE label = 1) m USING (model) WHERE label = 0){curve('paired', 'model, place, aggregation, slice_method')},
+  macro AS (SELECT model, place, aggregation, avg(a) AS auroc FROM (SELECT model, place, aggregation, slice_method, {AUROC} AS a FROM curve GROUP BY ALL) GROUP BY ALL),
+  chosen AS (SELECT model, arg_min(aggregation, place) AS aggregation, arg_min(auroc, place) AS auroc FROM macro JOIN (SELECT model, max(auroc) AS best FROM macro GROUP BY ALL) USING (model) WHERE auroc >= best - 0.002 GROUP BY ALL),
+  summed AS (SELECT model, label, score AS x FROM each JOIN chosen USING (model, aggregation)),{newton('summed', 'model')},
+  called AS (SELECT model, label, 1 / (1 + exp(-(slope * x + "offset"))) AS score FROM summed JOIN platt USING (model)),
+  points AS (SELECT model, score, sum(label) OVER w AS tp, count(*) OVER w - sum(label) OVER w AS fp, sum(label) OVER (PARTITION BY model) AS p, count(*) OVER (PARTITION BY model) - sum(label) OVER (PARTITION BY model) AS n
+    FROM called WINDOW w AS (PARTITION BY model ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  best AS (SELECT model, arg_min(score, (-(tp * n - fp * p), score)) AS threshold, max(tp / p + 1 - fp / n) / 2 AS balanced_accuracy FROM points GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {BUNDLES}
+SELECT model, aggregation, round(auroc, 6) AS auroc, round(slope, 5) AS slope, round("offset", 5) AS "offset", round(threshold, 5) AS threshold, round(balanced_accuracy, 6) AS balanced_accuracy,
+  (SELECT count(*) FROM summed s WHERE s.model = chosen.model) AS videos FROM chosen JOIN platt USING (model) JOIN best USING (model)""")
+def q_bundles(spark: SparkSession, d: str) -> DataFrame:
+    rows = frames(spark, d).withColumn("model", F.col("k") % 3).withColumn("x", F.col("logit_a") + F.when(F.col("model") == 1, F.col("logit_b") / 4).otherwise(0))
+    fitted = bundles.fit_bundles(rows, ["model"], "x", "video", "method", "domain", "ff").drop("version")
+    return rounded(rounded(fitted, "auroc", "balanced_accuracy"), "slope", "offset", "threshold", places=5)
+
+
+@query("""WITH crops AS (SELECT conv_id AS media_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'image' ELSE 'video' END AS kind, strlen(text) % 5 <> 0 AS good,
+    CASE strlen(text) % 3 WHEN 0 THEN 'blurred' WHEN 1 THEN 'no_face' ELSE 'small' END AS reason, strlen(text) % 4 AS faces, (strlen(text) % 200 - 100) / 40.0::DOUBLE AS x FROM conversations),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY media_id, good ORDER BY x) AS r, count(*) OVER (PARTITION BY media_id, good) AS k FROM crops),
+  media AS (SELECT media_id, kind, count(*) AS frames_sampled, count(*) FILTER (good) AS frames_scored, max(faces) AS max_faces, arg_min(reason, turn) FILTER (NOT good) AS first_reason,
+    avg(x) FILTER (good AND r > floor(k * 0.2) AND r <= k - floor(k * 0.2)) AS x FROM placed GROUP BY ALL),
+  counts AS (SELECT media_id, string_agg(reason || ':' || n, ',' ORDER BY reason) AS exclusions FROM (SELECT media_id, reason, count(*) AS n FROM crops WHERE NOT good GROUP BY ALL) GROUP BY ALL),
+  decided AS (SELECT *, frames_scored >= CASE kind WHEN 'video' THEN 4 ELSE 1 END AS enough, 1 / (1 + exp(-(1.5 * x - 0.2))) AS p FROM media LEFT JOIN counts USING (media_id))
+SELECT media_id, kind, CASE WHEN NOT enough THEN 'ABSTAIN' WHEN p >= 0.5 THEN 'FAKE' ELSE 'REAL' END AS decision, CASE WHEN enough THEN round(p, 6) END AS probability, frames_sampled, frames_scored, max_faces,
+  CASE WHEN NOT enough THEN CASE kind WHEN 'video' THEN 'too_few_faces' ELSE coalesce(first_reason, 'no_face') END END AS abstain_reason, CASE WHEN NOT enough THEN coalesce(exclusions, '') END AS exclusions FROM decided""")
+def q_media_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as crops of a medium each."""
+    size = F.octet_length("text")
+    good = size % 5 != 0
+    crops = table(spark, d, "conversations").select(
+        F.col("conv_id").alias("media_id"), F.col("turn").alias("frame"), F.when(F.col("conv_id") % 3 == 0, "image").otherwise("video").alias("kind"), F.when(good, "ok").otherwise("skipped").alias("status"),
+        F.when(size % 3 == 0, "blurred").when(size % 3 == 1, "no_face").otherwise("small").alias("reason"), (size % 4).alias("faces"), F.when(good, (size % 200 - 100) / F.lit(40.0)).alias("logit"))
+    told = spark.createDataFrame([("trimmed", 1.5, -0.2, 0.5)], "aggregation string, slope double, offset double, threshold double")
+    out = bundles.decide_media(crops, told, [])
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("exclusions")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    return rounded(out.drop("logit").withColumn("exclusions", listed), "probability")
