@@ -104,7 +104,10 @@ def parse_model(raw: bytes) -> PieceModel:
 
 
 def build_tokenizer(model: PieceModel):
-    """A tokenizers pipeline equal to the model: normaliser, marker, scores or merges, byte fallback."""
+    """A tokenizers pipeline equal to the model: normaliser, marker, scores or merges, byte fallback.
+
+    The marker comes in front of what normalising leaves, if that is anything; where words are encoded one
+    by one they bring theirs along."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     ids = {p: i for i, (p, _, _) in enumerate(model.pieces)}
@@ -118,9 +121,16 @@ def build_tokenizer(model: PieceModel):
         core = models.BPE(ids, [(a, b) for *_, a, b in merges], unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback)
     else:
         raise ValueError(f"model type {model.model_type}: only unigram and BPE models are supported")
-    steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
+    steps = []
+    if model.charsmap:
+        rules = normalizers.Precompiled(model.charsmap)
+        if rules.normalize_str("\r") == rules.normalize_str("\n"):  # the rules see both together as one
+            steps.append(normalizers.Replace("\r\n", "\n\n"))
+        steps.append(rules)
     if model.strip_spaces:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
+    if model.dummy_prefix and not model.by_word:
+        steps.append(normalizers.Prepend(" "))
     tok = Tokenizer(core)
     tok.normalizer = normalizers.Sequence(steps + ([normalizers.Replace(" ", MARK)] if model.escape_spaces else []))
     tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
@@ -163,13 +173,14 @@ class PieceCodec:
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
         """(ids, parity, round trip) of each text; no ids for a null or empty one. Both are told word by
-        word where words are encoded one by one, else on the whole text."""
+        word where words are encoded one by one, else on the whole text, whose ids then give back what the
+        model's rules make of it."""
         if not self.by_word:
-            marked = [(MARK if self.model.dummy_prefix and t else "") + t for t in (t or "" for t in texts)]
-            ids = [e.ids for e in self.tok.encode_batch(marked, add_special_tokens=False)]
-            plain = self.other.encode([t or "" for t in texts], num_threads=1)
-            back = self.decode(ids)
-            return [(np.array(a, np.int32), a == b, c == (t or "").replace(MARK, " ")) for a, b, c, t in zip(ids, plain, back, texts)]
+            whole = [t or "" for t in texts]
+            ids = [e.ids for e in self.tok.encode_batch(whole, add_special_tokens=False)]
+            plain, normal = self.other.encode(whole, num_threads=1), [self.other.normalize(t).replace(MARK, " ") for t in whole]
+            back, lead = self.decode(ids), " " if self.model.dummy_prefix else ""
+            return [(np.array(a, np.int32), a == b, c == n.removeprefix(lead)) for a, b, c, n in zip(ids, plain, back, normal)]
         cut = [self._words(t) if t else [] for t in texts]
         known = self.known
         if len(known) > REMEMBERED:
@@ -214,7 +225,8 @@ def encoded(text: Column, model: PieceModel) -> Column:
 
     word_parity says whether the ids of each of its words are those of the sentencepiece library, and
     round_trip whether each of its words, decoded, comes back, markers in the text read as spaces. For a
-    model whose words can't be encoded one by one, both are of the whole text.
+    model whose words can't be encoded one by one, both are of the whole text, and what comes back is the
+    text as the sentencepiece library normalises it.
     """
     fields = [("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("word_parity", pa.bool_()), ("round_trip", pa.bool_())]
 
