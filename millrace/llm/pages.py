@@ -3,8 +3,10 @@
 Each block of a page is a line. Its ratio of text to tags, smoothed over its neighbours with a Gaussian
 and weighed by what the elements around it say of themselves, is clustered by a threshold. The lines
 above it decide which region holds the article (the smallest element that has them all) and which
-elements in it are furniture (those that none of them is in, if they call themselves so or are mostly
-links). No tag and no class drops or keeps a block by itself: they move its ratio.
+elements in it are furniture (those that none of them is in, if they call themselves so, or are mostly
+links and don't stand between lines of the article, or close the page with its copyright). No class and
+no attribute drops or keeps a block by itself: they move its ratio. Words inside a line are never taken
+out of it, whatever their elements say of themselves; only elements that show no text have none.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
     "h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title select datalist textarea button".split())
+SILENT = frozenset("script style noscript template svg iframe object canvas audio video head title select datalist textarea button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time u var".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -38,6 +40,8 @@ MARKS = frozenset(
     "breadcrumb breadcrumbs sidebar widget widgets footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter "
     "subscribe signup login share sharing social related recommended recommendations comment comments commentlist disqus replies respond pagination "
     "pager toolbar".split())
+#: How a page's last line says whose it is.
+COPYRIGHT = re.compile(r"^(©|\(c\)|copyright\b)|\ball rights reserved\W*$", re.IGNORECASE)
 #: Headers are named whole: those of an article, such as entry-header, hold its title.
 HEADERS = frozenset("header site-header main-header top-header global-header".split())
 _PARTS = re.compile(r"[-_]+")
@@ -115,7 +119,7 @@ class PageLines(HTMLParser):
         if tag in VOID:
             return
         cue = self._calls_itself_furniture(tag, attrs)
-        out = tag in SILENT or self._is_hidden(attrs) or cue and tag in INLINE
+        out = tag in SILENT
         number = self._owner
         if tag in BLOCKS or cue and not out:
             if tag not in BLOCKS:
@@ -132,13 +136,11 @@ class PageLines(HTMLParser):
         self._links += tag == "a"
         self._anchors += tag == "a"
 
-    @staticmethod
-    def _is_hidden(attrs: list[tuple[str, str | None]]) -> bool:
-        return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
-
     def _calls_itself_furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in ("html", "body", "article", "main"):
+        if tag in ("html", "body", "article", "main") or tag in INLINE or tag in SILENT:
             return False
+        if any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs):
+            return True
         if tag in FURNITURE:
             # an article's own header holds its title
             return not (tag == "header" and (self._count.get("article") or self._count.get("main")))
@@ -227,6 +229,11 @@ def main_text(page: str | None) -> str:
         inside[e] = inside[parents[e]] or names[e] in ("article", "main")
     owners, sizes = [x.owner for x in lines], [len(x.text) for x in lines]
     weights = -np.log(WEIGHT) * np.array([cued[o] for o in owners])
+    for i in range(len(lines) - 1, -1, -1):
+        if COPYRIGHT.search(lines[i].text):
+            weights[i] -= np.log(WEIGHT)
+        elif not cued[owners[i]]:
+            break
     high = content_lines(lines, weights)
     article = np.array([inside[o] for o in owners])
     text = np.array(sizes) * high * np.exp(weights)
@@ -243,13 +250,29 @@ def main_text(page: str | None) -> str:
     links = _totals(parents, owners, [x.links for x in lines])
     kept = [False] * n
     kept[region] = True
+    told = np.flatnonzero(high)
+    spans = _spans(parents, owners)
     for e in range(region + 1, n):
-        mostly_links = links[e] > 1 and linked[e] > LINKS * every[e] and names[e] != "p"
+        beside = spans[e][0] < told[0] or spans[e][1] > told[-1]
+        mostly_links = links[e] > 1 and linked[e] > LINKS * every[e] and names[e] != "p" and (beside or cued[e])
         kept[e] = kept[parents[e]] and not (found[e] == 0 and (tree.cues[e] or mostly_links))
+    last = len(lines)
+    while last - 1 > told[-1] and (COPYRIGHT.search(lines[last - 1].text) or not kept[owners[last - 1]]):
+        last -= 1
     first = next(i for i, o in enumerate(owners) if kept[o])
     above = _ancestors(region, parents)
     return "\n\n".join(
-        x.text for i, x in enumerate(lines) if kept[x.owner] or i < first and not cued[x.owner] and _leads_to(x.owner, above, names, parents))
+        x.text for i, x in enumerate(lines[:last]) if kept[x.owner] or i < first and not cued[x.owner] and _leads_to(x.owner, above, names, parents))
+
+
+def _spans(parents: list[int], owners: list[int]) -> list[tuple[int, int]]:
+    """For each element its first and last line; (0, -1) if it has none."""
+    first, end = [len(owners)] * len(parents), [-1] * len(parents)
+    for i, owner in enumerate(owners):
+        first[owner], end[owner] = min(first[owner], i), i
+    for e in range(len(parents) - 1, 0, -1):
+        first[parents[e]], end[parents[e]] = min(first[parents[e]], first[e]), max(end[parents[e]], end[e])
+    return [(a, b) if b >= 0 else (0, -1) for a, b in zip(first, end)]
 
 
 def _only_furniture(tree: PageLines) -> bool:

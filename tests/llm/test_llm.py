@@ -605,7 +605,54 @@ def test_marked_wrappers_are_not_furniture(mark):
         assert pages.main_text(page) == "\n\n".join(["Title", *[clean] * 3])
     each = f'<div class="{mark}"><p>{text}</p></div>' * 5
     assert pages.main_text(f"<body><div>{each}</div></body>") == "\n\n".join([clean] * 5)
-    assert pages.main_text(f'<p>{text} <span class="{mark}">x</span> end</p>') == f"{clean} end"
+    assert pages.main_text(f'<p>{text} <span class="{mark}">x</span> end</p>') == f"{clean} x end"
+
+
+def test_nothing_inside_a_line_is_taken_out():
+    text = "A sentence of the story that goes on for quite a while, as stories do. " * 3
+    clean = text.strip()
+    around = lambda piece: f"<article><p>{text}</p>{piece}<p>{text}</p></article>"
+    told = lambda piece: pages.main_text(around(piece)).removeprefix(clean).removesuffix(clean).strip()
+    assert told('<pre>x = 1 <span class="hljs-comment"># the important remark</span></pre>') == "x = 1 # the important remark"
+    assert told('<p>See the <a class="related">earlier report</a> of the team.</p>') == "See the earlier report of the team."
+    assert told('<p>Let <span aria-hidden="true">E = mc</span> <math><mi>E</mi><mo>=</mo><mi>m</mi></math> hold.</p>') == "Let E = mc E=m hold."
+    assert told('<ul><li><a href="/a">First source</a></li><li><a href="/b">Second source</a></li></ul>') == "First source\n\nSecond source"
+    assert told('<div class="related"><ul><li><a href="/a">More</a></li><li><a href="/b">News</a></li></ul></div>') == ""
+    assert told("<p hidden>Log in to read on.</p>") == "" and told('<div aria-hidden="true"><p>Log in.</p></div>') == ""
+    assert pages.main_text(f"<article><p hidden>{text}</p></article>") == clean  # there is nothing else to cluster it from
+    closing = f"<body><div><p>{text}</p><p>{text}</p><p>Copyright 2024 The Paper. All rights reserved.</p></div></body>"
+    assert pages.main_text(closing) == f"{clean}\n\n{clean}"
+    inside = f"<body><div><p>{text}</p><p>Copyright is a right.</p><p>{text}</p></div></body>"
+    assert "Copyright is a right." in pages.main_text(inside)
+
+
+def brute_clusters(lines, weights):
+    """Ratio, smoothing and threshold, line by line: the split of two means whose middle is the threshold."""
+    ratio = [np.log(1 + (len(x.text) - x.linked) / max(1, x.tags)) for x in lines]
+    smooth = []
+    for i in range(len(lines)):
+        near = [(np.exp(-0.5 * (j / pages.SPREAD) ** 2), ratio[i + j]) for j in range(-pages.RADIUS, pages.RADIUS + 1) if 0 <= i + j < len(lines)]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    values = [a + b for a, b in zip(smooth, weights)]
+    at = (min(values) + max(values)) / 2
+    for _ in range(50):
+        high, low = [v for v in values if v > at], [v for v in values if not v > at]
+        if not high or not low or sum(high) / len(high) - sum(low) / len(low) < np.log(pages.ONE_CLUSTER):
+            return smooth, [True] * len(values)
+        if abs((sum(high) / len(high) + sum(low) / len(low)) / 2 - at) < 1e-12:
+            break
+        at = (sum(high) / len(high) + sum(low) / len(low)) / 2
+    return smooth, [v > at for v in values]
+
+
+def test_ratios_smoothing_and_threshold_against_loops(spark):
+    made = [page_parts(seed)[0] for seed in range(40)] + [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    rng = np.random.default_rng(1)
+    for page in made:
+        lines = pages.PageLines().read(page).lines
+        weights = -np.log(pages.WEIGHT) * rng.integers(0, 2, len(lines))
+        smooth, high = brute_clusters(lines, weights)
+        assert np.allclose(pages.smoothed_ratios(lines), smooth) and pages.content_lines(lines, weights).tolist() == high
 
 
 def test_clustering_decides_what_a_page_says(spark, monkeypatch):
