@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from millrace.functions.scalars import text_of, unsafe_path
 from millrace.operators.constraints import ConstraintError, require_columns, require_none
 from millrace.plans.durable import cut
-from millrace.sources.stores import chunks, file_crc, file_paths, place, write_whole
+from millrace.sources.stores import LISTED, chunks, file_crc, file_paths, place, write_whole
 
 #: The archives of published methods and of real sources, the folders in front of source
 #: paths, and the names that archives have for folders of real sources.
@@ -35,8 +35,6 @@ DROPPED_FOLDERS = ("/ff/", "/cdf/")
 
 _MEMBER = "archive string, path string, member string, size long, crc long, offset long, packed long, method int"
 _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
-#: Rows of a listing that are handed on together.
-LISTED = 10_000
 
 
 @dataclass(frozen=True)

@@ -5,15 +5,17 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from fnmatch import fnmatch
 from hashlib import sha256
 from uuid import uuid4
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
+#: Rows of a listing that are handed on together.
+LISTED = 10_000
 
 
 def place(path: str) -> tuple[fs.FileSystem, str]:
@@ -77,13 +79,22 @@ def write_whole(path: str, pieces: Iterator[bytes], check: Callable[[int, int],
 
 
 def file_paths(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, name, size) of the files below a folder whose names fit the pattern; ``name`` is the path from
-    the folder on. Only the listing is read, not the files."""
-    context = spark.sparkContext
-    at = context._jvm.org.apache.hadoop.fs.Path(folder)
-    top = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    return files.select("path", F.substring("path", F.lit(len(top) + 1), F.length("path")).alias("name"), F.col("length").alias("size"))
+    """(path, name, size) of the files below a folder whose names fit the pattern, empty ones too; ``name`` is
+    the path from the folder on. A task reads the listing, no file is opened."""
+    top = folder.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            store, at = place(top)
+            found = [x for x in store.get_file_info(fs.FileSelector(at, recursive=True)) if x.type == fs.FileType.File and fnmatch(x.base_name, pattern)]
+            for lo in range(0, len(found), LISTED):
+                names = [x.path[len(at.rstrip("/")) + 1 :] for x in found[lo : lo + LISTED]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{top}/{n}" for n in names]), pa.array(names), pa.array([x.size for x in found[lo : lo + LISTED]], pa.int64())], names=["path", "name", "size"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "path string, name string, size long")
 
 
 def file_digests(files: DataFrame) -> DataFrame:
