@@ -10,6 +10,7 @@ texts are joined from their words' ids. Other models are encoded, compared and d
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -28,8 +29,8 @@ MARK = "▁"
 #: Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words remembered by a task.
-REMEMBERED = 250_000
+#: Words remembered by a task, and threads with which the libraries encode a batch there.
+REMEMBERED, THREADS = 600_000, 2
 #: Words longer than this are encoded anew each time, so that what is remembered stays small.
 LONG_WORD = 200
 
@@ -118,7 +119,7 @@ def build_tokenizer(model: PieceModel):
         usable = {p: s for p, s, kind in model.pieces if kind in (NORMAL, USER_DEFINED)}
         merges = sorted(
             ((-usable[p], ids[p[:i]], ids[p[i:]], p[:i], p[i:]) for p in usable for i in range(1, len(p)) if p[:i] in usable and p[i:] in usable))
-        core = models.BPE(ids, [(a, b) for *_, a, b in merges], unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback)
+        core = models.BPE(ids, [(a, b) for *_, a, b in merges], unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0)
     else:
         raise ValueError(f"model type {model.model_type}: only unigram and BPE models are supported")
     steps = []
@@ -146,7 +147,7 @@ class PieceCodec:
         self.model = parse_model(raw)
         self.tok, self.by_word = build_tokenizer(self.model), self.model.by_word
         self.other = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # little-endian 32-bit ids
         self.differing: set[str] = set()  # words whose ids aren't the sentencepiece library's
         self.lossy: set[str] = set()  # words that their ids don't give back
         self.split = re.compile(f"{MARK}*[^{MARK}]*")
@@ -166,10 +167,13 @@ class PieceCodec:
         shown = [w.replace(MARK, " ") if MARK in w else w for w in new]
         plain = self.other.encode(shown, num_threads=1)
         back = self.tok.decode_batch(ids, skip_special_tokens=False)
-        self.known.update(zip(new, ids))
+        flat = np.fromiter(chain.from_iterable(ids), "<i4").tobytes()
+        ends = (4 * np.cumsum([0, *map(len, ids)])).tolist()
+        self.known.update(zip(new, map(flat.__getitem__, map(slice, ends, ends[1:]))))
         # the marker alone ends a text; by itself it can't be said to the library
-        self.differing.update(w for w, a, b in zip(new, ids, plain) if a != b and w)
-        self.lossy.update(w for w, t, b in zip(new, shown, back) if b[1:] != t)
+        if ids != plain:
+            self.differing.update(w for w, a, b in zip(new, ids, plain) if a != b and w)
+        self.lossy.update(w for w, t, b in zip(new, shown, back) if b != " " + t)
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
         """(ids, parity, round trip) of each text; no ids for a null or empty one. Both are told word by
@@ -190,7 +194,7 @@ class PieceCodec:
         new = list(set(chain.from_iterable(cut)).difference(known))
         if new:
             self._learn(new)
-        out = [(np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), np.int32), not self.differing or self.differing.isdisjoint(ws),
+        out = [(np.frombuffer(b"".join(map(known.__getitem__, ws)), "<i4"), not self.differing or self.differing.isdisjoint(ws),
                 not self.lossy or self.lossy.isdisjoint(ws)) for ws in cut]
         for w in new:
             if len(w) > LONG_WORD:
@@ -216,7 +220,9 @@ class PieceCodec:
 
 @lru_cache(2)
 def codec(raw: bytes) -> PieceCodec:
-    """The process's codec of a model file's content."""
+    """The process's codec of a model file's content. Encoding threads are as many as a task may use, not as
+    the machine has: idle ones cost time."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     return PieceCodec(raw)
 
 
