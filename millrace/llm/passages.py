@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.durable import cut, discard, stored
+from millrace.llm.durable import discard, stored
 from millrace.llm.words import SHINGLE, WordHashes, jaccard, mix, shingle_hashes, words
 
 _PLACE = np.uint64(2**24 - 1)
@@ -38,6 +38,8 @@ FEW = 500_000
 PLAIN = 8
 #: Parts into which a key's windows set aside are dealt.
 SALTS = 32
+#: Words of a bin in which windows and places of one document meet.
+BIN = 256
 #: How often windows without a passage are grouped anew, each time by as many more functions.
 LEVELS = 1
 
@@ -152,6 +154,22 @@ def meeting_windows(texts: list[np.ndarray], s: PassageSettings, first: int = 0)
     return text[heads], key[heads], left[heads], np.maximum.reduceat(right, heads)
 
 
+def run_hashes(shingles: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` shingles, put together from runs of powers of two."""
+    n = len(shingles) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out, done, run, size = np.zeros(n, np.uint64), 0, mix(shingles), 1
+    while True:
+        if width & size:
+            out = mix(out * np.uint64(_STEP) + run[done : done + n])
+            done += size
+        if done == width:
+            return out
+        run = mix(run[:-size] * np.uint64(_STEP) + run[size:])
+        size *= 2
+
+
 def _parts(texts: list[np.ndarray], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
     """(text numbers, offsets in them, arrays) of about ``PART`` shingles together; a longer text comes
     in parts that overlap by all but one shingle of a window."""
@@ -342,7 +360,8 @@ def _picked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _compare(places: DataFrame, docs: DataFrame, s: PassageSettings) -> DataFrame:
     """(a, b, a_lo, a_hi, b_lo, b_hi, start, end, a_start, a_end, similarity) of each passage and its
-    place; start is null for a place without one. Word numbers, ends exclusive."""
+    place; start is null for a place without one. Word numbers, ends exclusive. A stored table, for which
+    that of the places goes."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,18 +394,23 @@ def _compare(places: DataFrame, docs: DataFrame, s: PassageSettings) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     side = lambda x: cuts.select(*(F.col(c).alias(f"{x}{'' if c == 'node' else '_' + c}") for c in ("node", "lo", "hi", "body")))
-    return places.join(side("b"), ["b", "b_lo", "b_hi"]).join(side("a"), ["a", "a_lo", "a_hi"]).select(
+    out = stored(places.join(side("b"), ["b", "b_lo", "b_hi"]).join(side("a"), ["a", "a_lo", "a_hi"]).select(
         "a", "b", "a_lo", "a_hi", "b_lo", "b_hi", "a_body", "b_body").mapInArrow(
-        compare, "a long, b long, a_lo int, a_hi int, b_lo int, b_hi int, start int, end int, a_start int, a_end int, similarity double")
+        compare, "a long, b long, a_lo int, a_hi int, b_lo int, b_hi int, start int, end int, a_start int, a_end int, similarity double"))
+    discard(cuts)
+    discard(places)
+    return out
 
 
 def _still_open(members: DataFrame, compared: DataFrame, by: list[str]) -> DataFrame:
     """Members, one for each value of ``by``, open if they were and lie in no place with a passage."""
     good = compared.where(F.col("start").isNotNull())
+    bins = lambda c: F.floor(F.col(c) / BIN)
     places = good.select(F.col("b").alias("at"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi")).unionByName(
-        good.select(F.col("a").alias("at"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"))).distinct()
-    inside = (members["node"] == places["at"]) & (members["l"] >= places["lo"]) & (members["r"] <= places["hi"])
-    return members.join(places, inside, "left").groupBy(*by).agg((F.bool_and("open") & (F.count("lo") == 0)).alias("open"))
+        good.select(F.col("a").alias("at"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"))).distinct().withColumn("bin", F.explode(F.sequence(bins("lo"), bins("hi"))))
+    binned = members.withColumn("own", bins("l"))
+    inside = (binned["node"] == places["at"]) & (binned["own"] == places["bin"]) & (binned["l"] >= places["lo"]) & (binned["r"] <= places["hi"])
+    return binned.join(places, inside, "left").groupBy(*by).agg((F.bool_and("open") & (F.count("lo") == 0)).alias("open"))
 
 
 def _in_groups(members: DataFrame) -> DataFrame:
@@ -401,7 +425,9 @@ def _regrouped(going: DataFrame, docs: DataFrame, s: PassageSettings, level: int
     A window is open if no passage was found where it lies; the others are there to be compared with, and
     of those whose words are the same all around, one stands for all. A smaller group is the old one with
     one of the keys that the functions of this level give at the same place: windows that only share a
-    frequent line part, while a passage of similarity 0.8 stays together but for 0.078 of cases.
+    frequent line part, while a passage of similarity 0.8 stays together but for 0.078 of cases. Another
+    group is all open windows that hold the same shortest passage, word for word: its members are copies
+    of its least one, so that no copy is missed.
     """
     kinds = {"g": pa.int64(), "node": pa.int64(), "l": pa.int32(), "r": pa.int32(), "open": pa.bool_()}
     columns = "g long, node long, l int, r int, open boolean"
@@ -440,6 +466,14 @@ def _regrouped(going: DataFrame, docs: DataFrame, s: PassageSettings, level: int
                 good = r - l + 1 >= s.width
                 g = mix(group[mine].view(np.uint64) ^ mix(key[other])).view(np.int64)
                 parts.append([x[good] for x in (g, np.full(len(g), node), l, r, is_open[mine])])
+                # exact copies meet by the hash of a whole shortest passage, whoever else has its words
+                spans = np.zeros(len(texts[i]) + 2, np.int64)
+                np.add.at(spans, left[is_open], 1)
+                np.add.at(spans, np.maximum(left, right - s.width + 2)[is_open], -1)
+                at = np.flatnonzero(np.cumsum(spans)[: max(0, len(texts[i]) - s.width + 1)] > 0)
+                if len(at):
+                    runs = run_hashes(texts[i], s.width)[at].view(np.int64)
+                    parts.append([runs, np.full(len(at), node), at, at + s.width - 1, np.ones(len(at), bool)])
             if parts:
                 yield _batch([np.concatenate(c) for c in zip(*parts)], kinds)
 
@@ -480,9 +514,10 @@ def repeated_passages(
 
     Of the windows that share a key, each is compared with the first one of the least id. Those that
     found no passage there go on in smaller groups, by the keys of as many other functions, where each is
-    compared with the first of the least id again: ``LEVELS`` times. So an exact passage is missed if each
+    compared with the first of the least id again: ``LEVELS`` times; and in groups of those that hold the
+    same shortest passage word for word, so that no exact passage is missed. A changed one is missed if each
     time all the minima of its windows lie in words that it shares with documents of smaller id without
-    being similar to them: if these are half of it, 4 times in 1,000. Which documents are compared depends
+    being similar to them. Which documents are compared depends
     on the ids and texts alone, not on how the rows are partitioned. Texts of any length are read whole.
     Null, empty
     and short texts have no passages; nor have rows without an id. Repeats inside one document don't
@@ -492,18 +527,24 @@ def repeated_passages(
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where(
         F.col("node").isNotNull() & F.col("text").isNotNull())
     met = stored(_meet(_windows(rows, s)))
-    compared = cut(_compare(cut(_places(_hits(met), s)), rows, s))
-    found = compared.where(F.col("start").isNotNull())
+    compared = _compare(stored(_places(_hits(met), s)), rows, s)
+    held, found = [compared], compared.where(F.col("start").isNotNull())
     members = _hits(met).select(F.col("key").alias("g"), F.col("b").alias("node"), "l", "r", F.lit(True).alias("open")).distinct()
     for level in range(1, LEVELS + 1):
         going = stored(_in_groups(_still_open(members, compared, ["g", "node", "l", "r"])))
         if level == 1:
             discard(met)
         if going.isEmpty():
+            discard(going)
             break
-        beside = stored(_beside_heads(_regrouped(going, rows, s, level)))
+        smaller = _regrouped(going, rows, s, level)
+        discard(going)
+        beside = stored(_beside_heads(smaller))
+        discard(smaller)
+        held.append(beside)
         hits = beside.where("open OR a_open").select("a", "b", "al", "ar", "l", "r").distinct()
-        compared = cut(_compare(cut(_places(hits, s)), rows, s))
+        compared = _compare(stored(_places(hits, s)), rows, s)
+        held.append(compared)
         found = found.unionByName(compared.where(F.col("start").isNotNull()))
         members = beside.select("g", F.col("b").alias("node"), "l", "r", "open")
     shape = [F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("a").alias("rep_id"), F.col("a_start").alias("rep_start"),
@@ -512,4 +553,7 @@ def repeated_passages(
     reps = found.select("a", "a_start", "a_end").distinct().select(
         F.col("a").alias(id_col), F.col("a_start").alias("start_word"), F.col("a_end").alias("end_word"), F.col("a").alias("rep_id"),
         F.col("a_start").alias("rep_start"), F.col("a_end").alias("rep_end"), F.lit(1.0).alias("similarity"))
-    return others.unionByName(reps).distinct()
+    out = stored(others.unionByName(reps).distinct())
+    for table in held:
+        discard(table)
+    return out

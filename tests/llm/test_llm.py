@@ -846,6 +846,34 @@ def test_passages_around_a_frequent_line_across_batches(spark):
     assert found == {(i, i) for i in picked} | {(200 + i, i) for i in picked}
 
 
+@pytest.mark.parametrize("truncated", [3, 7])
+def test_exact_passages_beside_truncated_copies(spark, truncated):
+    """Documents of smaller id have 44 of a passage's 50 words, which aren't similar enough, and are compared
+    first; the two that have all of it meet all the same."""
+    rows, passages_of, n = [], 60, 50
+    for i in range(passages_of):
+        words_of = prose(1000 + i, n).split()
+        for k in range(truncated):
+            cut = words_of[:44] if k % 2 else words_of[6:]
+            rows.append((i * 20 + k, " ".join([prose(i * 100 + k, 30), *cut, prose(i * 100 + 50 + k, 30)])))
+        rows += [(100_000 + i * 2 + k, " ".join([prose(50_000 + i * 10 + k, 40), *words_of, prose(60_000 + i * 10 + k, 40)])) for k in range(2)]
+    docs = table(spark, rows, "doc_id long, text string").repartition(3)
+    found = {(r.doc_id, r.rep_id) for r in passages.repeated_passages(docs).collect()}
+    assert all((100_001 + i * 2, 100_000 + i * 2) in found for i in range(passages_of))
+    assert all(a >= 100_000 for a, _ in found)
+
+
+def test_run_hashes_are_those_of_equal_runs():
+    rng = np.random.default_rng(2)
+    for width in (1, 2, 7, 46, 64):
+        a = rng.integers(0, 2**63, 300).astype(np.uint64)
+        b = np.concatenate((rng.integers(0, 2**63, 9).astype(np.uint64), a[50:150], a[:3]))
+        x, y = passages.run_hashes(a, width), passages.run_hashes(b, width)
+        assert len(x) == 301 - width and np.array_equal(x[50 : 151 - width], y[9 : 110 - width])
+        assert len(np.unique(x)) == len(x) and len(set(x.tolist()) & set(y.tolist())) == 101 - width + (3 if width == 1 else 2 if width == 2 else 0)
+    assert len(passages.run_hashes(np.arange(3, dtype=np.uint64), 4)) == 0
+
+
 def test_passages_of_odd_rows(spark):
     twice = [(7, prose(20, 80), "en", "s", 0), (8, prose(20, 80), "en", "s", 0), (8, prose(20, 80), "en", "s", 0)]
     found = passages.repeated_passages(odd(spark).unionByName(table(spark, twice, DOCS), allowMissingColumns=True)).collect()
