@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.durable import cut
+from millrace.plans.durable import discard, stored
 
 
 def _to_least(pairs: DataFrame, lower_only: bool) -> DataFrame:
@@ -28,17 +28,19 @@ def components(links: DataFrame) -> DataFrame:
     over its lesser neighbours, until the links are stars. The rounds grow with the logarithm of
     the number of nodes; a round is joins and minima, which Spark splits at hot nodes.
     """
-    edges = cut(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    edges, before = stored(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = cut(_to_least(_to_least(both, False), True))
+        last, edges = edges, stored(_to_least(_to_least(both, False), True))
+        discard(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
+    out = stored(stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct()))
+    discard(edges)
+    return out
 
 
 def token_components(rows: DataFrame, key: str, tokens: str) -> DataFrame:
