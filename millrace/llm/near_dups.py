@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.durable import cut
+from millrace.llm.durable import discard, stored
 from millrace.llm.words import SHINGLE, WordHashes, jaccard, mix, shingle_hashes, words
 
 SIMILARITY = 0.8
@@ -231,12 +231,12 @@ def _across(rows: DataFrame, signed: DataFrame, texts: DataFrame, similarity: fl
     profiles = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(profile, "node long, shingles binary")
     counted = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     classes = counted.withColumn("team", F.when(F.col("n") > BLOCK, F.col("label").cast("string")).otherwise(""))
-    teams = cut(classes.groupBy("band", "team").agg(F.sum("n").alias("size")))
+    teams = stored(classes.groupBy("band", "team").agg(F.sum("n").alias("size")))
     teamed = rows.join(classes.drop("n"), ["band", "label"]).join(teams, ["band", "team"])
     full = teamed.join(profiles, "node").join(signed.select("node", F.transform("bands", lambda x: F.pmod(x, F.lit(2**31)).cast("int")).alias("keys"), "sig"), "node")
     dealt_by = F.when(F.col("team") == "", F.col("label")).otherwise(F.col("node"))  # a small class stays together
     block = F.pmod(F.xxhash64(dealt_by), F.ceil(F.col("size") / F.lit(BLOCK))).cast("int")
-    blocks = cut(full.select(
+    blocks = stored_blocks = stored(full.select(
         "band", "pos", "team", block.alias("block"), F.struct("node", "label", "sig", "keys", "shingles").alias("member")).groupBy(
         "band", "pos", "team", "block").agg(F.collect_list("member").alias("members")))
     group = F.floor(F.col("block") / F.lit(BESIDE)).cast("int")
@@ -265,7 +265,10 @@ def _across(rows: DataFrame, signed: DataFrame, texts: DataFrame, similarity: fl
                 found += links_between(left, right, pos, similarity, least, settings)
             yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
 
-    return own.unionByName(cross).mapInArrow(compare, "a long, b long").distinct()
+    out = stored(own.unionByName(cross).mapInArrow(compare, "a long, b long").distinct())
+    discard(teams)
+    discard(stored_blocks)
+    return out
 
 
 def links_between(left: tuple, right: tuple, pos: int, similarity: float, least: int, settings: DartSettings) -> list[tuple[int, int]]:
@@ -330,43 +333,49 @@ def near_duplicate_classes(
     words equals only its exact copies). Rows of a null id take the class of an equal text that
     has an id, else null. Rows of one id are one document. Other columns are not read.
     """
-    rows = cut(docs.select(
+    rows = stored(docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.when(F.octet_length(text_col) > 0, F.unhex(F.md5(F.col(text_col).cast("binary")))).alias("text_key")))
     firsts = rows.where(F.col("text_key").isNotNull()).groupBy("text_key").agg(F.min("id").alias("node"))
     nodes = firsts.where(F.col("node").isNotNull()).select("node").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    signed = cut(texts.mapInArrow(_signatures(settings), "node long, bands array<long>, sig binary").join(nodes, "node"))
+    signed = stored(texts.mapInArrow(_signatures(settings), "node long, bands array<long>, sig binary").join(nodes, "node"))
     members = signed.select("node", F.posexplode("bands").alias("pos", "band")).distinct()
 
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    shared = cut(members.join(sizes, "band").select("band", "pos", "node", "m"))
+    shared = stored(members.join(sizes, "band").select("band", "pos", "node", "m"))
     # who meets many others is likely the text that they were copied from
     met = shared.groupBy("node").agg(F.sum("m").alias("met"))
     placed = shared.join(met, "node").select("band", "node", F.struct((-F.col("met")).alias("x"), F.col("node").alias("head")).alias("rank"))
     heads = placed.groupBy("band").agg(F.min("rank").alias("rank")).select("band", F.col("rank.head").alias("head"))
     pairs = shared.join(heads, "band").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     named = shared.select("node").distinct()
-    wanted = cut(texts.join(named, "node", "left_semi"))
-    links = cut(_verified(pairs, wanted, similarity, settings.shingle))
+    wanted = stored(texts.join(named, "node", "left_semi"))
+    links = stored(_verified(pairs, wanted, similarity, settings.shingle))
     labels = components(links)
+    held = [rows, signed, shared, wanted, links, labels]
 
     rows_of = shared.join(labels, "node", "left").select("band", "pos", "node", "m", F.coalesce("label", "node").alias("label"))
     # a bucket of two was its head and the other
     mixed = rows_of.where("m > 2").groupBy("band").agg(F.min("label").alias("c0"), F.max("label").alias("c1")).where("c0 < c1").select("band")
-    mixed_rows = cut(rows_of.join(mixed, "band"))
+    mixed_rows = stored(rows_of.join(mixed, "band"))
+    held.append(mixed_rows)
     if not mixed_rows.isEmpty():
         more = _across(mixed_rows, signed, wanted, similarity, settings)
-        links = cut(links.unionByName(_verified(more, wanted, similarity, settings.shingle)))
+        links = stored(links.unionByName(_verified(more, wanted, similarity, settings.shingle)))
         labels = components(links)
+        held += [more, links, labels]
 
     classes = firsts.join(labels, "node", "left").select("text_key", "node", F.coalesce("label", "node").alias("label"))
-    return rows.join(classes, "text_key", "left").select(
+    out = stored(rows.join(classes, "text_key", "left").select(
         F.col("id").alias(id_col),
         F.coalesce("node", "id").alias("text_id"),
         F.coalesce("label", "id").alias("class_id"),
         F.coalesce(F.coalesce("label", "id") == F.col("id"), F.lit(False)).alias("keep"),
-    )
+    ))
+    for table in held:
+        discard(table)
+    return out
 
 
 def keep_first_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
