@@ -35,22 +35,26 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each class the document of smallest id stays."""
+    """MinHash near-dedup: of each class the document of smallest id stays, of rows of one id and text the
+    first by their other columns. Rows without an id, and texts without words, are alone in their class."""
     return keep_first_documents(docs).select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a benchmark window go."""
+    """Benchmark decontamination: documents that hold a benchmark window go. Null and empty texts hold none, and
+    an empty benchmark has none; each of several equal rows is judged alike."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """PII: each span becomes the name of its kind; all documents stay."""
+    """PII: each span becomes the name of its kind, and ``n_chars`` follows; all documents stay, null and empty
+    texts as they are."""
     return redact_documents(docs, "text", "n_chars").select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece: the documents with their ids; those whose ids don't give the text back are marked."""
+    """SentencePiece: the documents with their ids; those whose ids don't give the text back are marked. Null and
+    empty texts have no ids. All documents stay."""
     out = docs.select(*COLUMNS, encoded(F.col("text"), load_model()).alias("code"))
     return out.select(*COLUMNS, "code.ids", "code.n_tokens", "code.ids_sha256", "code.word_parity", "code.round_trip")
 
@@ -68,14 +72,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is written to the shared folder, and removed
-    when the next stage is written."""
+    """All stages over ``documents``; what lies between them is written to the shared folder. A stage's folder is
+    removed when the next one is written, and all of them when a stage fails; the last one's is the result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(COLUMNS)
     place, before = f"{folder(spark)}/pipeline-{uuid4().hex}", None
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
-        docs = spark.read.parquet(f"{place}/{name}")
-        if before:
-            remove(spark, before)
-        before = f"{place}/{name}"
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
+            docs = spark.read.parquet(f"{place}/{name}")
+            if before:
+                remove(spark, before)
+            before = f"{place}/{name}"
+    except Exception:
+        remove(spark, place)
+        raise
+    return docs
