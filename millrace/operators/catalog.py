@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import digest, file_name, file_stem, frame_index, hash_split, lineage_tokens, text_of
-from millrace.operators.constraints import ConstraintError, conflicting_duplicates, require_columns, require_none
+from millrace.operators.constraints import ConstraintError, require_columns, require_none
+from millrace.plans.durable import stored
 
 #: Catalog names of methods with the method and its family.
 METHODS = {
@@ -71,7 +72,8 @@ def normalize_catalog(records: DataFrame, eval_seed: str | None = None, prefix:
     ``identity_id``, ``target_identity_id`` and ``source_video_id``.
 
     A path that several records name keeps the first by the order of files, then of keys and positions;
-    records that disagree on its label, split, domain or method are an error. With ``eval_seed``, videos
+    records that disagree on its label, split, domain or method are an error. Records are read once; the
+    result is a stored table. With ``eval_seed``, videos
     outside the train split are dealt anew to validation and test by a hash of domain and name.
     """
     text = lambda name: F.coalesce(F.expr(f"try_variant_get(record, '$.{name}', 'string')"), F.lit(""))
@@ -94,10 +96,14 @@ def normalize_catalog(records: DataFrame, eval_seed: str | None = None, prefix:
         "compression", "source_json", "source_path", "source_video_id", "target_identity_id",
         F.array_join(lineage_tokens(F.col("m.domain"), F.col("video"), F.col("source_video_id")), "|").alias("lineage_video_ids"),
         "source_rank", F.array_join("keys", "\0").alias("key_order"), "position")
-    first, bad = conflicting_duplicates(rows, "source_path", ["label", "split", "source_domain", "fake_method"], ["source_rank", "key_order", "position"])
-    require_none(bad, "conflicting frame assignments", "source_path")
-    officials = rows.groupBy("source_path").agg(F.array_join(F.array_sort(F.collect_set("official")), "|").alias("official_splits"))  # of three splits
-    return first.join(officials, "source_path").select(
+    facts = F.struct("label", "split", "source_domain", "fake_method")
+    rest = [c for c in rows.columns if c not in ("source_path", "official")]
+    rank = F.struct("source_rank", "key_order", "position", *(F.col(c).cast("string") for c in ("label", "split", "source_domain", "fake_method")))
+    # all that is asked of a path's records in one aggregate: its first row, whether any differ, its official splits (of three)
+    paths = stored(rows.groupBy("source_path").agg(
+        F.min_by(F.struct(*rest), rank).alias("row"), F.min(facts).eqNullSafe(F.max(facts)).alias("agree"), F.array_join(F.array_sort(F.collect_set("official")), "|").alias("official_splits")))
+    require_none(paths.where("NOT agree"), "conflicting frame assignments", "source_path")
+    return paths.select("source_path", "row.*", "official_splits").select(
         F.substring(F.sha2("relative_path", 256), 1, 24).alias("image_id"), "relative_path", "label", "split", "official_splits", "fake_method", "manipulation_family",
         "source_domain", "video_id", "identity_id", "frame_index", "compression", "source_json", "source_path", "source_video_id", "target_identity_id", "lineage_video_ids")
 

@@ -11,11 +11,9 @@ from millrace.operators.constraints import require_columns
 
 def row_links(rows: DataFrame, keep: list[str], kinds: dict[str, Column]) -> DataFrame:
     """One row for each link: the kept columns, kind and key. A kind's column is an array of keys."""
-    out = None
-    for kind, keys in kinds.items():
-        one = rows.select(*keep, F.lit(kind).alias("kind"), F.explode(F.array_distinct(keys)).alias("key")).where(F.col("key") != "")
-        out = one if out is None else out.unionByName(one)
-    return out
+    named = lambda kind: lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    each = F.concat(*(F.transform(F.array_distinct(keys), named(kind)) for kind, keys in kinds.items()))
+    return rows.select(*keep, F.explode(each).alias("link")).select(*keep, "link.*").where(F.col("key") != "")
 
 
 def cross_split_links(links: DataFrame, split: str = "split") -> DataFrame:
@@ -87,9 +85,8 @@ def path_status(rows: DataFrame, key: str, stem: str, index: DataFrame) -> DataF
 AUDITED = ("sample_id", "split", "label", "fake_method", "video_id", "source_domain", "lineage_video_ids", "identity_id", "target_identity_id", "pixel_sha256", "dhash64", "status")
 
 
-def protocol_links(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, kind, key): the video, parent, identity, pixel and dhash keys of manifest rows, which must
-    not cross splits.
+def protocol_kinds() -> dict[str, Column]:
+    """The video, parent, identity, pixel and dhash keys of a manifest row, which must not cross splits.
 
     Identities are those of both roles and the tokens in names; ``ff`` and ``celeba`` rows without any
     have their parents instead.
@@ -100,21 +97,26 @@ def protocol_links(rows: DataFrame, keep: list[str]) -> DataFrame:
     named = F.array_distinct(F.concat(listed("identity_id"), listed("target_identity_id"), identity_tokens(text_of("video_id")), identity_tokens(text_of("target_identity_id"))))
     identities = F.when((F.size(named) == 0) & domain.isin("ff", "celeba"), parents).otherwise(named)
     under = lambda keys: F.transform(keys, lambda t: F.concat(domain, F.lit(":"), t))
-    return row_links(rows, keep, {
-        "video": F.array(F.concat(domain, F.lit(":"), "video_id")), "parent": parents, "identity": under(identities),
-        "pixel": F.array(text_of("pixel_sha256")), "dhash": F.array(text_of("dhash64"))})
+    return {"video": F.array(F.concat(domain, F.lit(":"), "video_id")), "parent": parents, "identity": under(identities),
+            "pixel": F.array(text_of("pixel_sha256")), "dhash": F.array(text_of("dhash64"))}
+
+
+def protocol_links(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, kind, key): the keys of manifest rows that must not cross splits, see ``protocol_kinds``."""
+    return row_links(rows, keep, protocol_kinds())
 
 
 def _cell() -> Column:
     return F.when(F.col("label") == "FAKE", F.col("fake_method")).otherwise("real")
 
 
-def _lacking(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _lacking(rows: DataFrame) -> DataFrame:
     """(section, key, n): how many usable rows have no parent and no identity."""
-    has = links.where(F.col("kind").isin("parent", "identity")).select("sample_id", "kind").distinct()
-    every = rows.select("sample_id", F.explode(F.array(F.lit("parent"), F.lit("identity"))).alias("kind"))
-    missing = every.join(has, ["sample_id", "kind"], "left_anti").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    return missing.select(F.lit("missing").alias("section"), F.col("kind").alias("key"), "n")
+    kinds = protocol_kinds()
+    none = lambda k: F.count_if(~F.coalesce(F.exists(kinds[k], lambda t: t != ""), F.lit(False)))
+    counts = rows.agg(*(none(k).alias(k) for k in ("parent", "identity")))
+    each = F.explode(F.create_map(*(x for k in ("parent", "identity") for x in (F.lit(k), F.col(k))))).alias("key", "n")
+    return counts.select(F.lit("missing").alias("section"), each).where("n > 0")
 
 
 def _verdict(parts: list[DataFrame]) -> DataFrame:
@@ -146,7 +148,7 @@ def unseen_audit(rows: DataFrame, methods: dict[str, list[str]]) -> DataFrame:
     absent = wanted.join(counts, ["split", "method"], "left_anti").select(F.lit("absent").alias("section"), name, F.lit(0).cast("long").alias("n"))
     links = protocol_links(usable, ["sample_id", "split"])
     across = cross_split_links(links).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit("overlap").alias("section"), F.col("kind").alias("key"), "n")
-    return _verdict([counts.select(F.lit("count").alias("section"), name, "n"), bad, stray, absent, across, _lacking(usable, links)])
+    return _verdict([counts.select(F.lit("count").alias("section"), name, "n"), bad, stray, absent, across, _lacking(usable)])
 
 
 def heldout_audit(rows: DataFrame, reference: DataFrame, targets: dict[tuple[str, str], int]) -> DataFrame:
@@ -171,4 +173,4 @@ def heldout_audit(rows: DataFrame, reference: DataFrame, targets: dict[tuple[str
     frozen = protocol_links(reference.where(F.col("split").isin("train", "validation")), ["sample_id"]).select("kind", "key").distinct()
     shared = links.select("kind", "key").distinct().join(frozen, ["kind", "key"], "left_semi").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     overlap = shared.select(F.lit("overlap").alias("section"), F.col("kind").alias("key"), "n")
-    return _verdict([videos.select(F.lit("count").alias("section"), name, "n"), bad, stray, short, overlap, _lacking(usable, links)])
+    return _verdict([videos.select(F.lit("count").alias("section"), name, "n"), bad, stray, short, overlap, _lacking(usable)])
