@@ -432,8 +432,13 @@ def _regrouped(going: DataFrame, docs: DataFrame, s: PassageSettings, level: int
     kinds = {"g": pa.int64(), "node": pa.int64(), "l": pa.int32(), "r": pa.int32(), "open": pa.bool_()}
     columns = "g long, node long, l int, r int, open boolean"
 
-    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for lo, hi in _slices(np.cumsum(pc.binary_length(batch.column(2)).to_numpy()), SLICE):
+                yield batch.slice(lo, hi - lo)
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
             parts = []
             for node, held, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 found = words(text.as_py())
@@ -446,7 +451,7 @@ def _regrouped(going: DataFrame, docs: DataFrame, s: PassageSettings, level: int
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             parts = []
             texts = [shingle_hashes(hashes.of(words(t.as_py())), s.shingle) for t in batch.column(2)]
             number, keys, lefts, rights = meeting_windows(texts, s, first=level * s.functions)
