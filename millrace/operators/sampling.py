@@ -71,6 +71,14 @@ class SubsetSpec:
     ratio: float = 1.0
 
 
+def picked_positions(rows: str, take: str, position: str) -> Column:
+    """Whether a position is one of ``take`` evenly spaced ones among ``rows``, as ``even_positions`` names them."""
+    span = F.when(F.col(take) == 1, F.floor(F.col(rows) / 2) == F.col(position)).otherwise(F.exists(
+        F.sequence(F.lit(0).cast("long"), F.greatest(F.col(take) - 1, F.lit(1).cast("long"))),
+        lambda i: F.bround(i * (F.col(rows) - 1) / (F.col(take) - 1).cast("double"), 0).cast("long") == F.col(position)))
+    return (F.col(rows) <= F.col(take)) | span
+
+
 def build_subset(rows: DataFrame, spec: SubsetSpec, label: str = "label", split: str = "split", method: str = "method", group: str = "group", order: list[str] = ("frame",)) -> DataFrame:
     """The chosen rows with ``selection_role``: fakes by quota of (split, method), reals to match
     them in each split; of a group the evenly spaced rows in ``order``."""
@@ -82,10 +90,7 @@ def build_subset(rows: DataFrame, spec: SubsetSpec, label: str = "label", split:
         met = side.join(chosen.select(*cells, group, "take"), [*cells, group])
         within = Window.partitionBy(*cells, group)
         placed = met.withColumn("position", F.row_number().over(within.orderBy(*order)).cast("long") - 1).withColumn("group_rows", F.count(F.lit(1)).over(within))
-        span = F.when(F.col("take") == 1, F.floor(F.col("group_rows") / 2) == F.col("position")).otherwise(F.exists(
-            F.sequence(F.lit(0).cast("long"), F.greatest(F.col("take") - 1, F.lit(1).cast("long"))),
-            lambda i: F.bround(i * (F.col("group_rows") - 1) / (F.col("take") - 1).cast("double"), 0).cast("long") == F.col("position")))
-        parts.append(placed.where((F.col("group_rows") <= F.col("take")) | span).select(*rows.columns, F.lit(role).alias("selection_role")))
+        parts.append(placed.where(picked_positions("group_rows", "take", "position")).select(*rows.columns, F.lit(role).alias("selection_role")))
     return parts[0].unionByName(parts[1])
 
 

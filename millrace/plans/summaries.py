@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import geometry
-from millrace.operators import listings, reports
+from millrace.operators import listings, reports, subsets
 from millrace.plans.catalogue import query, rounded
-from millrace.plans.views import AUROC, AVERAGE_PRECISION, VIDEOS, curve, table, videos
+from millrace.plans.views import AUROC, AVERAGE_PRECISION, SAMPLES, VIDEOS, curve, samples, table, videos
 
 # three runs are three mixtures of the two models' scores
 
@@ -91,3 +91,35 @@ def q_extend_catalog(spark: SparkSession, d: str) -> DataFrame:
         *(empty.alias(c) for c in ("official_splits", "fake_method", "manipulation_family", "identity_id", "frame_index", "compression", "source_json", "source_path", "target_identity_id")))
     out = listings.extend_catalog(base, members, "grow-v1", LISTED)
     return out.select("image_id", "relative_path", "split", "official_splits", "fake_method", "video_id", "frame_index", "source_json", "lineage_video_ids")
+
+
+# a subset by quotas of split, method and domain; three samples are a video
+
+SUBSET = {
+    "seed": "subset-v1", "id": "sample_id", "label": "label", "split": "split", "method": "method", "domain": "domain", "group_columns": ["video"], "frame": "sample_id", "strict": False, "disjoint": "all",
+    "rules": {"validation": {"methods": ["m0", "m1"], "images": 1, "groups": 8, "frames": 2, "domains": {"en": 9, "de": 5}}, "test": {"methods": ["m2"], "images": 15, "groups": 9, "frames": 3}},
+}
+
+_SPACED = "k <= take OR CASE take WHEN 1 THEN pos = k // 2 ELSE list_contains(list_transform(range(take), lambda i: round_even(i * (k - 1) / (take - 1), 0)::BIGINT), pos) END"
+
+
+@query(f"""WITH {SAMPLES},
+  rows0 AS (SELECT sample_id, label, split, coalesce(domain, '') AS domain, 'm' || (sample_id // 3 % 3) AS method, 'video:' || (sample_id // 3) AS grp FROM samples),
+  cells AS (SELECT * FROM (VALUES ('validation', 'm0', 'de', 5, 8, 2), ('validation', 'm0', 'en', 9, 8, 2), ('validation', 'm1', 'de', 5, 8, 2), ('validation', 'm1', 'en', 9, 8, 2), ('test', 'm2', '', 15, 9, 3)) t(s, m, d, images, groups, frames)),
+  placed AS (SELECT * FROM rows0 JOIN cells ON split = s AND method = m AND (d = '' OR d = domain) WHERE label = 'FAKE'),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY s, m, d ORDER BY sha256('subset-v1' || chr(0) || s || chr(0) || m || chr(0) || grp), grp) AS rk FROM (SELECT s, m, d, images, groups, frames, grp, count(*) AS n FROM placed GROUP BY ALL)),
+  taken AS (SELECT *, least(least(n, frames), images - coalesce(sum(least(n, frames)) OVER (PARTITION BY s, m, d ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS take FROM ranked WHERE rk <= groups),
+  fakes AS (SELECT sample_id, split, domain, label, method, grp FROM (SELECT p.*, t.take, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY s, m, d, grp) AS k FROM placed p JOIN taken t USING (s, m, d, grp) WHERE take > 0
+    WINDOW w AS (PARTITION BY s, m, d, grp ORDER BY sample_id)) WHERE {_SPACED}),
+  target AS (SELECT split, domain, count(*) AS target, CASE split WHEN 'test' THEN 3 ELSE 2 END AS frames FROM fakes GROUP BY ALL),
+  real_ranked AS (SELECT *, row_number() OVER (PARTITION BY split, domain ORDER BY sha256('subset-v1' || chr(0) || split || chr(0) || 'real' || chr(0) || domain || chr(0) || grp), grp) AS rk
+    FROM (SELECT split, domain, target, frames, grp, count(*) AS n FROM rows0 JOIN target USING (split, domain) WHERE label = 'REAL' GROUP BY ALL)),
+  real_taken AS (SELECT *, least(least(n, frames), target - coalesce(sum(least(n, frames)) OVER (PARTITION BY split, domain ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS take FROM real_ranked),
+  reals AS (SELECT sample_id, split, domain, label, method, grp FROM (SELECT p.*, t.take, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY p.split, p.domain, p.grp) AS k
+    FROM rows0 p JOIN real_taken t ON p.split = t.split AND p.domain = t.domain AND p.grp = t.grp WHERE p.label = 'REAL' AND take > 0 WINDOW w AS (PARTITION BY p.split, p.domain, p.grp ORDER BY sample_id)) WHERE {_SPACED})
+SELECT sample_id, split, domain, label, method, grp AS selection_group, 'fake' AS selection_role FROM fakes UNION ALL SELECT sample_id, split, domain, label, method, grp, 'real' FROM reals""".replace("", ""))
+def q_subset_quotas(spark: SparkSession, d: str) -> DataFrame:
+    video = F.floor(F.col("sample_id") / 3).cast("long")
+    rows = samples(spark, d).select(
+        "sample_id", "split", F.coalesce("domain", F.lit("")).alias("domain"), "label", F.concat(F.lit("m"), video % 3).alias("method"), video.cast("string").alias("video"))
+    return subsets.select_subset(rows, subsets.spec_of(SUBSET))[0].drop("video")

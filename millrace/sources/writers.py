@@ -9,6 +9,8 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.sums import SUMS, sum_problems, write_sums
+
 
 def content_digest(df: DataFrame) -> DataFrame:
     """One row (n, digest): a digest of the rows that doesn't depend on their order or partitions.
@@ -48,8 +50,9 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
         raise RuntimeError(f"can't rename to {path}")
 
 
-def write_artifact(df: DataFrame, folder: str, spec: object | None = None) -> tuple[str, str]:
-    """Write the table below ``folder`` under the first 20 digits of its digest: (id, path).
+def write_artifact(df: DataFrame, folder: str, spec: object | None = None, told: dict | None = None, sums: bool = False) -> tuple[str, str]:
+    """Write the table below ``folder`` under the first 20 digits of its digest: (id, path). What is ``told``
+    of it goes into its record; with ``sums`` a list of its files' digests lies beside it.
 
     It is staged and renamed. Equal content is already there and is kept; a place whose content
     differs from its name is an error.
@@ -64,9 +67,12 @@ def write_artifact(df: DataFrame, folder: str, spec: object | None = None) -> tu
         if not good:
             raise RuntimeError(f"{path} was changed: {'; '.join(errors)}")
         return name, path
-    df.write.mode("overwrite").parquet(f"{path}.staged/rows")
-    meta = {"id": name, "digest": found.digest, "rows": found.n, "columns": df.columns, "spec": spec_fingerprint(spec) if spec is not None else None}
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.staged"), True)  # of a run that failed
+    df.write.parquet(f"{path}.staged/rows")
+    meta = {"id": name, "digest": found.digest, "rows": found.n, "columns": df.columns, "spec": spec_fingerprint(spec) if spec is not None else None} | (told or {})
     _write_text(spark, f"{path}.staged/artifact.json", json.dumps(meta, sort_keys=True, indent=2))
+    if sums:
+        write_sums(spark, f"{path}.staged")
     if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.staged"), at):
         raise RuntimeError(f"can't rename to {path}")
     return name, path
@@ -88,6 +94,8 @@ def verify_artifact(spark: SparkSession, path: str) -> tuple[bool, list[str]]:
         errors.append("the number of rows differs")
     if meta["digest"][:20] != path.rstrip("/").rsplit("/", 1)[-1]:
         errors.append("the name isn't the digest's")
+    if _files(spark, f"{path}/{SUMS}")[0].exists(_files(spark, f"{path}/{SUMS}")[1]):
+        errors += [f"{r.name} is {r.problem}" for r in sum_problems(spark, path).orderBy("name").limit(5).collect()]
     return not errors, errors
 
 
