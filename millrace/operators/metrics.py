@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A slice's scores are summed in this many runs of equal width, so that no task holds a whole slice.
-RUNS = 512
+#: A slice's scores are summed in this many runs between quantiles, so that no task holds a whole slice, wherever
+#: its scores crowd; a power of two.
+RUNS = 256
 
 
 def threshold_table(rows: DataFrame, slices: list[str], label: str = "label", score: str = "score", weight: Column | None = None, keep: str | None = None) -> DataFrame:
@@ -18,18 +19,21 @@ def threshold_table(rows: DataFrame, slices: list[str], label: str = "label", sc
     and ``keep``, a column of rows that are summed by score already.
 
     Rows are first summed by distinct score. The running sums are those of the runs of scores above
-    plus that inside the run.
+    plus that inside the run; runs are parted at approximate quantiles of their slice, which only decide
+    where a score is summed, not what comes out.
     """
     w = (weight if weight is not None else F.lit(1)).cast("double")
     extra = [keep] if keep else []
     sums = rows.select(*slices, F.col(score).cast("double").alias("score"), *(F.when(F.col(label) == y, w).otherwise(0.0).alias(c) for y, c in ((1, "pos"), (0, "neg"))), keep) if keep else rows.groupBy(
         *slices, F.col(score).cast("double").alias("score")).agg(
         F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("neg"))
-    ends = rows.groupBy(*slices).agg(F.min(F.col(score).cast("double")).alias("lo"), F.max(F.col(score).cast("double")).alias("hi"))
+    cuts = F.percentile_approx(F.col(score).cast("double"), [i / RUNS for i in range(1, RUNS)], 8 * RUNS).alias("cuts")
+    ends = rows.groupBy(*slices).agg(cuts)
     same = [sums[s].eqNullSafe(ends[s]) for s in slices]
     met = sums.join(ends, _all(same)) if slices else sums.crossJoin(F.broadcast(ends))  # one row
-    width = (F.col("hi") - F.col("lo")) / RUNS
-    run = F.when(width > 0, F.least(F.floor((F.col("score") - F.col("lo")) / width), F.lit(RUNS - 1))).otherwise(0).cast("int")
+    # how many cuts the score reaches, by halves
+    steps = F.array(*(F.lit(RUNS >> i) for i in range(1, RUNS.bit_length())))
+    run = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("cuts", at + step - 1) <= F.col("score"), at + step).otherwise(at))
     placed = met.select(*(sums[s] for s in slices), "score", "pos", "neg", run.alias("run"), *extra)
     totals = placed.groupBy(*slices, "run").agg(F.sum("pos").alias("run_pos"), F.sum("neg").alias("run_neg"))
     above = Window.partitionBy(*slices).orderBy(F.desc("run")).rowsBetween(Window.unboundedPreceding, -1)

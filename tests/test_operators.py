@@ -635,3 +635,18 @@ def test_aggregation_prefers_the_first_within_the_margin(spark):
     rows = [(f"v{i}{m}", m, int(m != "real"), "ff", float(i + (3 if m != "real" else 0))) for i in range(6) for m in ("real", "a") for _ in range(3)]
     out = fusion.select_aggregation(spark.createDataFrame(rows, "video string, method string, label int, domain string, x double"), "x", "video", "method", "domain", "ff")
     assert [r.aggregation for r in out.where("chosen").collect()] == ["mean_probability"] and out.count() == 5
+
+
+@pytest.mark.parametrize("runs", [1, 2, 256])
+def test_threshold_tables_where_scores_crowd(spark, monkeypatch, runs):
+    """Scores at 0 and 1 with one outlier, ties, a null slice and a null score: counts are those of sorting."""
+    monkeypatch.setattr(metrics, "RUNS", runs)
+    rng = np.random.default_rng(9)
+    rows = [(("a", None)[i % 2], float(rng.choice([0.0, 1.0, 0.5, rng.random() * 1e-6, 1 - rng.random() * 1e-6])), int(rng.integers(2))) for i in range(600)] + [("a", 1e9, 1), ("a", -1e9, 0), ("a", None, 1)]
+    got = metrics.threshold_table(spark.createDataFrame(rows, "s string, score double, label int"), ["s"]).collect()
+    for name in ("a", None):
+        own = [(x, y) for s_, x, y in rows if s_ == name]
+        above = lambda t, y: sum(1 for x, z in own if z == y and (x is not None and (t is None or x >= t) or t is None and x is None))
+        mine = [r for r in got if r.s == name]
+        assert len(mine) == len({x for x, _ in own}) and all((r.tp, r.fp) == (above(r.score, 1), above(r.score, 0)) for r in mine)
+        assert {(r.p, r.n) for r in mine} == {(sum(y for _, y in own), sum(1 - y for _, y in own))}
