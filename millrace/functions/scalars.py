@@ -134,3 +134,10 @@ def sign_hash(vector: Column) -> Column:
     """Bits of whether each component exceeds the next, first bit highest, as 0 and 1."""
     return F.array_join(F.transform(F.sequence(F.lit(1), F.size(vector) - 1), lambda i: F.when(
         F.element_at(vector, i) > F.element_at(vector, i + 1), "1").otherwise("0")), "")
+
+
+def run_seed(name: Column, markers: tuple[str, ...]) -> Column:
+    """The seed in a run's name: eight digits that begin with 20, after one of the markers and before a dash or
+    the end. A name without one is an error when its row is read."""
+    found = F.regexp_extract(name, f"(?:{'|'.join(markers)})(20[0-9]{{6}})(?:-|$)", 1)
+    return F.when(found != "", found.cast("long")).otherwise(F.raise_error(F.concat(F.lit("no seed in a run's name: "), text_of(name))).cast("long"))

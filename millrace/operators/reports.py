@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import text_of
 from millrace.operators.constraints import ConstraintError, require_none, same_provenance
-from millrace.operators.metrics import against_reals, curve_metrics, spread, threshold_table
+from millrace.operators.metrics import against_reals, best_threshold, curve_metrics, metric_report, spread, threshold_table, video_scores
 
 METRICS = ("auroc", "average_precision", "tpr_at_fpr", "eer")
 
@@ -78,3 +78,20 @@ def compare_runs(values: DataFrame, comparisons: DataFrame, run: str = "run") ->
     out = met.select("name", "domain", "method", "metric", "baseline", "candidate", (F.col("candidate") - F.col("baseline")).alias("diff"), status.alias("status"))
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("domain", "string"), ("method", "string"), ("metric", "string"), ("baseline", "double"), ("candidate", "double"), ("diff", "double"))]
     return out.unionByName(known.where(~whole).select("name", *nothing, absent.alias("status")))
+
+
+def locked_report(frames: DataFrame, keys: list[str], split: str = "split", label: str = "label", score: str = "score") -> DataFrame:
+    """(split, unit, threshold, metrics) of validation and test frames and of their videos (``keys``), all at
+    the threshold of best balanced accuracy of the validation videos; the test rows never move it.
+
+    A validation split without both classes is an error.
+    """
+    rows = frames.where(F.col(split).isin("validation", "test"))
+    videos = video_scores(rows, [split, *keys, label], score)
+    table = threshold_table(videos.where(F.col(split) == "validation"), [split], label)
+    best = best_threshold(table, [split]).first()
+    if best is None:
+        raise ConstraintError("no threshold: the validation videos lack a class")
+    long = rows.select(split, F.lit("frame").alias("unit"), F.col(label).alias("label"), F.col(score).cast("double").alias("score")).unionByName(
+        videos.select(split, F.lit("video").alias("unit"), F.col(label).alias("label"), "score"))
+    return metric_report(long, [split, "unit"], best.threshold).withColumn("threshold", F.lit(best.threshold))

@@ -230,3 +230,19 @@ def suffix_members(rows: DataFrame, name: str, members: DataFrame) -> DataFrame:
     counts = met.groupBy("r.row_no").agg(F.count("m.member").alias("found"), F.first(f"r.{name}").alias("wanted"))
     require_none(counts.where("found <> 1"), "rows without exactly one member", "wanted", "found")
     return met.select("r.*", *(f"m.{f.split()[0]}" for f in _MEMBER.split(", "))).drop("row_no")
+
+
+def prepare_media(rows: DataFrame, name: str, members: DataFrame, root: str, split: str = "split") -> DataFrame:
+    """(media_id, path) of the test rows, whose files are extracted below ``root`` where they aren't there yet.
+
+    ``name`` is how a row's member ends in its archive; the member's own path is its place below ``root``.
+    Two rows of one member are an error, as are those of ``suffix_members``.
+    """
+    found = suffix_members(rows.where(F.col(split) == "test"), name, members)
+    require_none(found.groupBy("archive", "member").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "members of several rows", "archive", "member")
+    require_none(found.where(unsafe_path(F.col("member"))), "unsafe members", "archive", "member")
+    require_none(found.where("method NOT IN (0, 8)"), "members of an unknown compression", "archive", "member")
+    plan = found.withColumn("relative_path", F.col("member"))
+    require_none(plan.groupBy("relative_path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "destinations of several rows", "relative_path")
+    extract(plan, root).collect()  # a row for each archive
+    return plan.select("media_id", F.concat(F.lit(root.rstrip("/") + "/"), "relative_path").alias("path"))

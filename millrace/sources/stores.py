@@ -108,3 +108,11 @@ def file_digests(files: DataFrame) -> DataFrame:
 
     spread = max(1, files.sparkSession.sparkContext.defaultParallelism * 4)
     return files.select("path").repartition(spread, "path").mapInArrow(run, "path string, size long, sha256 string")
+
+
+def single_file(spark: SparkSession, folder: str, pattern: str) -> str:
+    """The path of the one file below a folder whose name fits the pattern; none or several are an error."""
+    found = [r.path for r in file_paths(spark, folder, pattern).limit(6).collect()]
+    if len(found) != 1:
+        raise ValueError(f"expected one file like {pattern} in {folder}, found {len(found) if len(found) < 6 else 'more'}")
+    return found[0]
