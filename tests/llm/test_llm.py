@@ -343,6 +343,59 @@ def test_gradient_of_the_tagger():
         assert abs((sides[0] - sides[1]) / 2e-2 - grad[name][place]) < 2e-3
 
 
+def test_decoding_against_all_paths():
+    """The best tag sequence is the best of all that the transitions allow, each scored by itself."""
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    model, ids = tagger.Tagger.fresh(4, 3, rng), rng.integers(0, 100, (5, 4))
+    for k in ("A", "s", "O"):
+        model.w[k] = rng.normal(0, 1.5, model.w[k].shape).astype(np.float32)
+    emitted, _ = model.emissions(ids)
+    moves = model.w["A"] + tagger.allowed()
+    for row, got in enumerate(model.decode(ids)):
+        def score(path):
+            return model.w["s"][path[0]] + sum(emitted[t, row, y] for t, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:]))
+        best = max(product(range(tagger.N_TAGS), repeat=4), key=score)
+        assert tuple(got.tolist()) == best
+        assert all(y % 2 == 1 or y == 0 or x in (y - 1, y) for x, y in zip(best, best[1:]))
+
+
+def test_windows_are_reconciled_character_by_character():
+    """Each character takes its tag from the window that has it farthest from an edge; spans follow the tags."""
+
+    class Model:
+        def decode(self, ids):
+            place = np.arange(ids.shape[1])
+            begin, on = (ids * 7 + place // 5) % 4 == 0, (ids + place // 3) % 3 > 0
+            return np.where(begin, 1 + 2 * (ids % len(tagger.KINDS)), np.where(on, 2 + 2 * (place // 9 % len(tagger.KINDS)), 0)).astype(np.int8)
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("ab c1@=." if i % 2 else "abcdef  7"), int(n))) for i, n in enumerate([0, 1, 40, 95, 96, 97, 200, 500, 1000])] + ["no hint here " * 30]
+    for text, got in zip(texts, pii.tag_texts(texts, Model())):
+        tags = [0] * len(text)
+        for start in pii.window_starts(text):
+            ids = np.zeros((1, tagger.WINDOW), np.int64)
+            codes = tagger.char_ids(text[start : start + tagger.WINDOW])
+            ids[0, : len(codes)] = codes
+            row = Model().decode(ids)[0]
+            for at in range(len(codes)):
+                last = start + tagger.WINDOW >= len(text) and start + pii.STEP not in pii.window_starts(text)
+                if (start == 0 or at >= pii.MARGIN) and (last or at < tagger.WINDOW - pii.MARGIN):
+                    tags[start + at] = int(row[at])
+        spans, at = [], 0
+        while at < len(text):
+            end = at + 1
+            if tags[at]:
+                kind = (tags[at] - 1) // 2
+                while end < len(text) and tags[end] and tags[end] % 2 == 0 and (tags[end] - 1) // 2 == kind:
+                    end += 1
+                spans.append((tagger.KINDS[kind], at, end))
+            at = end
+        assert got == spans, text[:50]
+    assert pii.tag_texts([None, texts[-1]], Model()) == [[], []]
+
+
 def test_tagger_on_unseen_examples():
     model, source, right, wrong, missed = tagger.trained(), tagger.Examples(99), 0, 0, 0
     for _ in range(40):
