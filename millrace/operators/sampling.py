@@ -108,8 +108,8 @@ def weighted_draw(weights: DataFrame, key: str, weight: str, draws: int, seed: s
     """(draw, key): ``draws`` keys with replacement, in proportion to their weights.
 
     Each draw is a hashed number that falls into one key's span of the running total of weights.
-    The total runs over 256 hashed runs of keys first and then inside each run, and numbers meet
-    only the keys of their run.
+    The total runs over 256 hashed runs of keys first and then inside each run, where numbers and ends
+    of spans are sorted together and read once.
     """
     parts = weights.select(key, weight).withColumn("run", F.conv(F.substring(digest(key), 1, 2), 16, 10).cast("int"))
     totals = parts.groupBy("run").agg(F.sum(weight).alias("run_weight"))  # one row for each of the runs
@@ -118,11 +118,14 @@ def weighted_draw(weights: DataFrame, key: str, weight: str, draws: int, seed: s
     total = F.max("run_end").over(Window.partitionBy())
     bounds = bounds.withColumn("total", total)
     inside = Window.partitionBy("run").orderBy(key)
-    spans = parts.withColumn("end", F.sum(weight).over(inside)).withColumn("start", F.col("end") - F.col(weight))
+    spans = parts.select("run", F.sum(weight).over(inside).alias("at"), F.col(key).alias("key"), F.lit(None).cast("long").alias("draw"))
     numbers = weights.sparkSession.range(draws).select(F.col("id").alias("draw"), uniform(seed, F.col("id")).alias("u"))
     placed = numbers.join(F.broadcast(bounds), (F.col("u") * F.col("total") >= F.col("run_start")) & (F.col("u") * F.col("total") < F.col("run_end")))
-    at = placed.select("draw", "run", (F.col("u") * F.col("total") - F.col("run_start")).alias("at"))
-    return at.join(spans, "run").where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))).select("draw", key)
+    at = placed.select("run", (F.col("u") * F.col("total") - F.col("run_start")).alias("at"), F.lit(None).cast(weights.schema[key].dataType).alias("key"), "draw")
+    # from the greatest position down, a number's key is the last one passed; a span ends before its end
+    down = Window.partitionBy("run").orderBy(F.desc("at"), F.col("draw").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    top = F.first("key", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # rounding may leave a number above all
+    return spans.unionByName(at).withColumn("key", F.coalesce(F.last("key", ignorenulls=True).over(down), top)).where(F.col("draw").isNotNull()).select("draw", F.col("key").alias(key))
 
 
 def prune_cross_split(rows: DataFrame, fingerprints: list[str], priority: dict[str, int], split: str = "split", group: str = "video") -> DataFrame:

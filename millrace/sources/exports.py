@@ -16,14 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import text_of
 from millrace.operators.constraints import ConstraintError, require_none
 from millrace.plans.durable import cut
 from millrace.sources.archives import member_bytes
-from millrace.sources.readers import PREDICTION
+from millrace.sources.readers import PREDICTION, numbered_lines
 from millrace.sources.stores import file_digests, place
 
 #: What an export's metadata must tell.
@@ -32,20 +32,6 @@ PROVENANCE = ("manifest_id", "manifest_sha256", "sample_preprocessing_id", "prep
 SLICE = 20_000
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(position, value) of a text file's lines that aren't empty, from 0 in the order of the file.
-
-    Spark reads a file in splits. Lines are counted by split, which gives each split's first position, and
-    a line's own is its distance from the first one there; the only window runs over the splits.
-    """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block")).where(F.col("value") != "")
-    kept = cut(lines.withColumn("at", F.monotonically_increasing_id()))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = kept.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))  # a row for each split of the file
-    starts = blocks.select("block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return kept.join(F.broadcast(starts), "block").select((F.col("start") + F.col("at") - F.col("first")).alias("position"), "value")
-
-
 @dataclass(frozen=True)
 class StoredArray:
     """An ``.npy`` member of an ``.npz``: where it lies, and the shape and type of its rows."""

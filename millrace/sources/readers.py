@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.scalars import file_name, file_stem, file_suffix, unsafe_path
 from millrace.operators.constraints import ConstraintError, require_none
+from millrace.plans.durable import cut
 from millrace.sources.archives import archive_members
 from millrace.sources.stores import file_digests
 
@@ -32,12 +33,27 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return as_text(spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=True))
 
 
+def numbered_lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
+    """(file, position, value) of text files' lines, those that are empty only with ``blank``; positions are
+    from 0 in the order of each file.
+
+    Spark reads a file in splits. Lines are counted by split, which gives each split's first position, and
+    a line's own is its distance from the first one there; the only window runs over the splits.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    kept = cut((lines if blank else lines.where(F.col("value") != "")).withColumn("at", F.monotonically_increasing_id()))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = kept.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))  # a row for each split
+    starts = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return kept.join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("at") - F.col("first")).alias("position"), "value")
+
+
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object a line; blank lines are skipped, anything else is an error."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    bad = lines.where(F.coalesce(F.expr("schema_of_variant(try_parse_json(value))"), F.lit("")).startswith("OBJECT") == F.lit(False))
-    if examples := bad.limit(5).collect():
-        raise ConstraintError("not JSON objects: " + "; ".join(r.value[:80] for r in examples))
+    """One JSON object a line; blank lines are skipped, anything else is an error that names lines."""
+    odd = (F.trim("value") != "") & (F.coalesce(F.expr("schema_of_variant(try_parse_json(value))"), F.lit("")).startswith("OBJECT") == F.lit(False))
+    if not spark.read.text(path).where(odd).isEmpty():
+        examples = numbered_lines(spark, path, blank=True).where(odd).orderBy("file", "position").limit(5).collect()
+        raise ConstraintError("not JSON objects: " + "; ".join(f"{r.file.rsplit('/', 1)[-1]}, line {r.position + 1}: {r.value[:80]}" for r in examples))
     return as_text(spark.read.option("primitivesAsString", True).json(path))
 
 

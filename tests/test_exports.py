@@ -25,6 +25,16 @@ def write(folder, n=N, order=None, kind=np.float16, compressed=False, told=None,
     return str(folder)
 
 
+def test_bad_lines_are_named(spark, tmp_path):
+    from millrace.sources.readers import read_json_lines
+
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n\n[1]\n{"x": 2}\nnonsense\n')
+    with pytest.raises(ConstraintError, match=r"a.jsonl, line 3: \[1\]; a.jsonl, line 5: nonsense"):
+        read_json_lines(spark, str(tmp_path / "a.jsonl"))
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n\n{"x": null}\n')
+    assert sorted(r.x for r in read_json_lines(spark, str(tmp_path / "a.jsonl")).collect()) == ["", "1"]
+
+
 def test_lines_are_numbered_over_splits(spark, tmp_path):
     path = tmp_path / "lines.txt"
     lines = [f"line {i} " + "x" * (i % 60) for i in range(3000)]
