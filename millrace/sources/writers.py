@@ -80,10 +80,13 @@ def write_artifact(df: DataFrame, folder: str, spec: object | None = None, told:
 
 def verify_artifact(spark: SparkSession, path: str) -> tuple[bool, list[str]]:
     """Whether an artifact's rows have the digest that its record and name say, and what is wrong."""
-    text = _read_text(spark, f"{path}/artifact.json")
-    if text is None:
+    try:
+        text = _read_text(spark, f"{path}/artifact.json")
+        meta, errors = json.loads(text) if text is not None else None, []
+    except Exception as e:  # an unreadable record is a finding
+        return False, [f"artifact.json can't be read: {type(e).__name__}"]
+    if meta is None:
         return False, ["artifact.json is missing"]
-    meta, errors = json.loads(text), []
     try:
         found = content_digest(spark.read.parquet(f"{path}/rows")).first()
     except Exception as e:  # unreadable rows are a finding
