@@ -39,9 +39,10 @@ class Block:
     @staticmethod
     def of(ids: np.ndarray, vectors: np.ndarray) -> Block:
         exact = vectors.astype(np.float64)
-        scales = np.abs(exact).max(axis=1) / 127.0
+        scales = np.maximum(np.abs(exact).max(axis=1) / 127.0, 1e-300)
         codes = np.rint(exact / scales[:, None]).astype(np.int8)
-        errors = np.linalg.norm(exact - scales[:, None] * codes, axis=1)
+        with np.errstate(over="ignore"):
+            errors = scales * np.linalg.norm(exact / scales[:, None] - codes, axis=1)
         return Block(ids, vectors, codes, scales, errors)
 
     def row(self, parts: int) -> tuple:
@@ -112,21 +113,30 @@ def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def search_tile(queries: Block, candidates: Block, k: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query places, candidate places, distances) of every pair that can be among the ``k``
-    nearest of its query, given that ``k`` candidates are known within ``reach``."""
+    nearest of its query, given that ``k`` candidates are known within ``reach``.
+
+    Bounds are made in units of the tile's largest scale, where nothing overflows; what underflows there,
+    and what the squares of very small distances lose, is part of the slack. Very large distances may be
+    infinite in double precision, and then are equal, so their bounds rule nothing out."""
     dim = queries.codes.shape[1]
     exact_in = np.float32 if dim * 127 * 127 < 2**24 else np.float64  # sums of products stay whole numbers
     product = queries.codes.astype(exact_in) @ candidates.codes.astype(exact_in).T
-    own = [(b.codes.astype(np.int64) ** 2).sum(axis=1) * b.scales**2 for b in (queries, candidates)]
-    square = own[0][:, None] + own[1] - 2.0 * queries.scales[:, None] * candidates.scales * product
+    unit = max(queries.scales.max(), candidates.scales.max())
+    scales = [b.scales / unit for b in (queries, candidates)]
+    own = [(b.codes.astype(np.int64) ** 2).sum(axis=1) * s**2 for b, s in zip((queries, candidates), scales)]
+    square = own[0][:, None] + own[1] - 2.0 * scales[0][:, None] * scales[1] * product
     near = np.sqrt(np.maximum(square, 0.0))
-    slack = queries.errors[:, None] + candidates.errors + 1e-7 * (near + np.sqrt(own[0])[:, None])
+    lost = np.sqrt(dim) * (1e-155 + 3e-162 / unit)
+    slack = queries.errors[:, None] / unit + candidates.errors / unit + 1e-7 * (near + np.sqrt(own[0])[:, None]) + lost
     others = queries.ids[:, None] != candidates.ids
-    high = np.where(others, near + slack, np.inf)
-    if high.shape[1] >= 2 * k + 2:
-        # the k nearest of different ids: a candidate that is repeated counts once
-        reach = np.minimum(reach, _kth_of_different(high, candidates.ids, k))
-    q, c = np.nonzero(others & (near - slack <= reach[:, None]))
-    return q, c, exact_distances(queries.vectors[q], candidates.vectors[c])
+    with np.errstate(over="ignore"):
+        high = (near + slack) * unit
+        high = np.where(others & (high < 1e150), high, np.inf)
+        if high.shape[1] >= 2 * k + 2:
+            # the k nearest of different ids: a candidate that is repeated counts once
+            reach = np.minimum(reach, _kth_of_different(high, candidates.ids, k))
+        q, c = np.nonzero(others & ((near - slack) * unit <= reach[:, None]))
+        return q, c, exact_distances(queries.vectors[q], candidates.vectors[c])
 
 
 def _kth_of_different(high: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

@@ -590,6 +590,17 @@ def test_nearest_against_brute_force(spark):
     assert neighbours.nearest(docs.where("false"), docs).count() == 0 and neighbours.nearest(docs, docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e160, 1e-160, 1e307, 1e-320])
+def test_nearest_of_extreme_vectors(spark, scale):
+    """Squares leave the doubles: distances are infinite or zero as in the brute force, and no pair is lost."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.standard_normal(4) * scale).tolist()) for i in range(60)] + [(100 + i, rng.standard_normal(4).tolist()) for i in range(60)]
+    docs = table(spark, rows, "vec_id long, embedding array<double>")
+    with np.errstate(over="ignore"):
+        want = brute_nearest(rows, 10, 20)
+    assert {tuple(r) for r in neighbours.nearest(docs.where("vec_id % 20 = 0"), docs, 10).collect()} == want
+
+
 def test_nearest_by_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CANDIDATES", 16)
     monkeypatch.setattr(neighbours, "QUERIES", 3)
