@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ Span = tuple[str, int, int]
 STEP = WINDOW // 2
 MARGIN = WINDOW // 4
 #: Windows decoded together.
-TOGETHER = 256
+TOGETHER = 128
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -28,8 +29,11 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
-#: Secrets without a digit follow one of these.
-_WINDOWS = re.compile(r"[0-9@=]")
+_NAMED = re.compile(r"[0-9@]")
+#: Words, between white space, with more than ASCII letters and punctuation behind them.
+_WORDS = re.compile(r"(?<!\S)[A-Za-z]*+(?:[^\sA-Za-z.,;:!?]|[.,;:!?]++(?=[^\s.,;:!?]))\S*+")
+#: What ``reconcile`` takes off a span's ends, and the least length of a secret.
+_LEAD, _TRAIL, LEAST = ",;:", ".,;:!?", 6
 
 
 def _digits(text: str) -> list[int]:
@@ -79,6 +83,12 @@ def base_spans(text: str | None) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def lettered(word: str) -> bool:
+    """Whether all is letters, of any script, beside asterisks around it: a plain word, in whatever language."""
+    bare = word.strip("*")
+    return bare.isalpha() or all(unicodedata.category(c)[0] in "LM" for c in bare)
+
+
 def plausible(kind: str, found: str) -> bool:
     """What a span of the tagger must satisfy, whatever its score."""
     d = _digits(found)
@@ -87,29 +97,38 @@ def plausible(kind: str, found: str) -> bool:
     if kind == "ip":
         return re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", found) is not None and all(int(p) <= 255 for p in found.split("."))
     if kind == "secret":
-        return len(found) >= 6 and re.search(r"\s", found) is None and re.search(r"[^A-Za-z]", found) is not None
+        return len(found) >= LEAST and re.search(r"\s", found) is None and not lettered(found)
     if kind == "card":
         return 12 <= len(d) <= 19 and luhn(d) and re.fullmatch(r"[0-9 .-]+", found) is not None
     return 9 <= len(d) <= 15 and re.fullmatch(r"\+?[0-9 ().-]+", found) is not None and re.search(r"[() -]", found) is not None
 
 
 def window_starts(text: str) -> list[int]:
-    """Windows of ``WINDOW`` characters every ``STEP`` that hold a digit, ``@`` or ``=``, without which
-    no kind is expected."""
-    starts = set()
-    for m in _WINDOWS.finditer(text):
-        last = m.start() // STEP
-        starts.add(last * STEP)
-        starts.add(max(0, last - 1) * STEP)
+    """Starts of the windows, of ``WINDOW`` characters every ``STEP``, that decide the tag of some character of
+    a word that can be of a plausible span.
+
+    By ``plausible`` such a span holds a digit or an ``@``, or lies in one word, of which ``LEAST`` characters that
+    aren't all letters are left when its ends are cleaned. Any other word is of no such span whatever its tags.
+    """
+    starts: set[int] = set()
+    for m in _WORDS.finditer(text):
+        word = m.group()
+        bare = word.lstrip(_LEAD).rstrip(_TRAIL)
+        if _NAMED.search(word) or len(bare) >= LEAST and not lettered(bare):
+            starts.update(range(_owner(m.start()), _owner(m.end() - 1) + STEP, STEP))
+    last = (len(text) - 1) // STEP * STEP
+    if last - STEP in starts:  # which else would speak for the last one's characters
+        starts.add(last)
     return sorted(starts)
 
 
-def tag_texts(texts: list[str | None], model: Tagger) -> list[list[Span]]:
-    """Spans of the tagger in each text. All windows of all texts are decoded in blocks; each
-    character takes its tag from the window in which it is nearest the middle, and spans are read
-    from the joined tags."""
-    jobs = [(i, s) for i, t in enumerate(texts) if t for s in window_starts(t)]
-    known, joined = set(jobs), [{} for _ in texts]
+def _owner(place: int) -> int:
+    """The start of the window in which a character is nearest the middle."""
+    return max(0, (place - MARGIN) // STEP) * STEP
+
+
+def _decoded(texts: list[str | None], model: Tagger, jobs: list[tuple[int, int]], known: set[tuple[int, int]], joined: list[dict[int, int]]) -> None:
+    """Adds the tags other than 0 of the windows ``jobs`` (text, start); ``known`` are all windows there are."""
     for lo in range(0, len(jobs), TOGETHER):
         part = jobs[lo : lo + TOGETHER]
         ids = np.zeros((len(part), WINDOW), np.int64)
@@ -117,12 +136,27 @@ def tag_texts(texts: list[str | None], model: Tagger) -> list[list[Span]]:
             codes = char_ids(texts[i][s : s + WINDOW])
             ids[row, : len(codes)] = codes
         tags = model.decode(ids)
-        for (i, s), row in zip(part, tags):
+        for row in np.flatnonzero(tags.any(axis=1)).tolist():
+            i, s = part[row]
             a = 0 if s == 0 else MARGIN
             last = s + WINDOW >= len(texts[i]) and (i, s + STEP) not in known
             b = len(texts[i]) - s if last else min(WINDOW - MARGIN, len(texts[i]) - s)
-            for p in (np.flatnonzero(row[a:b]) + a).tolist():
-                joined[i][s + p] = int(row[p])
+            for p in (np.flatnonzero(tags[row, a:b]) + a).tolist():
+                joined[i][s + p] = int(tags[row, p])
+
+
+def tag_texts(texts: list[str | None], model: Tagger, whole: bool = False) -> list[list[Span]]:
+    """Spans of the tagger in each text. All windows of all texts are decoded in blocks; each
+    character takes its tag from the window in which it is nearest the middle, and spans are read
+    from the joined tags. With ``whole`` the windows into which a span runs on are decoded too, so
+    that every plausible span is as if all windows of the text were."""
+    jobs = [(i, s) for i, t in enumerate(texts) if t for s in window_starts(t)]
+    known, joined = set(jobs), [{} for _ in texts]
+    while jobs:
+        _decoded(texts, model, jobs, known, joined)
+        beside = [(i, _owner(q)) for i, s in jobs for q in (s + MARGIN - 1, s + WINDOW - MARGIN) if whole and 0 <= q < len(texts[i]) and {q - 1, q + 1} & joined[i].keys()]
+        jobs = sorted(set(beside) - known)
+        known.update(jobs)
     out = []
     for text, tags in zip(texts, joined):
         spans, open_at, kind, before = [], None, 0, -2
@@ -148,9 +182,9 @@ def reconcile(text: str, base: list[Span], tagged: list[Span]) -> list[Span]:
             taken.append([a, b])
     added = []
     for kind, a, b in tagged:
-        while a < b and (text[a].isspace() or text[a] in ",;:"):
+        while a < b and (text[a].isspace() or text[a] in _LEAD):
             a += 1
-        while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:!?"):
+        while b > a and (text[b - 1].isspace() or text[b - 1] in _TRAIL):
             b -= 1
         last = bisect_left(taken, [b, 0]) - 1  # the last of the base spans that starts before b
         if b > a and plausible(kind, text[a:b]) and (last < 0 or taken[last][1] <= a):
@@ -166,7 +200,7 @@ def spelled(spans: list[Span]) -> str:
 def find_pii(texts: list[str | None], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text."""
     base = [base_spans(t) for t in texts]
-    return [(b, reconcile(t, b, g)) if t else ([], []) for t, b, g in zip(texts, base, tag_texts(texts, model))]
+    return [(b, reconcile(t, b, g)) if t else ([], []) for t, b, g in zip(texts, base, tag_texts(texts, model, whole=True))]
 
 
 def _over(text: Column, model: Tagger, kind: str, fields: pa.DataType, make) -> Column:

@@ -101,21 +101,43 @@ class Tagger:
         both = np.concatenate([forward, backward], axis=2)
         return both @ self.w["O"] + self.w["bo"], (x, both, tape_f, tape_b)
 
+    def _passed(self, ids: np.ndarray, side: str) -> np.ndarray:
+        """States (T, hidden, B) of one direction as ``_run`` has them, with the rows side by side."""
+        h, (B, T) = self.hidden, ids.shape
+        pushed = self.w["E"] @ self.w[f"X{side}"] + self.w[f"b{side}"]
+        weights = np.ascontiguousarray(self.w[f"H{side}"].T)
+        state, cell, out, columns = np.zeros((h, B), np.float32), np.zeros((h, B), np.float32), np.empty((T, h, B), np.float32), np.ascontiguousarray(ids.T)
+        z, one = np.empty((4 * h, B), np.float32), np.empty((h, B), np.float32)
+        for t in range(T) if side == "f" else range(T - 1, -1, -1):
+            np.matmul(weights, state, out=z)
+            z += pushed[columns[t]].T
+            gates = z[: 3 * h]
+            gates *= np.float32(0.5)
+            np.tanh(z, out=z)
+            gates += np.float32(1)
+            gates *= np.float32(0.5)
+            cell *= z[h : 2 * h]
+            cell += np.multiply(z[:h], z[3 * h :], out=one)
+            state = np.tanh(cell, out=out[t])
+            state *= z[2 * h : 3 * h]
+        return out
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """Best tag sequence of each row, by Viterbi."""
-        em, _ = self.emissions(ids)
+        """Best tag sequence of each row, by Viterbi; the way back is looked for on the best path only."""
         A = self.w["A"] + allowed().astype(np.float32)
-        T, B, _ = em.shape
-        back, score = np.empty((T, B, N_TAGS), np.int8), self.w["s"] + em[0]
+        O, h = np.ascontiguousarray(self.w["O"].T), self.hidden
+        score = np.matmul(O[:, :h], self._passed(ids, "f"))
+        score += np.matmul(O[:, h:], self._passed(ids, "b"))
+        score += self.w["bo"][:, None]
+        T, K, B = score.shape
+        score[0] += self.w["s"][:, None]
+        ways = np.empty((K, K, B), np.float32)
         for t in range(1, T):
-            ways = score[:, :, None] + A
-            back[t] = ways.argmax(axis=1)
-            score = ways.max(axis=1) + em[t]
+            score[t] += np.add(score[t - 1][:, None], A[:, :, None], out=ways).max(axis=0)
         tags = np.empty((T, B), np.int8)
-        tags[-1] = score.argmax(axis=1)
-        rows = np.arange(B)
+        tags[-1] = score[-1].argmax(axis=0)
         for t in range(T - 1, 0, -1):
-            tags[t - 1] = back[t][rows, tags[t]]
+            tags[t - 1] = (score[t - 1] + A[:, tags[t]]).argmax(axis=0)
         return tags.T
 
     def loss_and_gradient(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
