@@ -496,13 +496,13 @@ def _regrouped(going: DataFrame, docs: DataFrame, s: PassageSettings, level: int
     return out
 
 
-def _beside_heads(members: DataFrame) -> DataFrame:
-    """(g, a, al, ar, b, l, r, open) of members beside the first window of their group's least document."""
-    least = members.groupBy("g").agg(F.min("node").alias("a"))
-    there = members.join(least, "g")
-    head = there.where("node = a").groupBy("g", "a").agg(F.min(F.struct("l", "r")).alias("at"), F.bool_or("open").alias("a_open"))
-    return there.where("node <> a").drop("a").join(head, "g").select(
-        "g", "a", F.col("at.l").alias("al"), F.col("at.r").alias("ar"), F.col("node").alias("b"), "l", "r", "open", "a_open")
+def _beside_heads(members: DataFrame, asked: bool = False) -> DataFrame:
+    """(g, a, al, ar, b, l, r, open, a_open) of members beside the first window of their group's least
+    document; with ``asked`` only those where a window of either is open."""
+    heads = members.groupBy("g").agg(F.min(F.struct("node", "l", "r")).alias("at"), F.min(F.struct("node", (~F.col("open")).alias("shut"))).alias("own")).select(
+        "g", F.col("at.node").alias("a"), F.col("at.l").alias("al"), F.col("at.r").alias("ar"), (~F.col("own.shut")).alias("a_open"))
+    met = members.join(heads, "g").where(F.col("node") != F.col("a"))
+    return (met.where("open OR a_open") if asked else met).select("g", "a", "al", "ar", F.col("node").alias("b"), "l", "r", "open", "a_open")
 
 
 def repeated_passages(
@@ -544,7 +544,7 @@ def repeated_passages(
             break
         smaller = _regrouped(going, rows, s, level)
         discard(going)
-        beside = stored(_beside_heads(smaller))
+        beside = stored(_beside_heads(smaller, level == LEVELS))
         discard(smaller)
         held.append(beside)
         hits = beside.where("open OR a_open").select("a", "b", "al", "ar", "l", "r").distinct()
