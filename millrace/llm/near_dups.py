@@ -30,6 +30,8 @@ BLOCK = 192
 BESIDE = 64
 #: Shingles whose darts are thrown together.
 TOGETHER = 2**16
+#: Up to this many documents whose texts are needed, their ids are broadcast to pick the texts before the shuffle.
+FEW = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
@@ -350,7 +352,8 @@ def near_duplicate_classes(
     heads = placed.groupBy("band").agg(F.min("rank").alias("rank")).select("band", F.col("rank.head").alias("head"))
     pairs = shared.join(heads, "band").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     named = shared.select("node").distinct()
-    wanted = stored(texts.join(named, "node", "left_semi"))
+    few = named.limit(FEW + 1).count() <= FEW
+    wanted = stored(texts.join(F.broadcast(named) if few else named, "node", "left_semi"))
     links = stored(_verified(pairs, wanted, similarity, settings.shingle))
     labels = components(links)
     held = [rows, signed, shared, wanted, links, labels]
