@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.memory import lean, sliced
+
 UNDETERMINED = "und"
 
 
@@ -185,17 +187,11 @@ def predict_language(text: Column, model: LanguageModel) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(model.settings)
-        for batch in batches:
-            langs, scores = [], []
-            for lo in range(0, len(batch), 256):
-                found, score = model.predict(batch.slice(lo, 256).to_pylist(), encoder)
-                langs += found
-                scores.append(score)
-            score = np.concatenate(scores) if scores else np.empty(0)
+        for batch in sliced(batches, 256):
+            langs, score = model.predict(batch.to_pylist(), encoder)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score)], fields=list(kind))
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "struct<lang:string,score:double>").asNondeterministic()(text)
+    return F.arrow_udf(lean(run), "struct<lang:string,score:double>").asNondeterministic()(text)
 
 
 def held_out(id_col: Column) -> Column:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.memory import lean, sliced
+
 #: Place of the default model; a parameter everywhere.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -240,25 +242,20 @@ def encoded(text: Column, model: PieceModel) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(raw)
-        for batch in batches:
-            pieces = []
-            for lo in range(0, len(batch), 128):
-                texts = batch.slice(lo, 128).to_pylist()
-                flat, ends, hashes, same, back = [], [0], [], [], []
-                for values, parity, round_trip in own.encode(texts):
-                    flat.append(values)
-                    ends.append(ends[-1] + len(values))
-                    hashes.append(hashlib.sha256(values.astype("<i4").tobytes()).hexdigest())
-                    same.append(parity)
-                    back.append(round_trip)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
-                pieces.append(pa.StructArray.from_arrays(
-                    [lists, pa.array(np.diff(ends), pa.int64()), pa.array(hashes), pa.array(same), pa.array(back)], fields=[pa.field(*f) for f in fields]))
-            yield pa.concat_arrays(pieces) if pieces else pa.array([], pa.struct(fields))
+        for batch in sliced(batches, 128):
+            flat, ends, hashes, same, back = [], [0], [], [], []
+            for values, parity, round_trip in own.encode(batch.to_pylist()):
+                flat.append(values)
+                ends.append(ends[-1] + len(values))
+                hashes.append(hashlib.sha256(values.astype("<i4").tobytes()).hexdigest())
+                same.append(parity)
+                back.append(round_trip)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
+            yield pa.StructArray.from_arrays(
+                [lists, pa.array(np.diff(ends), pa.int64()), pa.array(hashes), pa.array(same), pa.array(back)], fields=[pa.field(*f) for f in fields])
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     kind = "struct<ids:array<int>,n_tokens:bigint,ids_sha256:string,word_parity:boolean,round_trip:boolean>"
-    return F.arrow_udf(run, kind).asNondeterministic()(text)
+    return F.arrow_udf(lean(run, codec), kind).asNondeterministic()(text)
 
 
 def decoded(ids: Column, model: PieceModel) -> Column:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.memory import lean, sliced
 from millrace.llm.tagger import BASE_KINDS, KINDS, WINDOW, Tagger, char_ids, trained
 
 Span = tuple[str, int, int]
@@ -205,15 +206,11 @@ def find_pii(texts: list[str | None], model: Tagger) -> list[tuple[list[Span], l
 
 def _over(text: Column, model: Tagger, kind: str, fields: pa.DataType, make) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            out = []
-            for lo in range(0, len(batch), 512):
-                texts = batch.slice(lo, 512).to_pylist()
-                out += [make(t, *found) for t, found in zip(texts, find_pii(texts, model))]
-            yield pa.array(out, fields)
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, kind).asNondeterministic()(text)
+        for batch in sliced(batches, 512):
+            texts = batch.to_pylist()
+            yield pa.array([make(t, *found) for t, found in zip(texts, find_pii(texts, model))], fields)
+
+    return F.arrow_udf(lean(run), kind).asNondeterministic()(text)
 
 
 def pii_columns(text: Column, model: Tagger) -> Column:
