@@ -73,119 +73,151 @@ class Net:
         return np.where(ids < FIRST, ids, 2 + (ids - FIRST) // self.shape.words_per_class)
 
 
-def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-probability of the entry ``at`` of each column, all probabilities); changes ``logits``."""
-    columns = np.arange(len(at))
+def _softmax(logits: np.ndarray, at: np.ndarray, every: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(log-probability of the entry ``at`` of each column, all probabilities, if ``every``); changes ``logits``."""
     logits -= logits.max(axis=0)
-    own = logits[at, columns]
+    own = logits[at, np.arange(len(at))]
     np.exp(logits, out=logits)
     total = logits.sum(axis=0)
-    logits /= total
+    if every:
+        logits /= total
     return own - np.log(total), logits
 
 
+def _by_unit(steps: np.ndarray) -> np.ndarray:
+    """(steps, units, lanes) as (units, steps * lanes)."""
+    return np.ascontiguousarray(steps.transpose(1, 0, 2)).reshape(steps.shape[1], -1)
+
+
 def _states(net: Net, before: np.ndarray, state: np.ndarray, keep: list | None) -> np.ndarray:
-    """States (hidden, steps, lanes) after each step of a window of (steps, lanes) tokens, from
-    ``state`` (hidden, lanes); ``keep`` gets what gradients need, in the same layout."""
+    """States (steps, hidden, lanes) after each step of a window of (steps, lanes) tokens, from
+    ``state`` (hidden, lanes); ``keep`` gets what gradients need, in the same layout.
+
+    A gate is half of 1 + tanh(half its sum). The halves are in the weights, so ``gates`` are twice the
+    gates here, and what the second one multiplies is half of it; all of this is exact."""
     h, (steps, lanes) = net.shape.hidden, before.shape
-    pushed = np.take(np.ascontiguousarray(net.inputs.T), before, axis=1)
-    weights = np.ascontiguousarray(net.state.T)
-    out, starts, gates_of, new_of, held_of = (np.empty((n, steps, lanes), np.float32) for n in (h, h, 2 * h, h, h)) if keep is not None else (np.empty((h, steps, lanes), np.float32), *[None] * 4)
+    half = np.float32(0.5)
+    inputs = np.array(net.inputs.T, order="C")
+    inputs[: 2 * h] *= half
+    pushed = np.ascontiguousarray(np.take(inputs, before, axis=1).transpose(1, 0, 2))
+    weights = np.ascontiguousarray(net.state.T) * half
+    kept = steps if keep is not None else 1
+    starts, gates_of, new_of, moved_of = (np.empty((kept, n, lanes), np.float32) for n in (h, 2 * h, h, 3 * h))
+    out = np.empty((steps, h, lanes), np.float32)
     fresh = before == END
     resets = fresh.any(axis=1)
     for t in range(steps):
+        at = t if kept > 1 else 0
+        gates, new, moved, after = gates_of[at], new_of[at], moved_of[at], out[t]
         if resets[t]:
             state = np.where(fresh[t], np.float32(0), state)
-        moved = weights @ state
-        gates = moved[: 2 * h] + pushed[: 2 * h, t]
-        gates *= np.float32(0.5)
+        if keep is not None:
+            starts[at] = state
+        np.matmul(weights, state, out=moved)
+        np.add(moved[: 2 * h], pushed[t, : 2 * h], out=gates)
         np.tanh(gates, out=gates)
         gates += np.float32(1)
-        gates *= np.float32(0.5)
-        new = gates[h:] * moved[2 * h :]
-        new += pushed[2 * h :, t]
+        np.multiply(gates[h:], moved[2 * h :], out=new)
+        new += pushed[t, 2 * h :]
         np.tanh(new, out=new)
-        if keep is not None:
-            starts[:, t], gates_of[:, t], new_of[:, t], held_of[:, t] = state, gates, new, moved[2 * h :]
-        state = state - new
-        state *= gates[:h]
-        state += new
-        out[:, t] = state
+        np.subtract(state, new, out=after)
+        after *= gates[:h]
+        after *= half
+        after += new
+        state = after
     if keep is not None:
-        keep += [starts, gates_of[:h], gates_of[h:], new_of, held_of]
+        keep += [starts, gates_of[:, :h], gates_of[:, h:], new_of, moved_of[:, 2 * h :]]
     return out
 
 
-def _word_groups(net: Net, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(class, places, positions in the class) of the targets that are words of the vocabulary."""
+def _word_groups(net: Net, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+    """Places of the targets that are words of the vocabulary, by class; their positions in the class; and
+    each class's slice of both."""
     places = np.flatnonzero(targets >= FIRST)
     groups, within = np.divmod(targets[places] - FIRST, net.shape.words_per_class)
     order = np.argsort(groups, kind="stable")
-    edges = np.searchsorted(groups[order], np.arange(net.shape.classes + 1))
-    for c in range(net.shape.classes):
-        if edges[c] < edges[c + 1]:
-            some = order[edges[c] : edges[c + 1]]
-            yield c, places[some], within[some]
+    edges = np.searchsorted(groups[order], np.arange(net.shape.classes + 1)).tolist()
+    return places[order], within[order], [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
 
 
 def window_log_probs(net: Net, before: np.ndarray, targets: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(natural log-probability of every target, state after the window)."""
     states = _states(net, before, state, None)
-    flat, goal = states.reshape(net.shape.hidden, -1), targets.reshape(-1)
-    found, _ = _softmax(net.to_class.T @ flat + net.class_bias[:, None], net.classes_of(goal))
-    for c, places, within in _word_groups(net, goal):
-        found[places] += _softmax(net.to_word[c].T @ flat[:, places] + net.word_bias[c][:, None], within)[0]
-    return found.reshape(targets.shape), states[:, -1]
+    flat, goal = _by_unit(states), targets.reshape(-1)
+    found, _ = _softmax(net.to_class.T @ flat + net.class_bias[:, None], net.classes_of(goal), False)
+    places, within, groups = _word_groups(net, goal)
+    own, logs = np.take(flat, places, axis=1), np.empty(len(places), np.float32)
+    for c, some in groups:
+        logs[some] = _softmax(net.to_word[c].T @ own[:, some] + net.word_bias[c][:, None], within[some], False)[0]
+    found[places] += logs
+    return found.reshape(targets.shape), states[-1]
 
 
 def window_gradient(net: Net, before: np.ndarray, targets: np.ndarray, real: np.ndarray, state: np.ndarray) -> tuple[float, Net, np.ndarray]:
     """(loss, its gradient, state after the window) of the ``real`` targets, truncated at the window."""
-    h, kept = net.shape.hidden, []
+    h, (steps, lanes), kept = net.shape.hidden, before.shape, []
     states = _states(net, before, state, kept)
-    flat, goal, weight = states.reshape(h, -1), targets.reshape(-1), real.reshape(-1).astype(np.float32)
+    flat, goal, weight = _by_unit(states), targets.reshape(-1), real.reshape(-1).astype(np.float32)
+    whole = bool(real.all())
     grad = Net(net.shape, np.zeros_like(net.flat))
     classes = net.classes_of(goal)
     logs, wrong = _softmax(net.to_class.T @ flat + net.class_bias[:, None], classes)
     loss = -float(logs @ weight)
     wrong[classes, np.arange(len(goal))] -= 1
-    wrong *= weight
+    if not whole:
+        wrong *= weight
     grad.to_class[:], grad.class_bias[:] = flat @ wrong.T, wrong.sum(axis=1)
     back = net.to_class @ wrong
-    for c, places, within in _word_groups(net, goal):
-        own = flat[:, places]
-        logs, wrong = _softmax(net.to_word[c].T @ own + net.word_bias[c][:, None], within)
-        loss -= float(logs @ weight[places])
-        wrong[within, np.arange(len(within))] -= 1
-        wrong *= weight[places]
+    places, within, groups = _word_groups(net, goal)
+    owns, weights, backs = np.take(flat, places, axis=1), weight[places], np.empty((h, len(places)), np.float32)
+    for c, some in groups:
+        own, goals = owns[:, some], within[some]
+        logs, wrong = _softmax(net.to_word[c].T @ own + net.word_bias[c][:, None], goals)
+        loss -= float(logs @ weights[some])
+        wrong[goals, np.arange(len(goals))] -= 1
+        if not whole:
+            wrong *= weights[some]
         grad.to_word[c], grad.word_bias[c] = own @ wrong.T, wrong.sum(axis=1)
-        back[:, places] += net.to_word[c] @ wrong
-    back = back.reshape(states.shape)
-    starts, fall, reset, new, held = kept
+        backs[:, some] = net.to_word[c] @ wrong
+    back[:, places] += backs
+    back = np.ascontiguousarray(back.reshape(h, steps, lanes).transpose(1, 0, 2))
+    starts, fall, reset, new, held = kept  # of both gates twice, and of what the second multiplies half
+    fall = fall * np.float32(0.5)
     # what one unit of a step's state brings to the step's three inner sums
-    per_new = (1 - fall) * (1 - new * new)
-    per_fall = (starts - new) * fall * (1 - fall)
-    per_reset = per_new * held * reset * (1 - reset)
-    moved = np.empty((3 * h, *before.shape), np.float32)
-    total = np.empty_like(states)
-    going = (before != END).astype(np.float32)
-    per_moved = np.concatenate((per_fall, per_reset, per_new * reset))
-    carried = np.zeros_like(state)
-    for t in range(len(before) - 1, -1, -1):
-        own = back[:, t] + carried
-        total[:, t] = own
-        step = (per_moved[:, t].reshape(3, h, -1) * own).reshape(3 * h, -1)
-        moved[:, t] = step
-        carried = net.state @ step
-        own *= fall[:, t]
-        carried += own
-        carried *= going[t]
-    grad.state[:] = starts.reshape(h, -1) @ moved.reshape(3 * h, -1).T
-    moved[2 * h :] = per_new * total
-    ids = before.reshape(-1)
+    left = 1 - fall
+    per_new = new * new
+    np.subtract(1, per_new, out=per_new)
+    per_new *= left
+    per_moved = np.empty((steps, 3 * h, lanes), np.float32)
+    per_fall, per_reset, per_held = (per_moved[:, i * h : (i + 1) * h] for i in range(3))
+    np.subtract(starts, new, out=per_fall)
+    per_fall *= fall
+    per_fall *= left
+    np.multiply(reset, np.float32(0.5), out=per_held)
+    per_held *= per_new
+    np.multiply(per_held, held, out=per_reset)
+    per_reset *= 2 - reset
+    moved = np.empty_like(per_moved)
+    fresh = before == END
+    resets = fresh.any(axis=1)
+    carried, kept_state = np.zeros((h, lanes), np.float32), np.empty((h, lanes), np.float32)
+    for t in range(steps - 1, -1, -1):
+        total = back[t]
+        total += carried
+        np.multiply(per_moved[t].reshape(3, h, lanes), total, out=moved[t].reshape(3, h, lanes))
+        np.matmul(net.state, moved[t], out=carried)
+        carried += np.multiply(total, fall[t], out=kept_state)
+        if resets[t]:
+            carried *= ~fresh[t]
+    pulled = _by_unit(moved)
+    grad.state[:] = _by_unit(starts) @ pulled.T
+    per_new *= back
+    pulled[2 * h :] = _by_unit(per_new)
+    ids = before.reshape(-1).astype(np.min_scalar_type(len(net.inputs)))  # few bits are sorted faster
     order = np.argsort(ids, kind="stable")
     seen, first = np.unique(ids[order], return_index=True)
-    grad.inputs[seen] = np.add.reduceat(np.take(moved.reshape(3 * h, -1), order, axis=1), first, axis=1).T
-    return loss, grad, states[:, -1]
+    grad.inputs[seen] = np.add.reduceat(np.take(pulled, order, axis=1), first, axis=1).T
+    return loss, grad, states[-1]
 
 
 class Lanes:

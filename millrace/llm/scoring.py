@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from math import ceil
 
 import numpy as np
@@ -133,20 +134,15 @@ class Counts:
         return Net.start(self.shape, self.counts[: self.vocabulary], self.others, self.ends)
 
 
-class _Places(dict):
-    def __missing__(self, token: bytes) -> int:
-        return -1
-
-
 class Reader:
     """Texts as places among the frequent tokens (-1: none) and as the model's ids."""
 
     def __init__(self, counts: Counts, most: int | None = None):
-        self.places = _Places(zip(counts.frequent[:most], range(len(counts.frequent))))
+        self.places = dict(zip(counts.frequent[:most], range(len(counts.frequent))))
         self.vocabulary = counts.vocabulary
 
     def places_of(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.places.__getitem__, found), np.int32, len(found))
+        return np.fromiter(map(self.places.get, found, repeat(-1)), np.int32, len(found))
 
     def ids_of(self, places: np.ndarray) -> np.ndarray:
         ids = np.full(len(places) + 1, END, np.int32)
