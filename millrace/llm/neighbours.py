@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 CANDIDATES, QUERIES = 2048, 512
 #: Query blocks whose results a task holds before it hands them on.
 HELD = 32
+#: Components of the candidates of a part: those blocks are held while the blocks of queries pass.
+PART_COMPONENTS = 2**23
 
 _BLOCK = "part int, dim int, ids binary, vectors binary, codes binary, scales binary, errors binary"
 
@@ -102,6 +104,15 @@ def _blocks(rows: DataFrame, size: int, parts: int) -> DataFrame:
     return rows.mapInArrow(run, _BLOCK)
 
 
+def _parts_for(vectors: DataFrame) -> int:
+    """Parts for the candidates ``v``: two for each core if there are so many blocks, and more if a part
+    would hold more than ``PART_COMPONENTS``. Every query is copied to each part, so their number must
+    not grow with the shuffle partitions."""
+    rows, components = vectors.agg(F.count("v"), F.sum(F.greatest(F.size("v"), F.lit(0)).cast("long"))).first()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(2 * cores, ceil(rows / CANDIDATES)), ceil((components or 0) / PART_COMPONENTS))
+
+
 def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distance of each row of ``a`` and ``b`` in double precision, summed in order."""
     total = np.zeros(len(a))
@@ -191,17 +202,18 @@ def nearest(
     its nearest vector; so does a repeated query. Fewer candidates give fewer rows, empty tables
     none. Other columns are not read.
 
-    Candidates are dealt into ``parts`` (as many as shuffle partitions), and every block of
+    Candidates are dealt into ``parts`` (by default by ``PART_COMPONENTS``), and every block of
     queries goes to each: a tile is one joined row, and a task holds some blocks at a time.
-    Nothing is left out by the codes: the result is exact.
+    Both sides are shuffled at any size: what Spark would estimate for a broadcast leaves out
+    that queries are copied. Nothing is left out by the codes: the result is exact.
     """
-    spark = candidates.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vectors = candidates.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    parts = parts or _parts_for(vectors)
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     asked = asked.repartition(max(1, ceil(asked.count() / QUERIES)))
     q = _blocks(asked, QUERIES, 1).drop("part").select(
         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "dim", *(F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "codes", "scales", "errors")))
-    c = _blocks(candidates.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")), CANDIDATES, parts)
+    c = _blocks(vectors, CANDIDATES, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bytes], tuple[Block, Best]] = {}
@@ -221,7 +233,7 @@ def nearest(
                 best.take(at, there.ids[to], scores)
         yield from (best.rows() for _, best in held.values())
 
-    tiles = q.join(c, ["part", "dim"]).select(
+    tiles = q.join(c.hint("merge"), ["part", "dim"]).select(
         "dim", "q_ids", "q_vectors", "q_codes", "q_scales", "q_errors", "ids", "vectors", "codes", "scales", "errors")
     found = tiles.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
