@@ -124,23 +124,30 @@ def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def search_tile(queries: Block, candidates: Block, k: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query places, candidate places, distances) of every pair that can be among the ``k``
-    nearest of its query, given that ``k`` candidates are known within ``reach``.
+    nearest of its query, given that ``k`` candidates are known within ``reach`` (infinite: not yet known).
+    The tile's own ``k`` nearest narrow it until all queries have one; then ``reach`` alone decides.
 
     Bounds are made in units of the tile's largest scale, where nothing overflows; what underflows there,
     and what the squares of very small distances lose, is part of the slack. Very large distances may be
     infinite in double precision, and then are equal, so their bounds rule nothing out."""
     dim = queries.codes.shape[1]
-    exact_in = np.float32 if dim * 127 * 127 < 2**24 else np.float64  # sums of products stay whole numbers
-    product = queries.codes.astype(exact_in) @ candidates.codes.astype(exact_in).T
     unit = max(queries.scales.max(), candidates.scales.max())
     scales = [b.scales / unit for b in (queries, candidates)]
     own = [(b.codes.astype(np.int64) ** 2).sum(axis=1) * s**2 for b, s in zip((queries, candidates), scales)]
-    square = own[0][:, None] + own[1] - 2.0 * scales[0][:, None] * scales[1] * product
-    near = np.sqrt(np.maximum(square, 0.0))
     lost = np.sqrt(dim) * (1e-155 + 3e-162 / unit)
-    slack = queries.errors[:, None] / unit + candidates.errors / unit + 1e-7 * (near + np.sqrt(own[0])[:, None]) + lost
-    others = queries.ids[:, None] != candidates.ids
     with np.errstate(over="ignore"):
+        if np.isfinite(reach).all():
+            far = (reach + queries.errors + candidates.errors.max()) / unit + 1e-7 * np.sqrt(own[0]) + lost
+            q, c = _within(queries, candidates, scales, own, far)
+            other = queries.ids[q] != candidates.ids[c]
+            q, c = q[other], c[other]
+            return q, c, exact_distances(queries.vectors[q], candidates.vectors[c])
+        exact_in = np.float32 if dim * 127 * 127 < 2**24 else np.float64  # sums of products stay whole numbers
+        product = queries.codes.astype(exact_in) @ candidates.codes.astype(exact_in).T
+        square = own[0][:, None] + own[1] - 2.0 * scales[0][:, None] * scales[1] * product
+        near = np.sqrt(np.maximum(square, 0.0))
+        slack = queries.errors[:, None] / unit + candidates.errors / unit + 1e-7 * (near + np.sqrt(own[0])[:, None]) + lost
+        others = queries.ids[:, None] != candidates.ids
         high = (near + slack) * unit
         high = np.where(others & (high < 1e150), high, np.inf)
         if high.shape[1] >= 2 * k + 2:
@@ -150,6 +157,18 @@ def search_tile(queries: Block, candidates: Block, k: int, reach: np.ndarray) ->
         return q, c, exact_distances(queries.vectors[q], candidates.vectors[c])
 
 
+def _within(queries: Block, candidates: Block, scales: list[np.ndarray], own: list[np.ndarray], far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair whose codes may lie within ``far`` of each other, by one product in single precision:
+    a column more holds the candidates' squares, and what rounding or underflow can lose is allowed for."""
+    terms = queries.codes.shape[1] + 1
+    left = np.hstack([2.0 * scales[0][:, None] * queries.codes, np.full((len(far), 1), -1.0)]).astype(np.float32)
+    right = np.hstack([scales[1][:, None] * candidates.codes, own[1][:, None]]).astype(np.float32)
+    most = own[1].max()
+    lost = (terms + 4) * 2.0**-23 * (2.0 * np.sqrt(own[0] * most) + most) + terms * 1e-35
+    least = (own[0] - far**2 * (1.0 + 1e-6) - lost).astype(np.float32)
+    return np.nonzero(left @ right.T >= np.nextafter(least, np.float32(-np.inf))[:, None])
+
+
 def _kth_of_different(high: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     if len(np.unique(ids)) < len(ids):
         order = np.argsort(ids, kind="stable")

@@ -1,6 +1,9 @@
 """Queries are copied to every part of the candidates: by a shuffle, to as many parts as the candidates need."""
 
+import tracemalloc
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import neighbours
@@ -40,3 +43,56 @@ def test_parts_follow_the_candidates(spark, monkeypatch):
     assert neighbours._parts_for(docs.where("vec_id >= 1000")) == neighbours._parts_for(docs.where("false")) == 1
     monkeypatch.setattr(neighbours, "PART_COMPONENTS", 30)
     assert neighbours._parts_for(docs) == 100
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+@pytest.mark.parametrize("dim", [1, 3, 64, 300])
+def test_known_reach_loses_no_pair(kind, dim):
+    """Rows of many sizes, copies and near copies: a tile gives every pair within reach, ties included."""
+    rng = np.random.default_rng(dim)
+    most = 30 if kind is np.float32 else 140
+    size = 10.0 ** rng.integers(-most, most, 90)
+    size[:60] = 10.0 ** rng.integers(-2, 3, 60)
+    vectors = (rng.standard_normal((90, dim)) * size[:, None]).astype(kind)
+    vectors[30:45] = vectors[:15]
+    vectors[45:60] = (vectors[:15].astype(np.float64) * (1 + 1e-7 * rng.standard_normal((15, dim)))).astype(kind)
+    block = neighbours.Block.of(np.arange(90) % 80, vectors)
+    far = np.array([neighbours.exact_distances(np.repeat(v[None], 90, axis=0), vectors) for v in vectors])
+    other = block.ids[:, None] != block.ids
+    for rank in (0, 1, 2, 5, 40):
+        reach = np.array([np.sort(d[o])[rank] for d, o in zip(far, other)])
+        q, c, scores = neighbours.search_tile(block, block, 3, reach)
+        assert np.array_equal(scores, far[q, c]) and other[q, c].all()
+        got = set(zip(q.tolist(), c.tolist()))
+        assert got >= set(zip(*(x.tolist() for x in np.nonzero(other & (far <= reach[:, None])))))
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e160, 1e-160, 1e307, 1e-320])
+def test_nearest_over_many_blocks_of_extreme_vectors(scale):
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((400, 5)) * np.where(np.arange(400) % 7 == 0, 1.0, scale)[:, None]
+    vectors[200:220] = vectors[:20]
+    asked = neighbours.Block.of(np.arange(0, 400, 9), vectors[::9])
+    best = neighbours.Best(asked.ids, 6)
+    with np.errstate(over="ignore"):
+        for lo in range(0, 400, 32):
+            block = neighbours.Block.of(np.arange(lo, min(lo + 32, 400)), vectors[lo : lo + 32])
+            q, c, scores = neighbours.search_tile(asked, block, 6, best.reach)
+            best.take(q, block.ids[c], scores)
+        for place, i in enumerate(asked.ids.tolist()):
+            far = neighbours.exact_distances(np.repeat(vectors[i][None], 400, axis=0), vectors).tolist()
+            assert best.lists[place] == sorted((s, j) for j, s in enumerate(far) if j != i)[:6]
+
+
+def test_known_reach_costs_one_matrix_in_single_precision():
+    rng = np.random.default_rng(9)
+    asked, block = (neighbours.Block.of(np.arange(n) + first, rng.standard_normal((n, 64)).astype(np.float32)) for n, first in ((512, 0), (2048, 1000)))
+    reach = np.full(512, 7.5)
+    neighbours.search_tile(asked, block, 10, reach)
+    tracemalloc.start()
+    try:
+        q, _, scores = neighbours.search_tile(asked, block, 10, reach)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert 0 < (scores <= 7.5).sum() <= len(q) < 10_000 and most < 2 * 4 * 512 * 2048  # before, some matrices of doubles
