@@ -137,11 +137,12 @@ def search_tile(queries: Block, candidates: Block, k: int, reach: np.ndarray) ->
     lost = np.sqrt(dim) * (1e-155 + 3e-162 / unit)
     with np.errstate(over="ignore"):
         if np.isfinite(reach).all():
-            far = (reach + queries.errors + candidates.errors.max()) / unit + 1e-7 * np.sqrt(own[0]) + lost
-            q, c = _within(queries, candidates, scales, own, far)
-            other = queries.ids[q] != candidates.ids[c]
-            q, c = q[other], c[other]
-            return q, c, exact_distances(queries.vectors[q], candidates.vectors[c])
+            far = (reach + queries.errors) / unit + 1e-7 * np.sqrt(own[0]) + lost
+            q, c = _within(queries, candidates, scales, own, far, candidates.errors / unit)
+            if 8 * len(q) <= len(queries.ids) * len(candidates.ids):  # else sizes are too far apart for single precision
+                other = queries.ids[q] != candidates.ids[c]
+                q, c = q[other], c[other]
+                return q, c, exact_distances(queries.vectors[q], candidates.vectors[c])
         exact_in = np.float32 if dim * 127 * 127 < 2**24 else np.float64  # sums of products stay whole numbers
         product = queries.codes.astype(exact_in) @ candidates.codes.astype(exact_in).T
         square = own[0][:, None] + own[1] - 2.0 * scales[0][:, None] * scales[1] * product
@@ -157,15 +158,21 @@ def search_tile(queries: Block, candidates: Block, k: int, reach: np.ndarray) ->
         return q, c, exact_distances(queries.vectors[q], candidates.vectors[c])
 
 
-def _within(queries: Block, candidates: Block, scales: list[np.ndarray], own: list[np.ndarray], far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every pair whose codes may lie within ``far`` of each other, by one product in single precision:
-    a column more holds the candidates' squares, and what rounding or underflow can lose is allowed for."""
-    terms = queries.codes.shape[1] + 1
-    left = np.hstack([2.0 * scales[0][:, None] * queries.codes, np.full((len(far), 1), -1.0)]).astype(np.float32)
-    right = np.hstack([scales[1][:, None] * candidates.codes, own[1][:, None]]).astype(np.float32)
-    most = own[1].max()
-    lost = (terms + 4) * 2.0**-23 * (2.0 * np.sqrt(own[0] * most) + most) + terms * 1e-35
-    least = (own[0] - far**2 * (1.0 + 1e-6) - lost).astype(np.float32)
+def _within(
+    queries: Block, candidates: Block, scales: list[np.ndarray], own: list[np.ndarray], far: np.ndarray, errors: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair whose codes may lie within ``far + errors`` of each other, by one product in single precision.
+
+    |q - c| <= far + error, squared, is |q|^2 - far^2 <= 2qc + 2 far error - |c|^2 + error^2: what depends on
+    both sides is a column more. So is what rounding can lose, in proportion to each candidate's own size."""
+    dim = queries.codes.shape[1]
+    more, lost, most = 1.0 + 1e-6, (dim + 8) * 2.0**-22, np.sqrt(dim)
+    far, errors = np.minimum(far, 1000.0 * most), np.minimum(errors, most)  # no two rows are farther apart, no error is larger
+    ones = np.ones(len(far))
+    left = np.column_stack([2.0 * scales[0][:, None] * queries.codes, 2.0 * far, lost * np.sqrt(own[0]), ones]).astype(np.float32)
+    rest = errors**2 * more * (1.0 + lost) - own[1] * (1.0 - lost)
+    right = np.column_stack([scales[1][:, None] * candidates.codes, errors * more * (1.0 + lost), 2.0 * np.sqrt(own[1]), rest]).astype(np.float32)
+    least = (own[0] - far**2 * more - dim * 1e-34).astype(np.float32)
     return np.nonzero(left @ right.T >= np.nextafter(least, np.float32(-np.inf))[:, None])
 
 

@@ -47,8 +47,10 @@ def test_parts_follow_the_candidates(spark, monkeypatch):
 
 @pytest.mark.parametrize("kind", [np.float32, np.float64])
 @pytest.mark.parametrize("dim", [1, 3, 64, 300])
-def test_known_reach_loses_no_pair(kind, dim):
-    """Rows of many sizes, copies and near copies: a tile gives every pair within reach, ties included."""
+def test_known_reach_loses_no_pair(kind, dim, monkeypatch):
+    """Rows of many sizes, copies and near copies: the bound and the tile give every pair within reach, ties included."""
+    bound, seen = neighbours._within, []
+    monkeypatch.setattr(neighbours, "_within", lambda *a: seen.append(bound(*a)) or seen[-1])
     rng = np.random.default_rng(dim)
     most = 30 if kind is np.float32 else 140
     size = 10.0 ** rng.integers(-most, most, 90)
@@ -61,10 +63,11 @@ def test_known_reach_loses_no_pair(kind, dim):
     other = block.ids[:, None] != block.ids
     for rank in (0, 1, 2, 5, 40):
         reach = np.array([np.sort(d[o])[rank] for d, o in zip(far, other)])
-        q, c, scores = neighbours.search_tile(block, block, 3, reach)
+        q, c, scores = neighbours.search_tile(block, block, 60, reach)
         assert np.array_equal(scores, far[q, c]) and other[q, c].all()
-        got = set(zip(q.tolist(), c.tolist()))
-        assert got >= set(zip(*(x.tolist() for x in np.nonzero(other & (far <= reach[:, None])))))
+        want = set(zip(*(x.tolist() for x in np.nonzero(other & (far <= reach[:, None])))))
+        assert set(zip(q.tolist(), c.tolist())) >= want <= set(zip(*(x.tolist() for x in seen[-1])))
+    assert len(seen) == 5
 
 
 @pytest.mark.parametrize("scale", [1.0, 1e160, 1e-160, 1e307, 1e-320])
@@ -96,3 +99,17 @@ def test_known_reach_costs_one_matrix_in_single_precision():
     finally:
         tracemalloc.stop()
     assert 0 < (scores <= 7.5).sum() <= len(q) < 10_000 and most < 2 * 4 * 512 * 2048  # before, some matrices of doubles
+
+
+def test_one_large_candidate_lets_no_others_pass():
+    rng = np.random.default_rng(10)
+    vectors = rng.standard_normal((2048, 64))
+    vectors[7] *= 1e6
+    asked, block = neighbours.Block.of(np.arange(512) + 5000, rng.standard_normal((512, 64))), neighbours.Block.of(np.arange(2048), vectors)
+    tracemalloc.start()
+    try:
+        q, c, _ = neighbours.search_tile(asked, block, 10, np.full(512, 7.5))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert 0 < len(q) < 10_000 and most < 2 * 4 * 512 * 2048
